@@ -47,8 +47,8 @@ class Encoder:
         self.memo: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.size = np.zeros(1 << 14, dtype=np.int64)
+        self.start = np.zeros(1 << 14, dtype=np.int32)
+        self.size = np.zeros(1 << 14, dtype=np.int32)
 
     def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Units of letters only, encoded as one string: each has one id at its end (or start) that no other place has."""
@@ -98,7 +98,8 @@ class Encoder:
         """``texts``: Arrow strings without nulls."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = texts.cast(pa.large_string())
+        # Compacted first: Arrow's ascii_lower misreads slices.
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
         if len(self.memo) > MEMO_UNITS:
             self._clear()
         whole = np.flatnonzero(pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False))
@@ -112,19 +113,20 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         memo = self.memo
-        at = np.fromiter(map(memo.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        at = np.fromiter(map(memo.get, names, repeat(-1)), dtype=np.int32, count=len(names))
         new = np.flatnonzero(at < 0)
         if len(new):
             new_names = [names[i] for i in new]
             self._learn(new_names)
-            at[new] = np.fromiter(map(memo.get, new_names), dtype=np.int64, count=len(new))
-        unit = at[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, dtype=np.int64)
+            at[new] = np.fromiter(map(memo.get, new_names), dtype=np.int32, count=len(new))
+        unit = at[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, dtype=np.int32)
         sizes = self.size[unit]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(self.start[unit] - (ends - sizes), sizes) + np.arange(total)]
+        ends = np.cumsum(sizes, dtype=np.int32)  # a slice's ids are few enough
+        place = np.repeat(self.start[unit] - (ends - sizes), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        flat = self.pool[place]
         bounds = np.concatenate([[0], np.cumsum(per_text)])
-        ends0 = np.concatenate([[0], ends])
+        ends0 = np.concatenate([[0], ends]).astype(np.int64)
         lengths = ends0[bounds[1:]] - ends0[bounds[:-1]]
         if len(whole):
             own = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(pc.take(texts, pa.array(whole)).to_pylist(), add_special_tokens=False)]
@@ -145,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 1500, chars: int = 5_000_000):
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 4000, chars: int = 8_000_000):
     """The batch in pieces of bounded text, so that one piece's arrays stay small."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     start = total = 0

@@ -34,6 +34,17 @@ def test_ids_equal_the_library_on_odd_texts(path):
         assert flat[e - n : e].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_slices_of_a_column(path):
+    import pyarrow as pa
+
+    column = pa.array(ODD * 20, pa.string())
+    column = pa.concat_arrays([column, column.slice(3)])
+    coder = encoder(path)
+    for at in (0, 7, 111):
+        assert coder.encode(column.slice(at, 60))[0].tolist() == coder.encode(pa.array(column.to_pylist()[at : at + 60]))[0].tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("aB ,.\n'!é1\t ́sS")), max_size=25), max_size=6))
 def test_ids_equal_the_library_on_random_texts(texts):
