@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from . import packing, wavelet
+from . import chat, mixing, neardup, packing, urlrank, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1,
+        "op3_neardup": neardup.op3,
         "op4_wavelet": wavelet.op4,
+        "op5_mixing": mixing.op5,
+        "op6_urls": urlrank.op6,
+        "op8_chat": chat.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": mixing.SQL,
+        "op6_urls": urlrank.SQL,
+        "op8_chat": chat.SQL,
+    }
