@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, packing, urlrank, wavelet
+from . import chat, mixing, neardup, packing, quality, urlrank, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1,
+        "op2_quality": quality.op2,
         "op3_neardup": neardup.op3,
         "op4_wavelet": wavelet.op4,
         "op5_mixing": mixing.op5,
