@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, packing, quality, urlrank, wavelet
+from . import chat, collisions, mixing, neardup, packing, quality, urlrank, wavelet
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_wavelet": wavelet.op4,
         "op5_mixing": mixing.op5,
         "op6_urls": urlrank.op6,
+        "op7_embeddings": collisions.op7,
         "op8_chat": chat.op8,
     }
 
