@@ -5,7 +5,7 @@ an id (highest first) one bit-plane with a rank directory. Each plane is stored
 one, so ``access``, ``rank`` (count) and ``select`` (occurrence lookup) touch only the blocks they need.
 
 File format (little-endian): magic ``MQWM``, version u16, bits u16, n u64 (ids), docs u64, header length u32, then a
-JSON header with the byte ranges of every part, then the parts. Parts are zlib streams.
+JSON header with the byte ranges of every part, then the parts. Parts are Zstandard frames.
 
 Spark writes the shards: each is a binary value in a Parquet file of the shared folder, under Spark's commit protocol,
 so a lost executor's attempt leaves nothing behind and the files can be in any store Spark reaches.
@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +46,10 @@ def build(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, bits: i
     parts: list[bytes] = []
     planes = []
 
-    def put(raw: bytes, level: int = 1) -> list[int]:
-        parts.append(zlib.compress(raw, level))
+    pack = zstandard.ZstdCompressor(level=1).compress
+
+    def put(raw: bytes) -> list[int]:
+        parts.append(pack(raw))
         return [sum_at(), len(parts[-1])]
 
     at = 0
@@ -74,7 +76,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, bits: i
         "known": put(known.tobytes()),
         "sizes": put(np.asarray(sizes, dtype="<i8").tobytes()),
     }
-    text = zlib.compress(json.dumps(head, separators=(",", ":")).encode(), 1)
+    text = pack(json.dumps(head, separators=(",", ":")).encode())
     return HEAD.pack(MAGIC, VERSION, bits, len(ids), len(doc_ids), len(text)) + text + b"".join(parts)
 
 
@@ -86,13 +88,14 @@ class Shard:
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a wavelet shard of this version")
         self.data, self.base = data, HEAD.size + size
-        self.head = json.loads(zlib.decompress(data[HEAD.size : self.base]))
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        self.head = json.loads(self.unpack(data[HEAD.size : self.base]))
         self.kept: dict[tuple[int, int], np.ndarray] = {}
         self.ranks = [self._array(p["ranks"], "<u4") for p in self.head["planes"]]
 
     def _array(self, place: list[int], kind: str) -> np.ndarray:
         at, size = place
-        return np.frombuffer(zlib.decompress(self.data[self.base + at : self.base + at + size]), dtype=kind)
+        return np.frombuffer(self.unpack(self.data[self.base + at : self.base + at + size]), dtype=kind)
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         known = self._array(self.head["known"], "u1")
