@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive, chat, collisions, mixing, neardup, packing, quality, urlrank, wavelet
+from . import additive, chat, collisions, html_content, mixing, neardup, packing, quality, urlrank, wavelet
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_urls": urlrank.op6,
         "op7_embeddings": collisions.op7,
         "op8_chat": chat.op8,
+        "op9_html": html_content.op9,
         "op10_ann": additive.op10,
     }
 
