@@ -7,13 +7,16 @@ LEAST sketch values, and one of them is among the K - LEAST + 1 rarest of either
 inverted lists. Common lines and passages are frequent values and stay out of the lists.
 
 1. Equal sets become one class (a map-side combined group-by), however many copies there are.
-2. Inverted lists over classes. A list never emits all its pairs: its first member is compared with the others; the
+2. Inverted lists over classes. Classes alone in their lists are done; of the others the full sets are kept.
+3. A shingle that one class has alone is in the union and not in the intersection of any pair it takes part in, so two
+   classes with U and V such shingles can only be linked if U + V <= 15 % of their union. This is exact.
+4. A list never emits all its pairs: its most central member (fewest shingles of its own) is compared with the others;
    members that turn out to be in one component need no more comparing with each other. Lists whose members are in
-   several components go to another round with twice as many leaders each, until every pair in a list either was
-   compared, is in one component, or has sizes that exclude a link. Nothing is capped.
-3. A pair survives if its sketches share LEAST values and the union-sketch estimate is near enough; then both whole
-   texts meet and the exact Jaccard similarity of their full sets decides.
-4. Components over verified links; label = smallest doc_id.
+   several components go to another round with more leaders, until every pair in a list was compared, is in one
+   component, or is excluded exactly by its sizes or by 3. Nothing is capped.
+5. A pair whose sketches share LEAST values and whose union-sketch estimate is near enough is decided by the exact
+   Jaccard similarity of the full sets.
+6. Components over verified links; label = smallest doc_id.
 
 Defined results: A-Z lower-cased; texts with fewer than five words are one shingle; null, empty and blank texts have
 n_shingles 0 and stand alone; repeated rows are copies of each other; null doc_id takes part, and a component's id is
@@ -26,11 +29,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import WORD, saved, table
 from .components import components
 from .tokens import slices
 from .words import Words
@@ -46,21 +49,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ TOP).view(np.int64)
 
 
+def _tag(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, f1, f2, sketch): f1, f2 fingerprint the whole set; row is unique."""
+    """(row, doc_id, tag, n, f1, f2, sketch): f1, f2 fingerprint the whole set; row is unique."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, rows=1000, chars=1_000_000):
-                sets = Words(part.column(2)).shingle_sets()
-                prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype="<i8").reshape(-1, 2)
+                sets = Words(part.column(3)).shingle_sets()
+                prints = np.array([_print(s) for s in sets], dtype=np.int64).reshape(len(sets), 2)
                 firsts = [_signed(s[:K]) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in firsts])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], names=["row", "doc_id", "n", "f1", "f2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], names=["row", "doc_id", "tag", "n", "f1", "f2", "sketch"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, tag long, n long, f1 long, f2 long, sketch array<long>")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -74,82 +81,137 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return own.select("cls", "n", F.explode(F.slice("values", F.lit(1), keep.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "cls", "n")
 
 
-def _fitting(pairs: DataFrame) -> DataFrame:
-    """Only pairs whose set sizes allow a link."""
-    return pairs.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT)
+def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, n, shingles): the full sets of the wanted classes, made again from the whole texts."""
+    key = lambda c: F.struct(F.coalesce(c, F.lit(0)).alias("i"), c.isNull().alias("none"))
+    texts = docs.select(key(F.col("doc_id").cast("long")).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    named = classes.join(wanted, "cls", "left_semi").select("cls", "f1", "f2", key(F.col("doc")).alias("id"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, rows=1000, chars=1_000_000):
+                sets = Words(part.column(3)).shingle_sets()
+                # A doc_id may have several texts: the class's own has its fingerprint.
+                keep = [i for i, (x, f1, f2) in enumerate(zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)) if _print(x) == (f1, f2)]
+                own = [_signed(sets[i]) for i in keep]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(np.diff(ends).astype(np.int64)), lists], names=["cls", "n", "shingles"])
+
+    found = texts.join(named, "id").select("cls", "f1", "f2", "text").mapInArrow(run, "cls long, n long, shingles array<long>")
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return found if repeated.isEmpty() else found.dropDuplicates(["cls"])
+
+
+def lonely(sets: DataFrame) -> DataFrame:
+    """(cls, own): how many of a class's shingles no other class of ``sets`` has. 32 bits of a hash suffice: a chance
+    match only makes a shingle look shared, which excludes less."""
+    spread = sets.select("cls", F.explode("shingles").alias("x")).select("cls", F.shiftright("x", 20).bitwiseAND(0x7FFFFFFF).cast("int").alias("x"))
+    once = spread.groupBy("x").agg(F.count("*").alias("times"), F.min("cls").alias("cls")).where("times = 1")
+    return once.groupBy("cls").agg(F.count("*").alias("own"))
+
+
+def _possible(an: str, bn: str, au: str, bu: str) -> Column:
+    """Sizes and lonely shingles allow a link: with n + m = union + intersection, a link has union <= (n + m) * 100 / 185."""
+    sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * PERCENT
+    return sizes & ((F.col(au) + F.col(bu)) * (100 + PERCENT) <= (F.col(an) + F.col(bn)) * (100 - PERCENT))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that the union sketch doesn't exclude."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"), *[F.col(c).alias(f"{x}{c}") for c in ("f1", "f2", "doc")])
-    both = F.array_intersect("as", "bs")
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
     union = F.slice(F.array_sort(F.array_union("as", "bs")), 1, K)
-    seen = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
-    seen = seen.where(F.size("both") * 1 >= F.least(F.lit(LEAST), F.ceil(F.greatest("an", "bn") * PERCENT / 100)))
-    exact = (F.col("an") <= K) & (F.col("bn") <= K)
+    seen = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.array_intersect("as", "bs"))
+    shared = F.size("both") >= F.least(F.lit(LEAST), F.ceil(F.greatest("an", "bn") * PERCENT / 100))
     estimate = F.size(F.array_intersect(union, "both")) * 100 / F.size(union)
-    return seen.where(F.when(exact, F.size("both") * 100 >= (F.col("an") + F.col("bn") - F.size("both")) * PERCENT).otherwise(estimate >= PERCENT - MARGIN)).drop("as", "bs", "both")
+    return seen.where(shared & (estimate >= PERCENT - MARGIN)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets, computed from the whole texts, have Jaccard similarity PERCENT / 100 or more."""
-    key = lambda c: F.struct(F.coalesce(c, F.lit(0)).alias("i"), c.isNull().alias("none"))
-    texts = docs.select(key(F.col("doc_id").cast("long")).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    one = pairs.withColumn("id", key(F.col("adoc"))).join(texts, "id").withColumnRenamed("text", "atext")
-    two = one.withColumn("id", key(F.col("bdoc"))).join(texts, "id")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets have Jaccard similarity PERCENT / 100 or more."""
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"{x}s"))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text="text", rows=500, chars=1_000_000):
-                left, right = (Words(part.column(i)).shingle_sets() for i in (6, 7))
-                keep = []
-                for i, (x, y, f1, f2, g1, g2) in enumerate(zip(left, right, *(part.column(c).to_pylist() for c in range(2, 6)), strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both * 100 >= PERCENT * (len(x) + len(y) - both) and _is(x, f1, f2) and _is(y, g1, g2):
-                        keep.append(i)
-                yield part.select([0, 1]).take(pa.array(keep, pa.int64()))
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * 100 >= PERCENT * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return two.select("a", "b", "af1", "af2", "bf1", "bf2", "atext", "text").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "as", "bs").mapInArrow(run, "a long, b long")
 
 
-def _is(shingles: np.ndarray, f1: int, f2: int) -> bool:
-    """Whether this is the set of that fingerprint (a doc_id may have several texts)."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() == np.array([f1, f2], dtype="<i8").tobytes()
+def _print(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit fingerprint as two longs."""
+    return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), dtype="<i8").tolist())
 
 
 def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect whatever is connected."""
     lists = saved(inverted_lists(classes), "lists")
-    heads = lists.groupBy("value").agg(F.min(F.struct("cls", "n")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"))
-    pairs = _fitting(lists.join(heads, "value").where("a <> cls").select("a", F.col("cls").alias("b"), "an", F.col("n").alias("bn"))).select("a", "b").distinct()
-    links = saved(verified(estimated(pairs, classes), docs), "links")
-    leaders, first = 1, 16
+    crowded = lists.groupBy("value").count().where("count > 1").select("value")
+    lists = saved(lists.join(crowded, "value"), "lists-shared")
+    sets = saved(full_sets(classes, lists.select("cls").distinct(), docs), "sets")
+    own = lonely(sets)
+    # own <= 15 % of a union of at most n * 100 / 85: else there is no partner at all.
+    fit = F.col("u") * PERCENT <= F.col("n") * (100 - PERCENT)
+    lists = saved(lists.join(own, "cls", "left").withColumn("u", F.coalesce("own", F.lit(0))).where(fit).select("value", "cls", "n", "u"), "lists-fit")
+    heads = lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.u").alias("au"))
+    star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "au", "u")).select("a", F.col("cls").alias("b")).distinct()
+    links = saved(verified(estimated(star, classes), sets), "links")
+    leaders, more = 1, 16
     while True:
         labels = components(links)
-        named = lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label"))
-        open_lists = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where((F.col("low") != F.col("high")) & (F.col("members") > leaders + 1))
-        rest = saved(named.join(open_lists.select("value"), "value").withColumn("at", F.row_number().over(W.partitionBy("value").orderBy("cls"))), "open")
+        named = lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", "u", F.coalesce("label", "cls").alias("label"))
+        split = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+        split = split.where((F.col("low") != F.col("high")) & (F.col("members") > leaders + 1)).select("value")
+        rest = saved(named.join(split, "value").withColumn("at", F.row_number().over(W.partitionBy("value").orderBy("u", "cls"))), "lists-open")
         if rest.isEmpty():
             return links
-        lead = rest.where((F.col("at") > leaders) & (F.col("at") <= leaders + first)).select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("label").alias("alabel"), F.col("at").alias("aat"))
-        more = lead.join(rest, "value").where("at > aat and label <> alabel").select("a", F.col("cls").alias("b"), "an", F.col("n").alias("bn"))
-        found = verified(estimated(_fitting(more).select("a", "b").distinct(), classes), docs)
-        links = saved(links.union(found).distinct(), "links")
-        leaders, first = leaders + first, first * 4
+        lead = rest.where((F.col("at") > leaders) & (F.col("at") <= leaders + more)).select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("u").alias("au"), F.col("label").alias("alabel"), F.col("at").alias("aat"))
+        pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "au", "u"))
+        found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes), sets)
+        links = saved(links.union(found), "links")
+        leaders, more = leaders + more, more * 4
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, n, label, component_id) for every row; tag tells texts of one doc_id apart; label is null without words."""
     rows = saved(sketches(docs), "sketches")
     full = rows.where("n > 0")
     classes = saved(full.groupBy("f1", "f2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     labels = components(linked(classes, docs))
     member = classes.join(labels, F.col("cls") == F.col("node"), "left").select("f1", "f2", "doc", F.coalesce("label", "cls").alias("label"))
     names = member.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = member.join(names, "label").select("f1", "f2", "component_id")
-    own = full.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return own.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = member.join(names, "label").select("f1", "f2", "label", "component_id")
+    own = full.select("doc_id", "tag", "n", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "tag", "n", "label", "component_id")
+    alone = rows.where("n = 0").select("doc_id", "tag", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return own.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    rows = labelled(docs)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component (smallest doc_id, null last); rows without words all stay. Same columns."""
+    rows = saved(labelled(docs), "components")
+    worded = rows.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
+    keep = worded.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
+    keep = keep.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))).distinct()
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & _tag(docs["text"]).eqNullSafe(F.col("__tag"))
+    kept = docs.join(keep, match, "left_semi")
+    if worded.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        return kept
+    # Rows that are repeated exactly: one stays.
+    wordless = F.coalesce(F.regexp_count(kept["text"].cast("string"), F.lit(WORD)), F.lit(0)) == 0
+    return kept.where(~wordless).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(wordless))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
