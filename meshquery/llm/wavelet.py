@@ -60,15 +60,16 @@ def build(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, bits: i
         return at - len(parts[-1])
 
     for level in range(bits - 1, -1, -1):
-        bit = (seq >> level) & 1
-        one = bit.astype(bool)
+        one = (seq & seq.dtype.type(1 << level)) != 0
         packed = np.packbits(one, bitorder="little")
         size = BLOCK_BITS // 8
         blocks = [put(packed[i : i + size].tobytes()) for i in range(0, len(packed), size)]
-        steps = np.add.reduceat(one, np.arange(0, len(one), RANK_BITS), dtype=np.uint32) if len(one) else np.zeros(0, np.uint32)
+        whole = np.zeros(-(-len(packed) // (RANK_BITS // 8)) * (RANK_BITS // 8), dtype=np.uint8)
+        whole[: len(packed)] = packed
+        steps = np.bitwise_count(whole.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.uint32)
         ranks = np.concatenate([[0], np.cumsum(steps)]).astype("<u4")
         planes.append({"zeros": int(len(one) - ranks[-1]), "blocks": blocks, "ranks": put(ranks.tobytes())})
-        seq = np.concatenate([seq[~one], seq[one]])
+        seq = np.concatenate([seq.take(np.flatnonzero(~one)), seq.take(np.flatnonzero(one))])
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     head = {
         "planes": planes,
@@ -189,8 +190,8 @@ class Shard:
             packed = np.concatenate([self._array(b, "u1") for b in plane["blocks"]]) if plane["blocks"] else np.zeros(0, np.uint8)
             one = np.unpackbits(packed, bitorder="little")[: self.n].astype(bool)
             up = np.empty_like(seq)
-            up[~one] = seq[: plane["zeros"]]
-            up[one] = seq[plane["zeros"] :] | seq.dtype.type(1 << (self.bits - 1 - p))
+            up[np.flatnonzero(~one)] = seq[: plane["zeros"]]
+            up[np.flatnonzero(one)] = seq[plane["zeros"] :] | seq.dtype.type(1 << (self.bits - 1 - p))
             seq = up
         return seq.astype(np.uint32)
 
