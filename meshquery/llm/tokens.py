@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .common import quiet_threads
 
 #: Memoised units per worker; beyond it the memo starts anew (memory bound, results unchanged).
-MEMO_UNITS = 600_000
+MEMO_UNITS = 800_000
 
 _SPACE = r"\pZ\s\x0b\x1c-\x1f\x{85}"
 #: White space other than single blanks and line feeds between other characters, the cut mark itself, or what may be a special token.
@@ -72,6 +72,9 @@ class Encoder:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+        self._put(part, flat, sizes)
+
+    def _put(self, part: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, k = len(self.memo), len(part)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -94,8 +97,8 @@ class Encoder:
         texts = pc.replace_substring_regex(texts, r"(\p{L})([,.])(\x00|\z)", "\\1\0\\2\\3")
         return pc.split_pattern(texts, "\0")
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``texts``: Arrow strings without nulls."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``texts``: Arrow strings without nulls. With ``end_id``, that id follows each text's own."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         # Compacted first: Arrow's ascii_lower misreads slices.
@@ -120,6 +123,12 @@ class Encoder:
             self._learn(new_names)
             at[new] = np.fromiter(map(memo.get, new_names), dtype=np.int32, count=len(new))
         unit = at[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, dtype=np.int32)
+        if end_id is not None:  # one more unit per text
+            if (end_unit := memo.get(f"\0end {end_id}", -1)) < 0:
+                self._put([f"\0end {end_id}"], np.array([end_id], dtype=np.uint32), np.ones(1, dtype=np.int64))
+                end_unit = len(memo) - 1
+            unit = np.insert(unit, np.cumsum(per_text), np.int32(end_unit))
+            per_text = per_text + 1
         sizes = self.size[unit]
         ends = np.cumsum(sizes, dtype=np.int32)  # a slice's ids are few enough
         place = np.repeat(self.start[unit] - (ends - sizes), sizes)
@@ -133,9 +142,10 @@ class Encoder:
             parts, last = [], 0
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for i, ids in zip(whole, own, strict=True):
+                end = starts[i + 1] - (end_id is not None)  # its end id stays
                 parts += [flat[last : starts[i]], ids]
-                last = starts[i + 1]
-                lengths[i] = len(ids)
+                last = end
+                lengths[i] = len(ids) + (end_id is not None)
             flat = np.concatenate([*parts, flat[last:]])
         return flat, lengths
 

@@ -218,11 +218,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int |
 
         for batch in batches:
             for piece in slices(batch):
-                flat, lengths = coder.encode(piece.column(1))
-                ids = np.insert(flat, np.cumsum(lengths), end_id)
+                ids, lengths = coder.encode(piece.column(1), end_id)
                 names += piece.column(0).to_pylist()
                 held.append(ids)
-                sizes.append(lengths + 1)
+                sizes.append(lengths)
                 total += len(ids)
                 if total >= SHARD_IDS:
                     yield shard()
