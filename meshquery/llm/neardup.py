@@ -8,8 +8,10 @@ inverted lists. Common lines and passages are frequent values and stay out of th
 
 1. Equal sets become one class (a map-side combined group-by), however many copies there are.
 2. Inverted lists over classes. Classes alone in their lists are done; of the others the full sets are kept.
-3. A shingle that one class has alone is in the union and not in the intersection of any pair it takes part in, so two
-   classes with U and V such shingles can only be linked if U + V <= 15 % of their union. This is exact.
+3. Over the full sets the lists are made again, now exactly: a linked pair shares one of the rarest 15 % of either set.
+   A shingle that one class has alone is in the union and not in the intersection of any pair it takes part in, so two
+   classes with U and V such shingles can only be linked if U + V <= 15 % of their union. Variants of one text differ
+   in their rare shingles: these bounds keep them from being compared all with all.
 4. A list never emits all its pairs: its most central member (fewest shingles of its own) is compared with the others;
    members that turn out to be in one component need no more comparing with each other. Lists whose members are in
    several components go to another round with more leaders, until every pair in a list was compared, is in one
@@ -103,12 +105,16 @@ def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFra
     return found if repeated.isEmpty() else found.dropDuplicates(["cls"])
 
 
-def lonely(sets: DataFrame) -> DataFrame:
-    """(cls, own): how many of a class's shingles no other class of ``sets`` has. 32 bits of a hash suffice: a chance
-    match only makes a shingle look shared, which excludes less."""
-    spread = sets.select("cls", F.explode("shingles").alias("x")).select("cls", F.shiftright("x", 20).bitwiseAND(0x7FFFFFFF).cast("int").alias("x"))
-    once = spread.groupBy("x").agg(F.count("*").alias("times"), F.min("cls").alias("cls")).where("times = 1")
-    return once.groupBy("cls").agg(F.count("*").alias("own"))
+def exact_lists(sets: DataFrame) -> DataFrame:
+    """(value, cls, n, u): inverted lists over the full sets. A linked pair shares one of the first n - 0.85 n + 1 shingles
+    of either set, rarest first; u counts a class's shingles that no other class of ``sets`` has. 31 bits of a hash do:
+    a chance match makes a shingle look more frequent, which excludes less, or puts a pair up that is then compared."""
+    spread = sets.select("cls", "n", F.explode("shingles").alias("x")).select(F.shiftright("x", 20).bitwiseAND(0x7FFFFFFF).cast("int").alias("value"), "cls", "n")
+    shared = spread.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
+    own = spread.join(shared, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
+    own = own.withColumn("u", F.col("n") - F.size("values"))
+    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("u"))
+    return own.select("cls", "n", "u", F.explode(F.slice("values", F.lit(1), keep.cast("int"))).alias("v")).select("v.value", "cls", "n", "u").distinct()
 
 
 def _possible(an: str, bn: str, au: str, bu: str) -> Column:
@@ -155,10 +161,7 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     crowded = lists.groupBy("value").count().where("count > 1").select("value")
     lists = saved(lists.join(crowded, "value"), "lists-shared")
     sets = saved(full_sets(classes, lists.select("cls").distinct(), docs), "sets")
-    own = lonely(sets)
-    # own <= 15 % of a union of at most n * 100 / 85: else there is no partner at all.
-    fit = F.col("u") * PERCENT <= F.col("n") * (100 - PERCENT)
-    lists = saved(lists.join(own, "cls", "left").withColumn("u", F.coalesce("own", F.lit(0))).where(fit).select("value", "cls", "n", "u"), "lists-fit")
+    lists = saved(exact_lists(sets), "lists-exact")
     heads = lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.u").alias("au"))
     star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "au", "u")).select("a", F.col("cls").alias("b")).distinct()
     links = saved(verified(estimated(star, classes), sets), "links")
@@ -175,7 +178,7 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "au", "u"))
         found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes), sets)
         links = saved(links.union(found), "links")
-        leaders, more = leaders + more, more * 4
+        leaders, more = leaders + more, more * 2
 
 
 def labelled(docs: DataFrame) -> DataFrame:
