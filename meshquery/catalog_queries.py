@@ -1,11 +1,594 @@
-"""Queries by name with their SQL."""
+"""Queries over the given tables by name, with their SQL.
+
+The tables stand in for site graphs: parts are Product pages (brand = site), orders and events are histories, order lines
+are links, embeddings and conversations are observation logs, pages are web pages.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import text, urls
+from .operators import delta, graph, observations, schema, timeseries, vector
+from .plans.syntax import PSEUDO  # noqa: F401  (the language's pseudo-columns, for callers)
+from .plans.translate import Catalog, wql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        _found[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- the query language
+
+
+def _models(spark: SparkSession, d: str) -> Catalog:
+    part, customer, orders = (table(spark, d, t) for t in ("part", "customer", "orders"))
+    product = part.select(F.col("p_brand").alias("domain"), F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), F.col("p_type").alias("kind"))
+    account = customer.select(F.col("c_mktsegment").alias("domain"), F.concat(F.lit("/customer/"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
+    checkout = orders.select(F.col("o_orderstatus").alias("domain"), F.concat(F.lit("/order/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderkey").alias("node_id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("total"))
+    return Catalog({"Product": product, "Account": account, "Checkout": checkout}, _order_history(spark, d), dt.datetime(1996, 1, 1))
+
+
+def _order_history(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's order totals over time; one point per day (the last order of the day)."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = [F.col("c_mktsegment").alias("domain"), F.concat(F.lit("/customer/"), F.col("o_custkey").cast("string")).alias("url")]
+    return orders.groupBy(*keys, F.col("o_orderdate").alias("ts")).agg(F.max_by("o_totalprice", "o_orderkey").alias("value")).select("domain", "url", F.lit("total").alias("field"), "ts", "value")
+
+
+_PRODUCT = "SELECT p_brand AS domain, '/part/' || p_partkey AS url, p_partkey AS node_id, p_name AS name, p_retailprice AS price, p_size AS size, p_type AS kind FROM part"
+
+
+def _wql(query: str) -> Query:
+    return lambda spark, d: wql(spark, query, _models(spark, d))
+
+
+for _name, _text, _oracle in (
+    ("wql_filter_sort_limit", "SELECT name, price FROM Product WHERE price < 910 ORDER BY price ASC LIMIT 10", f"SELECT domain, url, node_id, name, price FROM ({_PRODUCT}) WHERE price < 910 ORDER BY price, domain, node_id LIMIT 10"),
+    ("wql_across", "SELECT name, price AS cost FROM Product ACROSS 'Brand#11', 'Brand#12', 'Brand#23' ORDER BY price DESC LIMIT 40", f"SELECT domain, url, node_id, name, price AS cost FROM ({_PRODUCT}) WHERE domain IN ('Brand#11', 'Brand#12', 'Brand#23') ORDER BY price DESC, domain, node_id LIMIT 40"),
+    ("wql_or_precedence", "SELECT name FROM Product WHERE size < 5 OR size > 45 AND price > 950", f"SELECT domain, url, node_id, name FROM ({_PRODUCT}) WHERE size < 5 OR (size > 45 AND price > 950)"),
+    ("wql_not_parentheses", "SELECT size FROM Product WHERE NOT (size = 7 OR price >= 920.5) AND name != 'x'", f"SELECT domain, url, node_id, size FROM ({_PRODUCT}) WHERE NOT (abs(size - 7) < 0.001 OR price >= 920.5) AND name <> 'x'"),
+    ("wql_close_equality", "SELECT price FROM Product WHERE price = 905.0004", f"SELECT domain, url, node_id, price FROM ({_PRODUCT}) WHERE price > 905.0004 - 0.001 AND price < 905.0004 + 0.001"),
+    ("wql_select_all", "SELECT * FROM Product ORDER BY size DESC, price LIMIT 25", f"SELECT * FROM ({_PRODUCT}) ORDER BY size DESC, price, domain, node_id LIMIT 25"),
+    ("wql_join", "SELECT total, Account.balance AS balance FROM Checkout JOIN Account ON customer = Account.node_id WHERE total > 150000", "SELECT o_orderstatus AS domain, '/order/' || o_orderkey AS url, o_orderkey AS node_id, o_totalprice AS total, c_acctbal AS balance FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 150000"),
+    (
+        "wql_value_ago", "SELECT balance, total_30d_ago FROM Account WHERE total_30d_ago > 1000",
+        """WITH h AS (SELECT o_custkey, o_orderdate, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY ALL),
+        a AS (SELECT o_custkey, arg_max(v, o_orderdate) AS v FROM h WHERE o_orderdate <= TIMESTAMP '1995-12-02' GROUP BY o_custkey)
+        SELECT c_mktsegment AS domain, '/customer/' || c_custkey AS url, c_custkey AS node_id, c_acctbal AS balance, v AS total_30d_ago FROM customer JOIN a ON c_custkey = o_custkey WHERE v > 1000""",
+    ),
+    (
+        "wql_best_historic", "SELECT best_historic_total FROM Account WHERE balance > 0",
+        "SELECT c_mktsegment AS domain, '/customer/' || c_custkey AS url, c_custkey AS node_id, m AS best_historic_total FROM customer LEFT JOIN (SELECT o_custkey, max(v) AS m FROM (SELECT o_custkey, o_orderdate, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY ALL) GROUP BY o_custkey) ON c_custkey = o_custkey WHERE c_acctbal > 0",
+    ),
+):
+    _query(_name, _oracle)(_wql(_text))
+
+
+# --- node filters
+
+
+def _part_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as nodes: page types and flags from the key, price and rating in the feature vector."""
+    p = table(spark, d, "part")
+    dims = {48: F.col("p_retailprice"), 52: (F.col("p_partkey") % 50) / 50.0, 58: F.col("p_size") / 50.0}
+    features = F.array(*[dims.get(i, F.lit(0.0)).cast("float") for i in range(128)])
+    return p.select(F.col("p_brand").alias("domain"), F.col("p_partkey").cast("int").alias("node_id"), F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 7 == 0, 5).otherwise(4).cast("int").alias("page_type"), (F.col("p_partkey") % 256).cast("int").alias("confidence"), (F.col("p_partkey") % 128).cast("int").alias("flags"), features.alias("features"))
+
+
+@_query("node_filter_ranges_flags", """
+SELECT p_brand AS domain, p_partkey::INT AS node_id, round((p_partkey % 256) / 255.0::DOUBLE, 9) AS confidence_share, round(p_retailprice::FLOAT::DOUBLE, 3) AS price FROM part
+WHERE p_partkey % 7 <> 0 AND p_retailprice::FLOAT BETWEEN 905 AND 915 AND ((p_partkey % 50) / 50.0::DOUBLE)::FLOAT >= 0.25::FLOAT AND (p_partkey % 128) & 65 = 65 AND (p_partkey % 128) & 8 = 0
+ORDER BY p_retailprice::FLOAT DESC, p_brand, p_partkey LIMIT 50""")
+def node_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = graph.filter_nodes(_part_nodes(spark, d), ["product_detail"], [(48, 905, 915), (52, 0.25, None)], ("rendered", "has_price"), ("blocked",), (48, True), 50)
+    return out.select("domain", "node_id", F.round("confidence_share", 9).alias("confidence_share"), F.round(F.try_element_at("key_features", F.lit(48)).cast("double"), 3).alias("price"))
+
+
+@_query("merged_sites", """
+WITH r AS (SELECT p_brand AS domain, p_partkey::INT AS node_id, (p_partkey % 256)::INT AS confidence, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 256 DESC, p_partkey) AS k FROM part)
+SELECT domain, node_id, confidence FROM r WHERE k <= 3 ORDER BY confidence DESC, domain, node_id LIMIT 30""")
+def merged_sites(spark: SparkSession, d: str) -> DataFrame:
+    return graph.merged_sites(_part_nodes(spark, d), 3, 30).select("domain", "node_id", "confidence")
+
+
+# --- vectors
+
+
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+@_query("cosine_topk", """
+SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10""")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return vector.nearest(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "embedding", ("vec_id",)).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("similar_to", """
+SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q
+WHERE e.vec_id <> 3 AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.1
+ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 15""")
+def similar_to(spark: SparkSession, d: str) -> DataFrame:
+    return vector.similar_to(table(spark, d, "embeddings"), "vec_id", 3, 15, "embedding", 0.1).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("cross_label_topk", """
+WITH s AS (SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT label, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS k FROM s) WHERE k <= 3""")
+def cross_label_topk(spark: SparkSession, d: str) -> DataFrame:
+    score = vector._fast_cosine(_first_vector(spark, d))
+    scored = table(spark, d, "embeddings").select("label", "vec_id", score(F.col("embedding")).alias("s"))
+    w = W.partitionBy("label").orderBy(F.desc("s"), "vec_id")
+    return scored.withColumn("k", F.row_number().over(w)).where("k <= 3").select("label", "vec_id", F.round("s", 6).alias("similarity"))
+
+
+@_query("compare_two", """
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.95 AS is_same
+FROM embeddings a, embeddings b WHERE a.vec_id = 1 AND b.vec_id = 2""")
+def compare_two(spark: SparkSession, d: str) -> DataFrame:
+    return vector.compare(table(spark, d, "embeddings"), "vec_id", 1, 2).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("centroids", """
+SELECT label, (i - 1)::INT AS dim, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i""")
+def centroids(spark: SparkSession, d: str) -> DataFrame:
+    return graph.centroids(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centroid").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@_query("kmeans_one_round", """
+WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
+c AS (SELECT row_number() OVER (ORDER BY i) - 1 AS cluster, v FROM r WHERE i IN (SELECT (k * n) // 5 FROM range(5) t(k), (SELECT count(*) AS n FROM embeddings))),
+a AS (SELECT r.vec_id, r.v, arg_min(c.cluster, (list_distance(r.v, c.v), c.cluster)) AS cluster FROM r, c GROUP BY ALL),
+m AS (SELECT cluster, list(mean ORDER BY i) AS v FROM (SELECT cluster, i, avg(x) AS mean FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a) GROUP BY ALL) GROUP BY cluster)
+SELECT r.vec_id, arg_min(m.cluster, (list_distance(r.v, m.v), m.cluster))::INT AS cluster FROM r, m GROUP BY r.vec_id""")
+def kmeans_one_round(spark: SparkSession, d: str) -> DataFrame:
+    return graph.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding", 5, 1)[0]
+
+
+@_query("kmeans_converged")
+def kmeans_converged(spark: SparkSession, d: str) -> DataFrame:
+    return graph.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding")[0]
+
+
+# --- time series
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("user"), "event_type", "ts", "value")
+
+
+for _period, _width in timeseries.PERIODS.items():
+    for _how, _agg in (("min", "min(value)"), ("max", "max(value)"), ("avg", "avg(value)"), ("first", "arg_min(value, (ts, event_id))"), ("last", "arg_max(value, (ts, event_id))")):
+        _query(f"bucket_{_period}_{_how}", f"""
+SELECT event_type, strftime(make_timestamp((floor(epoch(ts) / {_width}) * {_width} * 1000000)::BIGINT), '%Y-%m-%d') AS bucket, round({_agg}, 6) AS value, count(*) AS raw_count FROM events
+GROUP BY event_type, floor(epoch(ts) / {_width})""")(
+            lambda spark, d, p=_period, h=_how: timeseries.buckets(_points(spark, d), ["event_type"], p, h, "event_id").select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), F.round("value", 6).alias("value"), "raw_count")
+        )
+
+_FIT = """
+WITH x AS (SELECT user_id AS "user", (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id))::DOUBLE / 86400000000 AS x, value AS y FROM events),
+f AS (SELECT "user", count(*) AS n, var_pop(x) AS vx, var_pop(y) AS vy, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, max(x) AS last_x, arg_max(y, x) AS last_y FROM x GROUP BY "user")
+"""
+
+
+@_query("trend", _FIT + """SELECT "user", CASE WHEN abs(slope) < 0.01 THEN 'stable' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, round(slope, 6) AS slope, round(r2, 6) AS r2
+FROM f WHERE n >= 3 AND vx * n * n >= 1e-10 AND CASE WHEN vy = 0 THEN 0 ELSE r2 END >= 0.3""")
+def trend(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.trends(_points(spark, d), ["user"]).withColumn("slope", F.round("slope", 6)).withColumn("r2", F.round("r2", 6))
+
+
+@_query("predict", _FIT + """SELECT "user", round(CASE WHEN vx * n * n < 1e-10 THEN last_y ELSE intercept + slope * (last_x + 7) END, 5) AS predicted FROM f WHERE n >= 3""")
+def predict(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.predictions(_points(spark, d), ["user"], 7).withColumn("predicted", F.round("predicted", 5))
+
+
+@_query("anomalies", """
+WITH s AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS spread, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_id, event_type, value, round(abs(value - mean) / spread, 6) AS deviation FROM events JOIN s USING (event_type) WHERE n >= 5 AND spread >= 1e-6 AND abs(value - mean) / spread > 2""")
+def anomalies(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.anomalies(_points(spark, d), ["event_type"]).select("event_id", "event_type", "value", F.round("deviation", 6).alias("deviation"))
+
+
+@_query("periodicity", """
+WITH c AS (SELECT user_id % 20 AS grp, date_trunc('day', ts) AS day, count(*)::DOUBLE AS v FROM events GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY day) AS i, count(*) OVER (PARTITION BY grp) AS n, v - avg(v) OVER (PARTITION BY grp) AS c, var_pop(v) OVER (PARTITION BY grp) AS var FROM c),
+r AS (SELECT a.grp, b.i - a.i AS lag, sum(a.c * b.c) / ((a.n - (b.i - a.i)) * a.var) AS strength FROM s a JOIN s b ON a.grp = b.grp AND b.i - a.i BETWEEN 2 AND a.n // 2 - 1 WHERE a.n >= 7 AND a.var >= 1e-6 GROUP BY a.grp, b.i - a.i, a.n, a.var),
+k AS (SELECT grp, arg_max(lag, (round(strength, 9), -lag))::INT AS lag, max(strength) AS strength FROM r GROUP BY grp)
+SELECT grp, lag, round(strength, 6) AS strength FROM k WHERE strength >= 0.5""")
+def periodicity(spark: SparkSession, d: str) -> DataFrame:
+    daily = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("grp"), F.date_trunc("day", "ts").alias("ts")).agg(F.count("*").cast("double").alias("value"))
+    return timeseries.periodicity(daily, ["grp"]).select("grp", "lag", F.round("strength", 6).alias("strength"))
+
+
+@_query("patterns")
+def patterns(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.patterns(_points(spark, d), ["event_type"])
+
+
+@_query("history_changes", """
+WITH l AS (SELECT user_id AS "user", ts, value AS new_value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events)
+SELECT "user", strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, old_value, new_value FROM l WHERE old_value IS NULL OR old_value <> new_value""")
+def history_changes(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    w = W.partitionBy("user").orderBy("ts", "event_id")
+    out = points.withColumn("old_value", F.lag("value").over(w)).withColumnRenamed("value", "new_value").where("old_value is null or old_value <> new_value")
+    return out.select("user", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "old_value", "new_value")
+
+
+@_query("value_ago", """
+SELECT user_id AS "user", arg_max(value, ts) AS value FROM (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events GROUP BY ALL) WHERE ts <= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY GROUP BY user_id""")
+def value_ago(spark: SparkSession, d: str) -> DataFrame:
+    one = _points(spark, d).groupBy("user", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return timeseries.value_ago(one, ["user"], dt.datetime(2024, 1, 30), 14)
+
+
+@_query("as_of_join", """
+SELECT o.o_orderkey, o.o_custkey, p.o_totalprice AS asof_value FROM orders o
+ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL) p ON o.o_custkey = p.o_custkey AND o.o_orderdate - INTERVAL 30 DAY >= p.o_orderdate""")
+def as_of_join(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    left = orders.select("o_orderkey", "o_custkey", (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("at"))
+    right = orders.groupBy("o_custkey", F.col("o_orderdate").alias("ts")).agg(F.max_by("o_totalprice", "o_orderkey").alias("value"))
+    return timeseries.as_of(left, right, ["o_custkey"], "at", "ts", ["value"]).drop("at")
+
+
+@_query("watch_crossings", """
+WITH l AS (SELECT event_id, event_type, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events),
+r(id, event_type, condition, threshold) AS (VALUES ('r1', 'click', 'value_above', 50.0), ('r2', 'view', 'value_below', 20.0), ('r3', 'purchase', 'change_by_percent', 0.5), ('r4', 'click', 'new_instance', 0.0))
+SELECT id, event_id, before, value FROM l JOIN r USING (event_type) WHERE coalesce(CASE condition WHEN 'value_above' THEN value > threshold AND before <= threshold WHEN 'value_below' THEN value < threshold AND before >= threshold
+WHEN 'change_by_percent' THEN before <> 0 AND abs((value - before) / nullif(before, 0)) > threshold WHEN 'new_instance' THEN before IS NULL END, false)""")
+def watch_crossings(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame([("r1", "click", "value_above", 50.0, True), ("r2", "view", "value_below", 20.0, True), ("r3", "purchase", "change_by_percent", 0.5, True), ("r4", "click", "new_instance", 0.0, True), ("r5", "click", "value_above", 1.0, False)], "id string, event_type string, condition string, threshold double, active boolean")
+    w = W.partitionBy("user", "event_type").orderBy("ts", "event_id")
+    steps = _points(spark, d).withColumn("before", F.lag("value").over(w))
+    met = steps.join(F.broadcast(rules.where("active")), "event_type")
+    return met.where(F.coalesce(timeseries.fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "event_id", "before", "value")
+
+
+# --- snapshots and deltas
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts, and a later state of them: every 10th key gone, some prices changed, some parts new."""
+    old = table(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    kept = old.where("p_partkey % 10 <> 0").withColumn("p_retailprice", F.when(F.col("p_partkey") % 7 == 0, F.col("p_retailprice") * 2).otherwise(F.col("p_retailprice")))
+    return old, kept.unionByName(old.where("p_partkey % 15 = 0").withColumn("p_partkey", F.col("p_partkey") + 10_000_000))
+
+
+_VERSIONS = """
+WITH o AS (SELECT p_partkey, p_retailprice, p_size::DOUBLE AS p_size FROM part),
+n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS p_retailprice, p_size FROM o WHERE p_partkey % 10 <> 0 UNION ALL SELECT p_partkey + 10000000, p_retailprice, p_size FROM o WHERE p_partkey % 15 = 0),
+j AS (SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'add' WHEN n.p_partkey IS NULL THEN 'remove' ELSE 'modify' END AS op, o.p_retailprice AS o1, n.p_retailprice AS n1, o.p_size AS o2, n.p_size AS n2 FROM o FULL JOIN n ON o.p_partkey = n.p_partkey),
+l AS (SELECT p_partkey, op, 'p_retailprice' AS field, o1 AS old_value, n1 AS new_value FROM j UNION ALL SELECT p_partkey, op, 'p_size', o2, n2 FROM j)
+"""
+
+
+@_query("delta_columns", _VERSIONS + "SELECT * FROM l WHERE op <> 'modify' OR abs(new_value - old_value) > 0.001")
+def delta_columns(spark: SparkSession, d: str) -> DataFrame:
+    return delta.column_delta(*_versions(spark, d), ["p_partkey"], ["p_retailprice", "p_size"])
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    return df.select(F.lit("s").alias("domain"), F.col("p_partkey").cast("string").alias("url"), F.array(F.col("p_retailprice").cast("float"), F.col("p_size").cast("float")).alias("features"))
+
+
+@_query("delta_nodes", _VERSIONS + """
+SELECT p_partkey::VARCHAR AS url, op, CASE field WHEN 'p_retailprice' THEN 0 ELSE 1 END::INT AS dim, round(new_value::FLOAT::DOUBLE, 3) AS value FROM l WHERE (op = 'modify' AND abs(new_value::FLOAT - old_value::FLOAT) > 0.001) OR (op = 'add' AND new_value <> 0)
+UNION ALL SELECT DISTINCT p_partkey::VARCHAR, op, -1, 0.0 FROM l WHERE op = 'remove'""")
+def delta_nodes(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    out = delta.node_delta(_vectors(old), _vectors(new))
+    long = out.select("url", "op", F.explode_outer("dims").alias("dim", "value"))
+    return long.select("url", "op", F.coalesce("dim", F.lit(-1)).alias("dim"), F.round(F.coalesce(F.col("value").cast("double"), F.lit(0.0)), 3).alias("value"))
+
+
+@_query("delta_applied", """
+SELECT p_partkey::VARCHAR AS url, round(CASE WHEN p_partkey % 7 = 0 AND p_partkey < 10000000 THEN p_retailprice * 2 ELSE p_retailprice END::FLOAT::DOUBLE, 3) AS price, p_size::DOUBLE AS size FROM part WHERE p_partkey % 10 <> 0
+UNION ALL SELECT (p_partkey + 10000000)::VARCHAR, round(p_retailprice::FLOAT::DOUBLE, 3), p_size::DOUBLE FROM part WHERE p_partkey % 15 = 0""")
+def delta_applied(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    done = delta.apply_delta(_vectors(old), delta.node_delta(_vectors(old), _vectors(new)), width=2)
+    return done.select("url", F.round(F.get("features", F.lit(0)).cast("double"), 3).alias("price"), F.get("features", F.lit(1)).cast("double").alias("size"))
+
+
+@_query("delta_edges", """
+WITH o AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity > 10), n AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity < 45)
+SELECT src, dst, 'edge_add' AS op FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT src, dst, 'edge_remove' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+def delta_edges(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_quantity")
+    return delta.edge_delta(lines.where("l_quantity > 10"), lines.where("l_quantity < 45"), ("src", "dst"))
+
+
+@_query("gc_keep_last_n", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k <= 3")
+def gc_keep_last_n(spark: SparkSession, d: str) -> DataFrame:
+    return delta.keep_last(table(spark, d, "orders"), ["o_custkey"], 3, "o_orderdate", ("o_orderkey",)).select("o_custkey", "o_orderkey")
+
+
+@_query("registry_since", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1996-06-01'")
+def registry_since(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > F.lit(dt.datetime(1996, 6, 1)))).select("o_orderkey", "o_totalprice")
+
+
+@_query("registry_stats", "SELECT p_brand AS domain, count(*) AS nodes, count(DISTINCT p_type) AS kinds FROM part GROUP BY p_brand")
+def registry_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("domain")).agg(F.count("*").alias("nodes"), F.countDistinct("p_type").alias("kinds"))
+
+
+@_query("privacy_strip", "SELECT p_partkey::INT AS node_id, CASE WHEN (p_partkey % 128) & 16 <> 0 THEN 0 ELSE round(p_retailprice::FLOAT::DOUBLE, 3) END AS price FROM part")
+def privacy_strip(spark: SparkSession, d: str) -> DataFrame:
+    return delta.stripped(_part_nodes(spark, d)).select("node_id", F.round(F.get("features", F.lit(48)).cast("double"), 3).alias("price"))
+
+
+@_query("differing_sites", "SELECT DISTINCT p_brand AS domain FROM part WHERE p_partkey % 97 = 0")
+def differing_sites(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _part_nodes(spark, d)
+    return delta.differing_sites(delta.snapshot_hash(nodes), delta.snapshot_hash(nodes.withColumn("url", F.when(F.col("node_id") % 97 == 0, F.concat("url", F.lit("x"))).otherwise(F.col("url")))))
+
+
+# --- graphs
+
+
+def _trade_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, customers, parts and suppliers as nodes of one site; orders link to customers and parts, parts to suppliers."""
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    code = {"Order": 0, "Customer": 1, "Part": 2, "Supplier": 3}
+    key = lambda kind, c: (F.col(c) * 4 + code[kind])
+    pairs = [
+        orders.select(key("Order", "o_orderkey").alias("src"), key("Customer", "o_custkey").alias("dst")),
+        line.select(key("Order", "l_orderkey").alias("src"), key("Part", "l_partkey").alias("dst")).distinct(),
+        line.select(key("Part", "l_partkey").alias("src"), key("Supplier", "l_suppkey").alias("dst")).distinct(),
+    ]
+    edges = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).select(F.lit("s").alias("domain"), "src", "dst", F.lit(1).alias("edge_type"), F.lit(1).alias("weight"), F.lit(0).alias("flags"))
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    names = F.create_map(*[x for k, v in code.items() for x in (F.lit(v), F.lit(k))])
+    return ids.select(F.lit("s").alias("domain"), "node_id", F.try_element_at(names, (F.col("node_id") % 4).cast("int")).alias("model")), edges
+
+
+_EDGES = """
+WITH e AS (SELECT o_orderkey * 4 AS src, o_custkey * 4 + 1 AS dst FROM orders UNION ALL SELECT DISTINCT l_orderkey * 4, l_partkey * 4 + 2 FROM lineitem UNION ALL SELECT DISTINCT l_partkey * 4 + 2, l_suppkey * 4 + 3 FROM lineitem)
+"""
+
+
+@_query("relationships", _EDGES + """,
+p AS (SELECT src % 4 AS a, dst % 4 AS b, src, count(*) AS c FROM e GROUP BY ALL),
+r AS (SELECT a, b, avg(c) AS mean, max(c) AS most, sum(c)::BIGINT AS edge_count FROM p GROUP BY a, b),
+n(i, name, snake) AS (VALUES (0, 'Order', 'order'), (1, 'Customer', 'customer'), (2, 'Part', 'part'), (3, 'Supplier', 'supplier')),
+k AS (SELECT r.*, CASE WHEN mean <= 1.2 AND most <= 2 THEN 'belongs_to' WHEN EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a) AND mean > 2 THEN 'many_to_many' WHEN most = 1 THEN 'has_one' ELSE 'has_many' END AS cardinality FROM r)
+SELECT x.name AS from_model, y.name AS to_model, CASE cardinality WHEN 'belongs_to' THEN 'belongs_to_' || y.snake WHEN 'has_many' THEN 'has_' || y.snake || 's' WHEN 'has_one' THEN 'has_' || y.snake ELSE y.snake || 's' END AS name, cardinality, edge_count FROM k JOIN n x ON a = x.i JOIN n y ON b = y.i""")
+def relationships(spark: SparkSession, d: str) -> DataFrame:
+    return graph.relationships(*_trade_graph(spark, d))
+
+
+@_query("degrees", _EDGES + "SELECT n AS node_id, least(sum(i), 65535)::BIGINT AS inbound, least(sum(o), 65535)::BIGINT AS outbound FROM (SELECT src AS n, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY n")
+def degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_trade_graph(spark, d)[1]).select("node_id", F.col("inbound").cast("long").alias("inbound"), F.col("outbound").cast("long").alias("outbound"))
+
+
+@_query("shortest_path", """
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS s, o_orderkey * 2 + 1 AS t FROM orders WHERE o_orderkey % 5 = 0),
+g AS (SELECT s, t FROM e UNION ALL SELECT t, s FROM e),
+w(node, cost) AS (SELECT 2 * (SELECT min(o_custkey) FROM orders WHERE o_orderkey % 5 = 0), 0 UNION SELECT t, cost + 1 FROM w JOIN g ON node = s WHERE cost < 4)
+SELECT node::INT AS node, min(cost)::BIGINT AS cost FROM w GROUP BY node""")
+def shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    """Hops from the first customer through its orders (a forest of stars, so paths are short)."""
+    orders = table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    pairs = orders.select((F.col("o_custkey") * 2).cast("int").alias("src"), (F.col("o_orderkey") * 2 + 1).cast("int").alias("dst"))
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst", F.lit(1).alias("weight"), F.lit(0).alias("flags"))
+    source = orders.agg(F.min("o_custkey")).first()[0] * 2
+    return graph.shortest_paths(edges, source, mode="hops").select("node", "cost")
+
+
+@_query("shortest_path_weighted", """
+WITH RECURSIVE e AS (SELECT n AS s, m AS t, 1 + (n * 7 + m) % 5 AS w FROM (SELECT n_nationkey AS n, unnest([n_nationkey + 1, n_nationkey + 3, n_nationkey + 7]) AS m FROM nation) WHERE m < 25),
+p(node, cost) AS (SELECT 0, 0 UNION SELECT t, cost + w FROM p JOIN e ON node = s)
+SELECT node::INT AS node, min(cost)::BIGINT AS cost FROM p GROUP BY node""")
+def shortest_path_weighted(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    pairs = table(spark, d, "nation").select(n.alias("src"), F.explode(F.array(n + 1, n + 3, n + 7)).alias("dst")).where("dst < 25")
+    edges = pairs.select("src", "dst", (1 + (F.col("src") * 7 + F.col("dst")) % 5).alias("weight"), F.lit(0).alias("flags"))
+    return graph.shortest_paths(edges, 0).select("node", "cost")
+
+
+@_query("diverse_sample", """
+SELECT p_partkey::INT AS node_id, page_type FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 4 END AS page_type, row_number() OVER (PARTITION BY CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 4 END ORDER BY p_partkey) AS k FROM part) ORDER BY k, page_type, p_partkey LIMIT 21""")
+def diverse_sample(spark: SparkSession, d: str) -> DataFrame:
+    return graph.diverse_sample(_part_nodes(spark, d), 21).select("node_id", "page_type")
+
+
+# --- URLs and pages
+
+_CASE = "CASE WHEN p IN ('/', '') THEN {home} " + " ".join(
+    "WHEN " + " OR ".join(f"starts_with(p, '{x[1:]}')" if x[0] == "^" else f"ends_with(p, '{x[1:]}')" if x[0] == "$" else f"contains(p, '{x}')" for x in patterns.split()) + f" THEN {{{i}}}" for i, (_, _, patterns) in enumerate(urls.PATHS)
+) + " ELSE {none} END"
+_TYPES = _CASE.format(*[str(urls.PAGE_TYPE[n]) for n, _, _ in urls.PATHS], home="1", none="0")
+_SURE = _CASE.format(*[str(c) for _, c, _ in urls.PATHS], home="0.9", none="0.3")
+_PATH = "(SELECT page_id, url, CASE WHEN t = '' THEN '/' WHEN t[1] = '/' THEN t ELSE '/' || t END AS t FROM (SELECT page_id, url, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS t FROM pages))"
+
+
+@_query("url_classify", f"SELECT page_id, ({_TYPES})::INT AS page_type, ({_SURE})::DOUBLE AS confidence FROM (SELECT page_id, lower(t) AS p FROM {_PATH})")
+def url_classify(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", urls.classify(F.col("url")).alias("c")).select("page_id", "c.page_type", "c.confidence")
+
+
+@_query("url_parts", f"""
+SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_replace(t, '[?#].*$', '') AS path, len(list_filter(string_split(regexp_replace(t, '[?#].*$', ''), '/'), lambda x: x <> ''))::INT AS depth,
+CASE WHEN regexp_replace(regexp_replace(t, '[?#].*$', ''), '/+$', '') = '' THEN NULL WHEN regexp_matches(regexp_replace(regexp_replace(t, '[?#].*$', ''), '/+$', ''), '^/[^/]*$') THEN '/' ELSE regexp_replace(regexp_replace(regexp_replace(t, '[?#].*$', ''), '/+$', ''), '/[^/]*$', '') END AS parent FROM {_PATH}""")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.path(u).alias("path"), urls.path_depth(u).alias("depth"), urls.parent_path(u).alias("parent"))
+
+
+@_query("page_links", """SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
+
+
+@_query("site_jaccard", """
+WITH p AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS site, split_part(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '/', 2) AS item FROM pages),
+n AS (SELECT site, count(*) AS n FROM p GROUP BY site),
+m AS (SELECT x.site AS a, y.site AS b, count(*) AS common FROM p x JOIN p y ON x.item = y.item AND x.site < y.site GROUP BY ALL)
+SELECT a, b, common, round(common / (s.n + t.n - common)::DOUBLE, 3) AS jaccard FROM m JOIN n s ON a = s.site JOIN n t ON b = t.site""")
+def site_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    item = F.split(F.regexp_replace("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), "/")
+    return schema.site_overlap(table(spark, d, "pages").select(urls.host(F.col("url")).alias("s"), F.coalesce(F.get(item, F.lit(1)), F.lit("")).alias("i")), "s", "i")
+
+
+# --- text
+
+
+@_query("pii_scan", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for k, p in text.PII.items()))
+def pii_scan(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.explode(text.pii_matches(F.col("text"))).alias("m")).select("doc_id", "m.type", "m.match")
+
+
+@_query("pii_spans")
+def pii_spans(spark: SparkSession, d: str) -> DataFrame:
+    return text.pii_spans(table(spark, d, "documents"), ["doc_id"])
+
+
+@_query("has_pii", "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in text.PII.values()) + " AS has_pii FROM documents")
+def has_pii(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.has_pii(F.col("text")).alias("has_pii"))
+
+
+@_query("threats", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in text.THREATS.items()) + "], lambda x: x IS NOT NULL), ',') AS threats FROM documents")
+def threats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.threats(F.col("text")), ",").alias("threats"))
+
+
+@_query("sanitized", "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '{0}', '', 'g'), '{1}', '', 'g'), '{2}', '', 'g')) AS digest FROM pages".format(*[text.THREATS[k] for k in ("script_injection", "event_handler", "path_traversal")]))
+def sanitized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.md5(text.sanitized(F.col("html"))).alias("digest"))
+
+
+@_query("price_text", "SELECT p_partkey, p_retailprice AS low, p_retailprice AS either FROM part")
+def price_text(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    plain = F.format_string("%.2f", F.col("p_retailprice"))
+    euro = F.concat(F.lit("€ 1."), F.replace(plain, F.lit("."), F.lit(",")))
+    return p.select("p_partkey", F.round(text.price_low(F.concat(F.lit("$"), plain, F.lit(" - 2,000.00"))), 2).alias("low"), F.round(text.price_either(euro) - 1000, 2).alias("either"))
+
+
+# --- schemas
+
+
+def _brand_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _part_nodes(spark, d)
+
+
+@_query("infer_models", """
+SELECT p_brand AS domain, CASE WHEN p_partkey % 7 = 0 THEN 'Article' ELSE 'Product' END AS model, count(*) AS instances FROM part WHERE (p_partkey % 256) / 255.0::DOUBLE >= 0.3 GROUP BY 1, 2 HAVING count(*) >= 2""")
+def infer_models(spark: SparkSession, d: str) -> DataFrame:
+    return schema.models(_brand_nodes(spark, d)).select("domain", "model", "instances")
+
+
+@_query("infer_fields", """
+WITH t AS (SELECT p_brand AS domain, CASE WHEN p_partkey % 7 = 0 THEN 'Article' ELSE 'Product' END AS model, p_partkey, p_size, (p_partkey % 256) / 255.0::DOUBLE AS c FROM part WHERE (p_partkey % 256) / 255.0::DOUBLE >= 0.3),
+m AS (SELECT domain, model, count(*) AS instances FROM t GROUP BY ALL HAVING count(*) >= 2),
+f AS (SELECT domain, model, 'price' AS field, c FROM t WHERE model = 'Product' UNION ALL SELECT domain, model, 'rating', c FROM t WHERE p_partkey % 50 <> 0 UNION ALL SELECT domain, model, 'seller_reputation', c FROM t WHERE model = 'Product' AND p_size <> 0),
+a AS (SELECT domain, model, field, count(*) AS occurrences, avg(c) AS confidence FROM f GROUP BY ALL)
+SELECT a.domain, a.model, field, occurrences, instances, occurrences < instances AS nullable, round(confidence, 6) AS confidence FROM a JOIN m ON a.domain = m.domain AND a.model = m.model
+UNION ALL SELECT domain, model, unnest(['url', 'node_id']), instances, instances, false, 1.0 FROM m""")
+def infer_fields(spark: SparkSession, d: str) -> DataFrame:
+    return schema.fields(_brand_nodes(spark, d)).select("domain", "model", "field", "occurrences", "instances", "nullable", F.round("confidence", 6).alias("confidence"))
+
+
+_COLUMNS = """(VALUES ('a', 'Product', 'price'), ('a', 'Product', 'title'), ('b', 'Product', 'cost'), ('b', 'Product', 'sku'), ('c', 'Product', 'name'), ('c', 'Article', 'summary'), ('a', 'Article', 'desc'))"""
+
+
+@_query("unify_fields", """
+WITH f AS (SELECT DISTINCT p_brand AS domain, p_type AS type, CASE p_size % 4 WHEN 0 THEN 'price' WHEN 1 THEN 'name' WHEN 2 THEN 'price' ELSE 'sku' END AS field FROM part),
+n AS (SELECT type, count(DISTINCT domain) AS domains FROM f GROUP BY type)
+SELECT type, field, count(*) AS domains_with_field, domains, round(count(*) / domains::DOUBLE, 6) AS coverage FROM f JOIN n USING (type) GROUP BY type, field, domains""")
+def unify_fields(spark: SparkSession, d: str) -> DataFrame:
+    names = F.get(F.array(F.lit("price"), F.lit("title"), F.lit("cost"), F.lit("sku")), F.col("p_size") % 4)
+    found = table(spark, d, "part").select(F.col("p_brand").alias("domain"), F.col("p_type").alias("type"), names.alias("field"))
+    return schema.unified_fields(found).withColumn("coverage", F.round("coverage", 6))
+
+
+@_query("unify_models", """
+WITH m AS (SELECT p_brand AS domain, p_type AS type, CASE WHEN p_size % 3 = 0 THEN 'A' ELSE 'B' END AS model, count(*) AS instances FROM part GROUP BY ALL),
+k AS (SELECT type, arg_min(model, (-c, model)) AS name FROM (SELECT type, model, count(*) AS c FROM m GROUP BY ALL) GROUP BY type)
+SELECT type, count(DISTINCT domain) AS sources, sum(instances)::BIGINT AS total_instances, name FROM m JOIN k USING (type) GROUP BY type, name""")
+def unify_models(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "part").groupBy(F.col("p_brand").alias("domain"), F.col("p_type").alias("type"), F.when(F.col("p_size") % 3 == 0, "A").otherwise("B").alias("model")).agg(F.count("*").alias("instances"))
+    return schema.unified_models(found)
+
+
+@_query("common_items", "SELECT p_size FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
+def common_items(spark: SparkSession, d: str) -> DataFrame:
+    return schema.common_items(table(spark, d, "part"), "p_brand", "p_size")
+
+
+@_query("unique_items", "SELECT min(p_brand) AS p_brand, p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+def unique_items(spark: SparkSession, d: str) -> DataFrame:
+    return schema.unique_items(table(spark, d, "part"), "p_brand", "p_name")
+
+
+# --- observations
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("ts"), F.col("conv_id").cast("int").alias("session_id"), F.array("role", F.when(F.length("text") > 500, "long").otherwise("short")).alias("labels"))
+
+
+_LOG = "(SELECT conv_id * 100 + turn AS id, conv_id * 60 + turn AS t, conv_id AS session_id, [role, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END] AS labels FROM conversations)"
+
+
+@_query("observation_query", f"SELECT id, session_id::INT AS session_id FROM {_LOG} WHERE session_id IN (1, 2, 3, 5, 8) AND t BETWEEN 60 AND 400 AND (list_contains(labels, 'long') OR list_contains(labels, 'system')) ORDER BY id LIMIT 20")
+def observation_query(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda s: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)
+    return observations.query(_log(spark, d), [1, 2, 3, 5, 8], at(60), at(400), ["long", "system"]).select("id", "session_id")
+
+
+@_query("observation_sessions", f"SELECT session_id::INT AS session_id, count(*) AS n, (max(t) - min(t))::BIGINT AS seconds FROM {_LOG} GROUP BY session_id")
+def observation_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return observations.sessions(_log(spark, d)).select("session_id", "n", (F.unix_seconds("last") - F.unix_seconds("first")).alias("seconds"))
+
+
+@_query("observation_recent", f"SELECT id FROM {_LOG} ORDER BY t DESC, id DESC LIMIT 12")
+def observation_recent(spark: SparkSession, d: str) -> DataFrame:
+    return observations.recent(_log(spark, d), 12).select("id")
+
+
+@_query("observation_tracked", """
+WITH l AS (SELECT label, vec_id, lag(vec_id) OVER w AS before, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER w AS p FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+SELECT label AS session_id, vec_id AS id, before, round(list_cosine_similarity(e, p), 6) AS similarity FROM l WHERE before IS NOT NULL AND list_cosine_similarity(e, p) < 0.2""")
+def observation_tracked(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "embeddings").select(F.col("label").alias("session_id"), F.col("vec_id").alias("id"), F.timestamp_seconds("vec_id").alias("ts"), "embedding")
+    return observations.tracked(log, 0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("observation_stats", "SELECT count(*) AS observations, count(DISTINCT label) AS sessions, max(len(embedding))::INT AS width, max(vec_id) + 1 AS next_id FROM embeddings")
+def observation_stats(spark: SparkSession, d: str) -> DataFrame:
+    return observations.stats(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session_id"), "embedding"))
