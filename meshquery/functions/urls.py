@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import PAGE_TYPE
 
@@ -94,7 +95,7 @@ def normal_domain(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[/?#].*$", ""), r":\d*$", ""), r"^www\.", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
     """A reference joined to its base as RFC 3986 says; null stays null."""
     from urllib.parse import urljoin

@@ -47,7 +47,8 @@ def filter_nodes(
     for dim, low, high in ranges:
         if dim < 128:
             value = F.get("features", F.lit(dim))
-            out = out.where((value >= low) if low is not None else F.lit(True)).where((value <= high) if high is not None else F.lit(True))
+            # Bounds are single precision, like the features.
+            out = out.where((value >= F.lit(low).cast("float")) if low is not None else F.lit(True)).where((value <= F.lit(high).cast("float")) if high is not None else F.lit(True))
     must, never = sum(NODE_FLAGS[f] for f in require), sum(NODE_FLAGS[f] for f in exclude)
     if must:
         out = out.where(F.col("flags").bitwiseAND(must) == must)

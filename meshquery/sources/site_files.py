@@ -112,19 +112,23 @@ def avis_bytes(observations: list[dict], width: int, sessions: int, created: int
     return AVIS_HEAD.pack(AVIS_MAGIC, 1, 0, len(observations), width, sessions, created, updated, len(payload)) + payload
 
 
+def avis_rows(data: bytes) -> pd.DataFrame:
+    """The observations of one file."""
+    magic, version, _, count, *_, size = AVIS_HEAD.unpack_from(data)
+    if magic != AVIS_MAGIC or len(data) < AVIS_HEAD.size + size:
+        raise BadFile("not an observation file, or cut off")
+    rows = json.loads(data[AVIS_HEAD.size : AVIS_HEAD.size + size])["observations"]
+    meta = [o.get("metadata") or o.get("meta") or {} for o in rows]
+    return pd.DataFrame({"id": [o["id"] for o in rows], "ts": pd.to_datetime([o["timestamp"] for o in rows], unit="s"), "session_id": [o["session_id"] for o in rows], "embedding": [o["embedding"] for o in rows], "labels": [m.get("labels", []) for m in meta], "description": [m.get("description") for m in meta], "memory_link": pd.array([o.get("memory_link") for o in rows], dtype="Int64")})
+
+
 def read_avis(spark: SparkSession, path: str) -> DataFrame:
     """(id, ts, session_id, embedding, labels, description, memory_link) of all observation files under a path."""
 
     def run(batches):
         for pdf in batches:
             for data in pdf.content:
-                data = bytes(data)
-                magic, version, _, count, *_, size = AVIS_HEAD.unpack_from(data)
-                if magic != AVIS_MAGIC or len(data) < AVIS_HEAD.size + size:
-                    raise BadFile("not an observation file, or cut off")
-                rows = json.loads(data[AVIS_HEAD.size : AVIS_HEAD.size + size])["observations"]
-                meta = [o.get("metadata") or o.get("meta") or {} for o in rows]
-                yield pd.DataFrame({"id": [o["id"] for o in rows], "ts": pd.to_datetime([o["timestamp"] for o in rows], unit="s"), "session_id": [o["session_id"] for o in rows], "embedding": [o["embedding"] for o in rows], "labels": [m.get("labels", []) for m in meta], "description": [m.get("description") for m in meta], "memory_link": pd.array([o.get("memory_link") for o in rows], dtype="Int64")})
+                yield avis_rows(bytes(data))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id bigint, ts timestamp, session_id int, embedding array<float>, labels array<string>, description string, memory_link bigint")
 
