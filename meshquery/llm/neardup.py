@@ -8,10 +8,9 @@ inverted lists. Common lines and passages are frequent values and stay out of th
 
 1. Equal sets become one class (a map-side combined group-by), however many copies there are.
 2. Inverted lists over classes. Classes alone in their lists are done; of the others the full sets are kept.
-3. Over the full sets the lists are made again, now exactly: a linked pair shares one of the rarest 15 % of either set.
-   A shingle that one class has alone is in the union and not in the intersection of any pair it takes part in, so two
-   classes with U and V such shingles can only be linked if U + V <= 15 % of their union. Variants of one text differ
-   in their rare shingles: these bounds keep them from being compared all with all.
+3. Over the full sets the lists are made again, now exactly: a linked pair shares one of the rarest 15 % of either set,
+   and the places of its first common value leave enough of both sets for the intersection that a link needs. Variants
+   of one text differ in their rare shingles: these bounds keep them from being compared all with all.
 4. A list never emits all its pairs: its most central member (fewest shingles of its own) is compared with the others;
    members that turn out to be in one component need no more comparing with each other. Lists whose members are in
    several components go to another round with more leaders, until every pair in a list was compared, is in one
@@ -106,21 +105,26 @@ def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFra
 
 
 def exact_lists(sets: DataFrame) -> DataFrame:
-    """(value, cls, n, u): inverted lists over the full sets. A linked pair shares one of the first n - 0.85 n + 1 shingles
-    of either set, rarest first; u counts a class's shingles that no other class of ``sets`` has. 31 bits of a hash do:
-    a chance match makes a shingle look more frequent, which excludes less, or puts a pair up that is then compared."""
+    """(value, cls, n, u, place): inverted lists over the full sets. A linked pair shares one of the first n - 0.85 n + 1
+    shingles of either set, rarest first; place counts a set's shingles before the value in that order, u those that no
+    other class of ``sets`` has. 31 bits of a hash do: a chance match makes a shingle look more frequent, which excludes
+    less, or puts a pair up that is then compared."""
     spread = sets.select("cls", "n", F.explode("shingles").alias("x")).select(F.shiftright("x", 20).bitwiseAND(0x7FFFFFFF).cast("int").alias("value"), "cls", "n")
     shared = spread.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
     own = spread.join(shared, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
     own = own.withColumn("u", F.col("n") - F.size("values"))
     keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("u"))
-    return own.select("cls", "n", "u", F.explode(F.slice("values", F.lit(1), keep.cast("int"))).alias("v")).select("v.value", "cls", "n", "u").distinct()
+    first = own.select("cls", "n", "u", F.posexplode(F.slice("values", F.lit(1), keep.cast("int"))).alias("at", "v"))
+    return first.select("v.value", "cls", "n", "u", (F.col("u") + F.col("at")).alias("place"))
 
 
-def _possible(an: str, bn: str, au: str, bu: str) -> Column:
-    """Sizes and lonely shingles allow a link: with n + m = union + intersection, a link has union <= (n + m) * 100 / 185."""
+def _possible(an: str, bn: str, aplace: str, bplace: str) -> Column:
+    """Whether two sets can be linked if a value at these places is their first in common: the intersection is at most what
+    is left of either set, and a link needs 85 / 185 of both sizes together. True of every linked pair at its first
+    common value, so nothing is lost by asking it at all common values."""
     sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * PERCENT
-    return sizes & ((F.col(au) + F.col(bu)) * (100 + PERCENT) <= (F.col(an) + F.col(bn)) * (100 - PERCENT))
+    left = F.least(F.col(an) - F.col(aplace), F.col(bn) - F.col(bplace))
+    return sizes & (left * (100 + PERCENT) >= (F.col(an) + F.col(bn)) * PERCENT)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -162,23 +166,23 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     lists = saved(lists.join(crowded, "value"), "lists-shared")
     sets = saved(full_sets(classes, lists.select("cls").distinct(), docs), "sets")
     lists = saved(exact_lists(sets), "lists-exact")
-    heads = lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.u").alias("au"))
-    star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "au", "u")).select("a", F.col("cls").alias("b")).distinct()
+    heads = lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n", "place")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.place").alias("aplace"))
+    star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "aplace", "place")).select("a", F.col("cls").alias("b")).distinct()
     links = saved(verified(estimated(star, classes), sets), "links")
     leaders, more = 1, 16
     while True:
         labels = components(links)
-        named = lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", "u", F.coalesce("label", "cls").alias("label"))
+        named = lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", "u", "place", F.coalesce("label", "cls").alias("label"))
         split = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
         split = split.where((F.col("low") != F.col("high")) & (F.col("members") > leaders + 1)).select("value")
         rest = saved(named.join(split, "value").withColumn("at", F.row_number().over(W.partitionBy("value").orderBy("u", "cls"))), "lists-open")
         if rest.isEmpty():
             return links
-        lead = rest.where((F.col("at") > leaders) & (F.col("at") <= leaders + more)).select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("u").alias("au"), F.col("label").alias("alabel"), F.col("at").alias("aat"))
-        pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "au", "u"))
+        lead = rest.where((F.col("at") > leaders) & (F.col("at") <= leaders + more)).select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("label").alias("alabel"), F.col("at").alias("aat"))
+        pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "aplace", "place"))
         found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes), sets)
         links = saved(links.union(found), "links")
-        leaders, more = leaders + more, more * 2
+        leaders, more = leaders + more, more * 4
 
 
 def labelled(docs: DataFrame) -> DataFrame:
