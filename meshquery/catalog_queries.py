@@ -7,6 +7,7 @@ are links, embeddings and conversations are observation logs, pages are web page
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from .functions import text, urls
 from .operators import delta, graph, observations, schema, timeseries, vector
 from .plans.syntax import PSEUDO  # noqa: F401  (the language's pseudo-columns, for callers)
 from .plans.translate import Catalog, wql
+from .sources import html_data
+from .streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -592,3 +595,65 @@ def observation_tracked(spark: SparkSession, d: str) -> DataFrame:
 @_query("observation_stats", "SELECT count(*) AS observations, count(DISTINCT label) AS sessions, max(len(embedding))::INT AS width, max(vec_id) + 1 AS next_id FROM embeddings")
 def observation_stats(spark: SparkSession, d: str) -> DataFrame:
     return observations.stats(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session_id"), "embedding"))
+
+
+# --- pages as data
+
+
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    return html_data.structured(table(spark, d, "pages"), ("page_id",))
+
+
+@_query("page_structure", """SELECT page_id, len(regexp_extract_all(html, '<a href="'))::INT AS links, len(regexp_extract_all(html, '<h1>'))::INT AS headings, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, 0 AS forms, false AS has_jsonld FROM pages""")
+def page_structure(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d).select("page_id", F.size("links").alias("links"), F.size("headings").alias("headings"), "lang", F.size("forms").alias("forms"), "has_jsonld")
+
+
+@_query("page_nodes")
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return html_data.nodes(_read(spark, d))
+
+
+@_query("page_actions")
+def page_actions(spark: SparkSession, d: str) -> DataFrame:
+    return html_data.page_actions(_read(spark, d))
+
+
+@_query("path_edges")
+def path_edges(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(urls.host(F.col("url")).alias("domain"), F.col("page_id").cast("int").alias("node_id"), "url")
+    return graph.path_edges(pages)
+
+
+# --- streams, run to the end of what is there
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    name = f"stream_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern: the table may be one file
+
+
+@_query("stream_bucket_day", """
+SELECT event_type, strftime(make_timestamp((floor(epoch(ts) / 86400) * 86400 * 1000000)::BIGINT), '%Y-%m-%d') AS bucket, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM events
+GROUP BY event_type, floor(epoch(ts) / 86400)""")
+def stream_bucket_day(spark: SparkSession, d: str) -> DataFrame:
+    out = _drained(spark, feeds.bucket_stream(_event_stream(spark, d), ["event_type"], "day"), "complete")
+    return out.select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "low", "high", F.round("mean", 6).alias("mean"), "n")
+
+
+@_query("stream_alerts", """
+WITH l AS (SELECT event_type AS domain, user_id::VARCHAR AS url, ts, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
+SELECT CASE WHEN domain = 'click' THEN 'r1' ELSE 'r2' END AS id, domain, url, epoch_us(ts)::BIGINT AS at, before, value FROM l WHERE (domain = 'click' AND value > 50 AND before <= 50) OR (domain = 'view' AND value < 20 AND before >= 20)""")
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rules = spark.createDataFrame([("r1", "click", "value", "value_above", 50.0, True), ("r2", "view", "value", "value_below", 20.0, True)], "id string, domain string, field string, condition string, threshold double, active boolean")
+    points = _event_stream(spark, d).select(F.col("event_type").alias("domain"), F.col("user_id").cast("string").alias("url"), F.lit("value").alias("field"), "ts", "value")
+    out = _drained(spark, feeds.alert_stream(points, rules), "append")
+    return out.select("id", "domain", "url", F.unix_micros("ts").alias("at"), "before", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -16,15 +17,19 @@ from ..functions import urls
 FLAG_MAX = 65_535
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir (lineage ends there); checkpointed where that is unset."""
+    """``df`` as a table in the folder of spark.checkpoint.dir, where its lineage ends. Where that is unset, in a temporary
+    folder, which only a single-machine session may have."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="meshquery-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _OWN.get(context.applicationId) or _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="meshquery-"))
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

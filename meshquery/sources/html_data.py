@@ -252,22 +252,27 @@ def completeness() -> Column:
     return (2 * F.when(F.col("schema_type").isNotNull(), 1).otherwise(0) + has("headings") + has("links") + 2 * has("products") + has("breadcrumbs") + F.when(described, 1).otherwise(0) + F.when(F.col("has_opengraph") | F.col("has_microdata"), 1).otherwise(0) + has("forms")) / 10.0
 
 
-def page_type() -> Column:
-    """struct(page_type, confidence): vocabulary type, else what page and URL agree on, else the surer one."""
+def with_page_type(data: DataFrame) -> DataFrame:
+    """Adds ``kind``, struct(page_type, confidence): the vocabulary type, else what page and URL agree on, else the surer one.
+    In stages, so that each long chain of patterns is evaluated once."""
     types = F.create_map(*[F.lit(x) for k, v in LD_PAGES.items() for x in (k, PAGE_TYPE[v])])
-    told = F.try_element_at(types, F.lower("schema_type"))
-    by_url = urls.classify(F.col("url"))
-    by_class = text.page_type_in(F.col("classes"))
-    agree = by_class == by_url["page_type"]
+    staged = data.withColumn("_told", F.try_element_at(types, F.lower("schema_type"))).withColumn("_url", urls.classify(F.col("url"))).withColumn("_class", text.page_type_in(F.col("classes")))
     both = lambda t, c: F.struct(t.cast("int").alias("page_type"), c.cast("double").alias("confidence"))
-    return F.when(told.isNotNull(), both(told, F.lit(0.95))).when(by_class.isNotNull() & agree, both(by_class, (F.lit(0.85) + by_url["confidence"]) / 2 + 0.1)).when(by_class.isNotNull() & (by_url["confidence"] < 0.85), both(by_class, F.lit(0.85))).otherwise(both(by_url["page_type"], by_url["confidence"]))
+    told, by_class, by_url, sure = F.col("_told"), F.col("_class"), F.col("_url.page_type"), F.col("_url.confidence")
+    kind = (
+        F.when(told.isNotNull(), both(told, F.lit(0.95)))
+        .when(by_class == by_url, both(by_class, (F.lit(0.85) + sure) / 2 + 0.1))
+        .when(by_class.isNotNull() & (sure < 0.85), both(by_class, F.lit(0.85)))
+        .otherwise(both(by_url, sure))
+    )
+    return staged.withColumn("kind", kind).drop("_told", "_url", "_class")
 
 
 def features() -> Column:
-    """The 128 features of a structured page as array<float>; 0 where unknown."""
+    """The 128 features of a page with its kind as array<float>; 0 where unknown."""
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     p = F.get("products", F.lit(0))
-    kind = page_type()
+    kind = F.col("kind")
     price = F.coalesce(p["price"], F.try_element_at("og", F.lit("product:price:amount")).try_cast("double"), F.col("pattern.price"))
     described = F.coalesce(F.length(F.coalesce(F.try_element_at("meta", F.lit("description")), F.try_element_at("og", F.lit("og:description")))), F.lit(0))
     inside = F.size(F.filter("links", lambda x: x["internal"]))
@@ -298,8 +303,8 @@ def flags() -> Column:
 
 def nodes(data: DataFrame) -> DataFrame:
     """Pages as graph nodes: (domain, url, page_type, confidence, flags, features, completeness)."""
-    kind = page_type()
-    return data.select(urls.site(F.col("url")).alias("domain"), "url", kind["page_type"].alias("page_type"), F.round(F.least(kind["confidence"], F.lit(1.0)) * 255).cast("int").alias("confidence"), flags().alias("flags"), features().alias("features"), completeness().alias("completeness"))
+    kind = F.col("kind")
+    return with_page_type(data).select(urls.site(F.col("url")).alias("domain"), "url", kind["page_type"].alias("page_type"), F.round(F.least(kind["confidence"], F.lit(1.0)) * 255).cast("int").alias("confidence"), flags().alias("flags"), features().alias("features"), completeness().alias("completeness"))
 
 
 def page_actions(data: DataFrame) -> DataFrame:
