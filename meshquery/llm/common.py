@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one, which only a
+    single-machine session (tests) may have."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="meshquery-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _OWN.get(context.applicationId) or _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="meshquery-"))
     return at.rstrip("/")
 
 
