@@ -35,6 +35,16 @@ TRAIN_ROWS, ROUNDS, SEED = 16_384, 6, 20_240_604
 INDEX_BLOCK, QUERY_BLOCK = 1 << 18, 256
 
 
+def _sums(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each word."""
+    order = np.argsort(own, kind="stable")
+    starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+    out = np.zeros((WORDS, x.shape[1]), dtype=x.dtype)
+    if len(order):
+        out[own[order][starts]] = np.add.reduceat(x[order], starts, axis=0)
+    return out
+
+
 def _means(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Lloyd's k-means; an empty word takes the row farthest from its own."""
     words = x[rng.choice(len(x), WORDS, replace=len(x) < WORDS)].copy()
@@ -42,8 +52,7 @@ def _means(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         gap = (words**2).sum(1)[None, :] - 2.0 * (x @ words.T)
         own = gap.argmin(1)
         counts = np.bincount(own, minlength=WORDS)
-        sums = np.zeros_like(words)
-        np.add.at(sums, own, x)
+        sums = _sums(x, own)
         empty = np.flatnonzero(counts == 0)
         words = sums / np.maximum(counts, 1)[:, None]
         if len(empty):
@@ -89,14 +98,15 @@ def train(x: np.ndarray) -> np.ndarray:
     stacked = np.stack(books)
     # Joint update: the codewords that fit the sample best under its beam-searched codes (ridge least squares).
     codes, _ = encode(x, stacked)
-    places = codes.astype(np.int64) + np.arange(BOOKS) * WORDS
     size = BOOKS * WORDS
-    together, target = np.zeros(size * size, dtype=np.float32), np.zeros((size, x.shape[1]))
+    together, target = np.zeros((BOOKS, WORDS, BOOKS, WORDS)), np.zeros((BOOKS, WORDS, x.shape[1]))
+    wide = codes.astype(np.int64)
     for i in range(BOOKS):
-        np.add.at(target, places[:, i], x)
-        for j in range(BOOKS):
-            together += np.bincount(places[:, i] * size + places[:, j], minlength=size * size).astype(np.float32)
-    ridge = together.reshape(size, size).astype(np.float64) + np.eye(size)
+        target[i] = _sums(x, wide[:, i])
+        for j in range(BOOKS):  # how often two words occur together
+            together[i, :, j, :] = np.bincount(wide[:, i] * WORDS + wide[:, j], minlength=WORDS * WORDS).reshape(WORDS, WORDS)
+    target = target.reshape(size, -1)
+    ridge = together.reshape(size, size) + np.eye(size)
     prior = stacked.reshape(size, -1).astype(np.float64)
     return np.linalg.solve(ridge, target + prior).reshape(stacked.shape).astype(np.float32)
 
