@@ -52,11 +52,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, d: str) -> Catalog:
-    part, customer, orders = (table(spark, d, t) for t in ("part", "customer", "orders"))
-    product = part.select(F.col("p_brand").alias("domain"), F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), F.col("p_type").alias("kind"))
-    account = customer.select(F.col("c_mktsegment").alias("domain"), F.concat(F.lit("/customer/"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
-    checkout = orders.select(F.col("o_orderstatus").alias("domain"), F.concat(F.lit("/order/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderkey").alias("node_id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("total"))
-    return Catalog({"Product": product, "Account": account, "Checkout": checkout}, _order_history(spark, d), dt.datetime(1996, 1, 1))
+    at = lambda kind, key: F.concat(F.lit(f"/{kind}/"), F.col(key).cast("string")).alias("url")
+
+    def product() -> DataFrame:
+        return table(spark, d, "part").select(F.col("p_brand").alias("domain"), at("part", "p_partkey"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), F.col("p_type").alias("kind"))
+
+    def account() -> DataFrame:
+        return table(spark, d, "customer").select(F.col("c_mktsegment").alias("domain"), at("customer", "c_custkey"), F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
+
+    def checkout() -> DataFrame:
+        return table(spark, d, "orders").select(F.col("o_orderstatus").alias("domain"), at("order", "o_orderkey"), F.col("o_orderkey").alias("node_id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("total"))
+
+    return Catalog({"Product": product, "Account": account, "Checkout": checkout}, lambda: _order_history(spark, d), dt.datetime(1996, 1, 1))
 
 
 def _order_history(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ Sorts end in (domain, node_id), so limits are deterministic.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +22,21 @@ IDENTITY = ("domain", "url", "node_id")
 
 
 class Catalog:
-    """Model name -> DataFrame of (domain, url, node_id, fields...); history: (domain, url, field, ts, value)."""
+    """Model name -> DataFrame of (domain, url, node_id, fields...); history: (domain, url, field, ts, value). Either may be
+    a function that makes it, so that a query opens only the tables it names."""
 
-    def __init__(self, models: dict[str, DataFrame], history: DataFrame | None = None, now: dt.datetime | None = None):
-        self.models, self.history, self.now = models, history, now
+    def __init__(self, models: dict[str, DataFrame | Callable[[], DataFrame]], history: DataFrame | Callable[[], DataFrame] | None = None, now: dt.datetime | None = None):
+        self.models, self._history, self.now = models, history, now
+
+    @property
+    def history(self) -> DataFrame | None:
+        return self._history() if callable(self._history) else self._history
 
     def model(self, name: str) -> DataFrame:
         if name not in self.models:
             raise WqlError(f"unknown model {name!r}; known: {', '.join(sorted(self.models))}")
-        return self.models[name]
+        found = self.models[name]
+        return found() if callable(found) else found
 
 
 def _column(df: DataFrame, name: str, model: str) -> str:
