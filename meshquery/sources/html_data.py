@@ -342,3 +342,39 @@ def sockets(data: DataFrame) -> DataFrame:
 
 def _named(kind: str):
     return lambda e: F.struct(e.alias("e"), F.lit(kind).alias("p"))
+
+
+def packed_actions(pages: DataFrame, packs: DataFrame) -> DataFrame:
+    """(url, platform, method, endpoint, confidence) of rule packs (platform, indicator, method, endpoint, confidence) whose
+    indicator a page's source contains. Packs are the caller's few rows; Spark broadcasts them if they are as small as its
+    threshold, and the surest rule of an endpoint wins."""
+    met = pages.select("url", "html").join(packs, F.contains(F.col("html"), F.col("indicator")))
+    return met.groupBy("url", "platform", "method", "endpoint").agg(F.max("confidence").alias("confidence"))
+
+
+# Drag-and-drop libraries by a mark in a page's source.
+DRAG = {"sortable": "sortablejs", "react-beautiful-dnd": "data-rbd-", "dnd-kit": "dnd-kit", "html5": 'draggable="true"', "jquery-ui": "ui-draggable", "angular-cdk": "cdkdrag"}
+
+
+def drag_libraries(pages: DataFrame) -> DataFrame:
+    """(url, library, items, zones): drag-and-drop libraries told by the source, with draggable items and drop zones counted."""
+    low = F.lower(F.coalesce("html", F.lit("")))
+    found = F.array_compact(F.array(*[F.when(low.contains(mark.lower()), F.lit(name)) for name, mark in DRAG.items()]))
+    items = F.regexp_count(low, F.lit(r'draggable\s*=\s*"true"|data-rbd-draggable-id|cdkdrag[\s>]'))
+    zones = F.regexp_count(low, F.lit(r"data-rbd-droppable-id|cdkdroplist|ondrop\s*=|dropzone"))
+    return pages.select("url", F.explode(found).alias("library"), items.alias("items"), zones.alias("zones"))
+
+
+def first_source(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """One row per key: that of the first source (lowest rank)."""
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(rank)).alias("_best"))
+    return best.select(*key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def page_urls(data: DataFrame) -> DataFrame:
+    """(url, found, source) of the addresses in a page: links, canonical, script state; the first source of each."""
+    links = data.select("url", F.explode("links.url").alias("found"), F.lit(0).alias("rank"), F.lit("link").alias("source"))
+    canonical = data.select("url", F.try_element_at("meta", F.lit("canonical")).alias("found"), F.lit(1).alias("rank"), F.lit("canonical").alias("source")).where("found is not null")
+    state = data.select("url", F.explode(F.regexp_extract_all("script_text", F.lit(r"['\"](https?://[^'\"\s<>]+)['\"]"), F.lit(1))).alias("found"), F.lit(2).alias("rank"), F.lit("script").alias("source"))
+    return first_source(links.unionByName(canonical).unionByName(state), ["url", "found"], "rank").drop("rank")

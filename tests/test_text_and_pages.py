@@ -129,3 +129,12 @@ def test_structured_data(spark):
     assert ("Search", 1, 0) in acts and ("/search", 3, 5) in acts
     assert {r.endpoint: r.confidence for r in html_data.api_calls(data).collect()} == {"/api/items": 0.8, "/api/more": 0.55}
     assert [tuple(r)[1:] for r in html_data.sockets(data).collect()] == [("wss://x.com/live", "websocket")]
+
+
+def test_rule_packs_and_page_urls(spark):
+    pages = spark.createDataFrame([("https://x.com/", '<html><link rel=canonical href="https://x.com/c"><script src="cdn.shop.js"></script><a href="/a">A</a><a href="/a">A</a><script>var u = "https://x.com/a", v = "https://x.com/s";</script><li draggable="true" ondrop=x>'), ("https://y.com/", None)], "url string, html string")
+    packs = spark.createDataFrame([("shop", "cdn.shop", "POST", "/cart/add", 0.8), ("shop", "shop.js", "POST", "/cart/add", 0.9), ("other", "nothing", "GET", "/x", 0.5)], "platform string, indicator string, method string, endpoint string, confidence double")
+    assert [tuple(r)[1:] for r in html_data.packed_actions(pages, packs).collect()] == [("shop", "POST", "/cart/add", 0.9)]
+    assert [tuple(r)[1:] for r in html_data.drag_libraries(pages).collect()] == [("html5", 1, 1)]
+    got = {r.found: r.source for r in html_data.page_urls(html_data.structured(pages)).collect()}
+    assert got == {"https://x.com/a": "link", "https://x.com/c": "canonical", "https://x.com/s": "script"}
