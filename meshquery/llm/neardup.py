@@ -2,20 +2,21 @@
 
 A document is the set of its five-word shingles (hashed to 64 bits). Its sketch is the ``K`` smallest hashes. Two
 documents of Jaccard similarity J share, among the K smallest of their union, about J * K values, and all of those are
-in both sketches; at J = 0.85 fewer than ``LEAST`` of 64 happens less than once in 10^4 pairs. So a linked pair shares
-LEAST sketch values, and one of them is among the K - LEAST + 1 rarest of either sketch: only those are put in the
-inverted lists. Common lines and passages are frequent values and stay out of the lists.
+in both sketches; at the threshold (``percent``, in hundredths) fewer than ``least(percent)`` of 64 happens less than
+once in 10^4 pairs. So a linked pair shares that many sketch values, and one of them is among the K - least + 1 rarest
+of either sketch: only those are put in the inverted lists. Common lines and passages are frequent values and stay out
+of the lists.
 
 1. Equal sets become one class (a map-side combined group-by), however many copies there are.
 2. Inverted lists over classes. Classes alone in their lists are done; of the others the full sets are kept.
-3. Over the full sets the lists are made again, now exactly: a linked pair shares one of the rarest 15 % of either set,
+3. Over the full sets the lists are made again, now exactly: a linked pair shares one of the rarest 15 % (at 85) of either set,
    and the places of its first common value leave enough of both sets for the intersection that a link needs. Variants
    of one text differ in their rare shingles: these bounds keep them from being compared all with all.
 4. A list never emits all its pairs: its most central member (fewest shingles of its own) is compared with the others;
    members that turn out to be in one component need no more comparing with each other. Lists whose members are in
    several components go to another round with more leaders, until every pair in a list was compared, is in one
    component, or is excluded exactly by its sizes or by 3. Nothing is capped.
-5. A pair whose sketches share LEAST values and whose union-sketch estimate is near enough is decided by the exact
+5. A pair whose sketches share ``least`` values and whose union-sketch estimate is near enough is decided by the exact
    Jaccard similarity of the full sets.
 6. Components over verified links; label = smallest doc_id.
 
@@ -27,6 +28,7 @@ its smallest non-null doc_id (null if it has none); an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,26 @@ from .components import components
 from .tokens import slices
 from .words import Words
 
-K, LEAST, PERCENT = 64, 41, 85
-#: The estimate may fall this far (in hundredths) below the threshold: over four standard deviations.
-MARGIN = 20
+#: PERCENT is the contract of op3 alone; other callers name their own threshold.
+K, PERCENT = 64, 85
+#: How seldom a pair at the threshold may share fewer sketch values than ``least``.
+SELDOM = 1e-5
 TOP = np.uint64(1 << 63)
 
 
+def least(percent: int) -> int:
+    """Of K union-sketch values, each shared with the threshold's probability, fewer than this are shared less often than SELDOM."""
+    p, below, found = percent / 100, 0.0, 0
+    while found < K and (below := below + math.comb(K, found) * p**found * (1 - p) ** (K - found)) < SELDOM:
+        found += 1
+    return found
+
+
+def margin(percent: int) -> int:
+    """The estimate may fall this far (in hundredths) below the threshold: over four standard deviations."""
+    return math.ceil(4.4 * math.sqrt(percent * (100 - percent) / K))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     """The same order as unsigned, in Spark's long."""
     return (x ^ TOP).view(np.int64)
@@ -71,11 +87,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, tag long, n long, f1 long, f2 long, sketch array<long>")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """(value, cls, n): the values of each class's sketch that may lead to a link, rarest first."""
     spread = classes.select("cls", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     shared = spread.groupBy("value").agg(F.count("*").alias("classes")).where("classes > 1")
-    need = F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(LEAST))
+    need = F.least(F.ceil(F.col("n") * percent / 100), F.lit(least(percent)))
     # Values of one class only are the rarest: they come first and lead nowhere.
     own = spread.join(shared, "value").groupBy("cls", "n", "size").agg(F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("values"))
     keep = F.greatest(F.lit(0), F.col("size") - need + 1 - (F.col("size") - F.size("values")))
@@ -104,41 +120,41 @@ def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFra
     return found if repeated.isEmpty() else found.dropDuplicates(["cls"])
 
 
-def exact_lists(sets: DataFrame) -> DataFrame:
-    """(value, cls, n, u, place): inverted lists over the full sets. A linked pair shares one of the first n - 0.85 n + 1
-    shingles of either set, rarest first; place counts a set's shingles before the value in that order, u those that no
+def exact_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(value, cls, n, u, place): inverted lists over the full sets. A linked pair shares one of the first n - percent / 100 n
+    + 1 shingles of either set, rarest first; place counts a set's shingles before the value in that order, u those that no
     other class of ``sets`` has. 31 bits of a hash do: a chance match makes a shingle look more frequent, which excludes
     less, or puts a pair up that is then compared."""
     spread = sets.select("cls", "n", F.explode("shingles").alias("x")).select(F.shiftright("x", 20).bitwiseAND(0x7FFFFFFF).cast("int").alias("value"), "cls", "n")
     shared = spread.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
     own = spread.join(shared, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
     own = own.withColumn("u", F.col("n") - F.size("values"))
-    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("u"))
+    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("u"))
     first = own.select("cls", "n", "u", F.posexplode(F.slice("values", F.lit(1), keep.cast("int"))).alias("at", "v"))
     return first.select("v.value", "cls", "n", "u", (F.col("u") + F.col("at")).alias("place"))
 
 
-def _possible(an: str, bn: str, aplace: str, bplace: str) -> Column:
+def _possible(an: str, bn: str, aplace: str, bplace: str, percent: int) -> Column:
     """Whether two sets can be linked if a value at these places is their first in common: the intersection is at most what
-    is left of either set, and a link needs 85 / 185 of both sizes together. True of every linked pair at its first
+    is left of either set, and a link needs percent / (100 + percent) of both sizes together. True of every linked pair at its first
     common value, so nothing is lost by asking it at all common values."""
-    sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * PERCENT
+    sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * percent
     left = F.least(F.col(an) - F.col(aplace), F.col(bn) - F.col(bplace))
-    return sizes & (left * (100 + PERCENT) >= (F.col(an) + F.col(bn)) * PERCENT)
+    return sizes & (left * (100 + percent) >= (F.col(an) + F.col(bn)) * percent)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the union sketch doesn't exclude."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
     union = F.slice(F.array_sort(F.array_union("as", "bs")), 1, K)
     seen = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.array_intersect("as", "bs"))
-    shared = F.size("both") >= F.least(F.lit(LEAST), F.ceil(F.greatest("an", "bn") * PERCENT / 100))
+    shared = F.size("both") >= F.least(F.lit(least(percent)), F.ceil(F.greatest("an", "bn") * percent / 100))
     estimate = F.size(F.array_intersect(union, "both")) * 100 / F.size(union)
-    return seen.where(shared & (estimate >= PERCENT - MARGIN)).select("a", "b")
+    return seen.where(shared & (estimate >= percent - margin(percent))).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets have Jaccard similarity PERCENT / 100 or more."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have Jaccard similarity percent / 100 or more."""
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"{x}s"))
 
     def run(batches):
@@ -147,7 +163,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * 100 >= PERCENT * (len(x) + len(y) - both):
+                if both * 100 >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
@@ -159,16 +175,16 @@ def _print(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), dtype="<i8").tolist())
 
 
-def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect whatever is connected."""
-    lists = saved(inverted_lists(classes), "lists")
+    lists = saved(inverted_lists(classes, percent), "lists")
     crowded = lists.groupBy("value").count().where("count > 1").select("value")
     lists = saved(lists.join(crowded, "value"), "lists-shared")
     sets = saved(full_sets(classes, lists.select("cls").distinct(), docs), "sets")
-    lists = saved(exact_lists(sets), "lists-exact")
+    lists = saved(exact_lists(sets, percent), "lists-exact")
     heads = lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n", "place")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.place").alias("aplace"))
-    star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "aplace", "place")).select("a", F.col("cls").alias("b")).distinct()
-    links = saved(verified(estimated(star, classes), sets), "links")
+    star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "aplace", "place", percent)).select("a", F.col("cls").alias("b")).distinct()
+    links = saved(verified(estimated(star, classes, percent), sets, percent), "links")
     leaders, more = 1, 16
     while True:
         labels = components(links)
@@ -179,18 +195,18 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if rest.isEmpty():
             return links
         lead = rest.where((F.col("at") > leaders) & (F.col("at") <= leaders + more)).select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("label").alias("alabel"), F.col("at").alias("aat"))
-        pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "aplace", "place"))
-        found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes), sets)
+        pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "aplace", "place", percent))
+        found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes, percent), sets, percent)
         links = saved(links.union(found), "links")
         leaders, more = leaders + more, more * 4
 
 
-def labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, tag, n, label, component_id) for every row; tag tells texts of one doc_id apart; label is null without words."""
     rows = saved(sketches(docs), "sketches")
     full = rows.where("n > 0")
     classes = saved(full.groupBy("f1", "f2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    labels = components(linked(classes, docs))
+    labels = components(linked(classes, docs, percent))
     member = classes.join(labels, F.col("cls") == F.col("node"), "left").select("f1", "f2", "doc", F.coalesce("label", "cls").alias("label"))
     names = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = member.join(names, "label").select("f1", "f2", "label", "component_id")
@@ -199,15 +215,15 @@ def labelled(docs: DataFrame) -> DataFrame:
     return own.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    rows = labelled(docs)
+    rows = labelled(docs, percent)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (smallest doc_id, null last); rows without words all stay. Same columns."""
-    rows = saved(labelled(docs), "components")
+    rows = saved(labelled(docs, percent), "components")
     worded = rows.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
     keep = worded.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))

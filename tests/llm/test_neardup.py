@@ -118,6 +118,30 @@ def test_shingle_counts(texts):
             assert len(np.intersect1d(sets[i], sets[j])) == len(shingles(a) & shingles(b))
 
 
+def test_bounds_follow_the_threshold():
+    from math import comb
+
+    for percent in (70, 75, 80, 85, 90, 95):
+        p, n = percent / 100, neardup.least(percent)
+        assert sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(n)) < 1e-5
+        assert neardup.margin(percent) >= 400 * (p * (1 - p) / 64) ** 0.5
+    assert (neardup.least(85), neardup.margin(85)) == (41, 20) and neardup.least(80) <= 38
+
+
+def test_lower_threshold_against_brute_force(spark):
+    texts = variants(120, edits=(0, 8), seed=7) + variants(60, words=400, edits=(0, 24), seed=8) + variants(40, words=30, edits=(0, 2), seed=9)
+    rows = list(enumerate(texts, 1))
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in range(1, i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), 80).collect()}
+    assert got == label != {i: c for i, _, c, _ in brute(rows)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 70), (200, 100), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -39,3 +39,20 @@ def test_odd_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = saved(stage(spark, docs, SF), "stage")
         assert docs.count() >= bool(table)
+
+
+def test_dedup_stage_links_from_four_fifths(spark):
+    base = [f"w{i}" for i in range(500)]
+    other = [f"v{i}" for i in range(500)]
+    changed = lambda words, n: " ".join("e%d" % i if i < n * 5 and i % 5 == 0 else w for i, w in enumerate(words))
+    cut = lambda words, n: " ".join(words[: len(words) - n])
+    texts = {1: " ".join(base), 2: cut(base, 89), 3: " ".join(other), 4: changed(other, 30)}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.815 < near(1, 2) < 0.825 and near(3, 4) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, SF).collect()) == [1, 3, 4]
+    assert {r.doc_id for r in neardup.near_duplicates(docs).collect() if r.kept} == {1, 2, 3, 4}
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = neardup.near_duplicates(given, 80).where("kept")
+    assert sorted(r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, given, SF).collect()) == sorted(r.doc_id for r in parts.collect())
