@@ -428,6 +428,28 @@ def shortest_path_weighted(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_paths(edges, 0).select("node", "cost")
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+
+
+@_query("shortest_path_all")
+def shortest_path_all(spark: SparkSession, d: str) -> DataFrame:
+    """Hops from the first customer over all orders, both ways; ``shortest_path`` has every fifth order, as its SQL."""
+    orders = table(spark, d, "orders")
+    pairs = orders.select((F.col("o_custkey") * 2).cast("int").alias("src"), (F.col("o_orderkey") * 2 + 1).cast("int").alias("dst"), F.lit(1).alias("weight"), F.lit(0).alias("flags"))
+    source = orders.agg(F.min("o_custkey")).first()[0] * 2
+    return graph.shortest_paths(_both_ways(pairs), source, mode="hops").select("node", "cost")
+
+
+@_query("shortest_path_weighted_all")
+def shortest_path_weighted_all(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted paths from the first order over all links of orders, customers, parts and suppliers, both ways."""
+    pairs = _trade_graph(spark, d)[1].select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "flags")
+    source = table(spark, d, "orders").agg(F.min("o_orderkey")).first()[0] * 4
+    edges = _both_ways(pairs).withColumn("weight", (1 + (F.col("src") * F.lit(7).cast("long") + F.col("dst")) % 5).cast("int"))
+    return graph.shortest_paths(edges, source).select("node", "cost")
+
+
 @_query("diverse_sample", """
 SELECT p_partkey::INT AS node_id, page_type FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 4 END AS page_type, row_number() OVER (PARTITION BY CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 4 END ORDER BY p_partkey) AS k FROM part) ORDER BY k, page_type, p_partkey LIMIT 21""")
 def diverse_sample(spark: SparkSession, d: str) -> DataFrame:

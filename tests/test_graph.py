@@ -223,3 +223,31 @@ def test_observations(spark):
 def test_site_graph(spark, name):
     g = graph.SiteGraph(nodes(spark, [(0, "/", "home", 0, {1: 1}), (1, "/a", "article", 0, {2: 1})]), edges(spark, [(0, 1, 3, 0)]))
     assert g.pathfind(0, 1, mode=name).count() == 1 and g.filter(page_types=["home"]).count() == 1 and g.node(1).count() == 1
+
+
+def cheapest(links, source):
+    out, best, heap = {}, {}, [(0, source)]
+    for a, b, w in links:
+        out.setdefault(a, []).append((b, w))
+    while heap:
+        c, x = heapq.heappop(heap)
+        if x not in best:
+            best[x] = c
+            for b, w in out.get(x, ()):
+                heapq.heappush(heap, (c + w, b))
+    return best
+
+
+def test_path_queries_over_whole_link_tables(spark, tmp_path):
+    from meshquery import catalog_queries
+
+    orders = [(o, o * 7 % 5 + 1) for o in range(1, 41)]
+    lines = [(o, (o * k) % 9 + 1, (o + k) % 4 + 1) for o, _ in orders for k in (1, 3, 7)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: {r.node: r.cost for r in catalog_queries.queries()[name](spark, str(tmp_path)).collect()}
+    both = lambda pairs: [x for a, b in pairs for x in ((a, b), (b, a))]
+    assert run("shortest_path_all") == cheapest([(a, b, 1) for a, b in both((c * 2, o * 2 + 1) for o, c in orders)], 2)
+    pairs = {(o * 4, c * 4 + 1) for o, c in orders} | {(o * 4, p * 4 + 2) for o, p, _ in lines} | {(p * 4 + 2, s * 4 + 3) for _, p, s in lines}
+    want = cheapest([(a, b, 1 + (a * 7 + b) % 5) for a, b in both(pairs)], 4)
+    assert run("shortest_path_weighted_all") == want and len(want) == 40 + 5 + 9 + 4
