@@ -7,7 +7,6 @@ are links, embeddings and conversations are observation logs, pages are web page
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -658,10 +657,18 @@ def path_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """The stream's whole output, written by the executors to the shared folder: no row passes through the driver."""
+    at = graph.shared_path(spark, "stream")
+    if mode == "complete":
+        spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows")  # a stream without input runs no batch
+
+    def put(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    writer = writer.foreachBatch(put) if mode == "complete" else writer.format("parquet").option("path", f"{at}/rows")
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

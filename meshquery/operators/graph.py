@@ -20,17 +20,22 @@ FLAG_MAX = 65_535
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir, where its lineage ends. Where that is unset, in a temporary
-    folder, which only a single-machine session may have."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, in a temporary folder, which only a
+    single-machine session may have."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _OWN.get(context.applicationId) or _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="meshquery-"))
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a table in the shared folder, where its lineage ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -129,3 +129,12 @@ def test_event_feed(spark, tmp_path):
     query = feeds.append_to(feeds.for_domain(feeds.event_feed(spark, str(tmp_path / "in")), "a.com"), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination()
     assert {r.type for r in spark.read.json(str(tmp_path / "out")).collect()} == {"page", "runtime_started"}
+
+
+def test_drained_streams_do_not_pass_through_the_driver(spark):
+    from meshquery import catalog_queries
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("stream_alerts", "stream_bucket_day"):
+        out = catalog_queries.queries()[name](spark, sf)
+        assert out.count() > 0 and out.inputFiles() and all(x.endswith(".parquet") for x in out.inputFiles())
