@@ -2,8 +2,8 @@
 
 Sources in code point order (null last) weigh 5, 2, 1, repeating, and share the corpus's words; a source's target
 stops at three times its size and the excess goes to the others by weight (water filling, solved in closed form
-over one row per source). Within a source documents stand in a fixed pseudo-random order (MD5 of the id); the mix
-goes through that order again and again until the target is met to the word, so a document is taken whole some
+over one row per source; windows over all sources are of few rows). Within a source documents stand in a fixed
+pseudo-random order (MD5 of id and text, and of a number that tells repeated rows apart); the mix goes through that order again and again until the target is met to the word, so a document is taken whole some
 times and the last one reached may be taken in part.
 
 Curriculum: source s has the weight schedule ``share_s * (1 + a_s * (2t - 1))`` over training time t in 0..1, where
@@ -11,7 +11,8 @@ heavy sources fall and light ones rise and the shares add up to one at every t.
 cumulative demand; inverting it at a document's place in the source gives the document's training position.
 
 Plan: the text is read once for its word count; running sums are kept in two levels, (source, bucket of the order)
-and inside one bucket, so a source with most rows spreads over its 4096 buckets.
+and inside one bucket, so a source with most rows spreads over its 4096 buckets, and so do the copies of one row.
+The result is range-sorted by training position.
 
 Defined results: null text has size 0; null source is a source of its own; null doc_id is kept; repeated rows are
 documents of their own; a document of size 0 is never taken and has no position; an empty table gives no rows;
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table
+from .common import WORD, partitions_for, saved, table
 
 WEIGHTS, MOST, TILT = (5, 2, 1), 3, 0.5
 
@@ -72,7 +73,7 @@ def time_of(part: Column, slope: Column) -> Column:
 
 def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``__t`` (source_size, target, want, slope, before, taken) to rows of (..., __key, __order, __bucket, __size)."""
-    own = W.partitionBy("__key", "__bucket").orderBy("__order", "__id", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = W.partitionBy("__key", "__bucket").orderBy("__order", "__row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     joined = rows.join(plan, (F.col("__key") == F.col("__plan_key")) & (F.col("__bucket") == F.col("__plan_bucket")))
     before = F.col("__base") + F.sum("__size").over(own) - F.col("__size")
     full = F.when(F.col("__source_size") > 0, F.floor(F.col("__want") / F.col("__source_size"))).otherwise(0).cast("long")
@@ -82,9 +83,27 @@ def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, *more: Column) -> DataFrame:
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A row per document, saved: its source, word count, unique number, and place in the order."""
+    name = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(*more, F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source"), _key(F.col("source").cast("string")).alias("__key"), order.alias("__order"), F.substring(order, 1, 3).alias("__bucket"), size.alias("__size"))
+    source = F.col("source").cast("string")
+    rows = saved(docs.select(*more, F.monotonically_increasing_id().alias("__row_id"), F.col("doc_id").alias("__id"), source.alias("__source"), _key(source).alias("__key"), name.alias("__name"), size.alias("__size")), "mix-sizes")
+    again = saved(_repeats(rows), "mix-repeats")
+    numbered = rows.join(again, "__row_id", "left").withColumn("__order", F.md5(F.concat("__name", F.lit(":"), F.coalesce("__again", F.lit(0)).cast("string"))))
+    return numbered.withColumn("__bucket", F.substring("__order", 1, 3)).drop("__name", "__again")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """(__row_id, __again): numbers from 0 for rows that repeat another of their source; counted by piece of the table, so that no
+    task holds all copies of a row."""
+    keys = ["__key", "__name"]
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = rows.select("__row_id", *keys, F.floor(F.col("__row_id") / 65_536).alias("part")).join(repeated, keys, "left_semi")
+    parts = copies.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    bases = parts.select(*keys, "part", (F.sum("n").over(W.partitionBy(*keys).orderBy("part")) - F.col("n")).alias("base"))
+    inside = W.partitionBy(*keys, "part").orderBy("__row_id")
+    own = copies.withColumn("at", F.row_number().over(inside) - 1)
+    return own.join(bases, [*keys, "part"]).select("__row_id", (F.col("base") + F.col("at")).alias("__again"))
 
 
 def _plan(sized: DataFrame, weights: tuple[int, ...], most: int, tilt: float) -> DataFrame:
@@ -104,25 +123,26 @@ def _position(turn: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, tilt: float = TILT) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position): position is the first training position, 0 to 1."""
-    sized = saved(_sized(docs), "mix-sizes")
-    rows = placed(sized, _plan(sized, weights, most, tilt))
+    """(doc_id, size, source_size, target, taken, position), range-sorted by position, the first training position (0 to 1);
+    documents that the mix doesn't take come first and have none."""
+    sized = _sized(docs)
+    rows = placed(sized, saved(_plan(sized, weights, most, tilt), "mix-plan"))
     first = F.when(F.col("__taken") > 0, _position(F.lit(0)))
-    return rows.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), first.alias("position"))
+    rows = rows.withColumn("__at", first).repartitionByRange(partitions_for(docs.sparkSession), "__at", "__order").sortWithinPartitions("__at", "__order")
+    return rows.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.col("__at").alias("position"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, tilt: float = TILT) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for every time a document is taken, range-sorted by training
     position; where a document is taken in part, its text is cut after the last word taken."""
-    narrow = saved(_sized(docs), "mix-sizes")
-    plan = saved(_plan(narrow, weights, most, tilt), "mix-plan")
-    rows = placed(_sized(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__row")), plan)
+    sized = _sized(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    rows = placed(sized, saved(_plan(sized, weights, most, tilt), "mix-plan"))
     turns = F.sequence(F.lit(0).cast("long"), F.col("__full") - F.when(F.col("__extra") > 0, 0).otherwise(1))
     taken = rows.where(F.col("__taken") > 0).withColumn("__turn", F.explode(turns)).withColumn("__at", _position(F.col("__turn")))
     worded = F.regexp_extract_all(F.col("__row.text").cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(worded, F.lit(1), F.col("__extra").cast("int")), "")
     cut = F.when((F.col("__turn") == F.col("__full")) & (F.col("__extra") < F.col("__size")), head).otherwise(F.col("__row.text"))
-    sorted_rows = taken.withColumn("__text", cut).repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__at", "__order", "__turn").sortWithinPartitions("__at", "__order", "__turn")
+    sorted_rows = taken.withColumn("__text", cut).repartitionByRange(partitions_for(docs.sparkSession), "__at", "__order", "__turn").sortWithinPartitions("__at", "__order", "__turn")
     return sorted_rows.select(*[F.col("__text").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -133,7 +153,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1)) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -158,7 +178,7 @@ a AS (
   SELECT *, 0.5::DOUBLE * (class - sum(want * class) OVER () / greatest((sum(want) OVER ())::BIGINT, 1)) AS slope FROM w),
 p AS (
   SELECT d.doc_id, d.size, a.source_size, a.target, a.want, a.slope,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS before,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS before,
          CASE WHEN a.source_size > 0 THEN a.want // a.source_size ELSE 0 END AS full_turns
   FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 t AS (

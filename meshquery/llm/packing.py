@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
     narrow = tokens.select("row", "n", *places).mapInArrow(lambda b: curve_keys(b, means, spreads), "row long, n long, key long")
     order = saved(ordered(narrow, parts), "pack-order")
     placed = order.join(F.broadcast(bases(order)), "part").select("row", (F.col("base") + F.col("at")).alias("place"))
-    wide = tokens.select("row", "doc_id", "n", "ids").join(placed.hint("shuffle_hash"), "row").select("doc_id", "n", "place", "ids")
+    wide = tokens.select("row", "doc_id", "n", "ids").join(placed, "row").select("doc_id", "n", "place", "ids")
 
     def cut(batches):
         for batch in batches:

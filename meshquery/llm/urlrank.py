@@ -2,7 +2,11 @@
 
 Rules (host, path prefix, action) decide where one fits; the longest wins. Elsewhere the host decides: pages that
 rules allow or block make their hosts trusted or blocked seeds, personalised PageRank spreads trust along the host
-links and distrust against them, and a host is blocked where distrust exceeds trust by more than a threshold.
+links and distrust against them, and a host is blocked where distrust exceeds trust by more than a threshold. Both are
+shares of a whole: mass at hosts without further links goes back to the seeds, which only scales the ranks.
+
+Rounds go on until all further rounds together could move less than ``TOLERANCE``: a round moves at most ``DAMPING`` times
+what the one before moved, and ranks only grow, so one sum bounds the rest.
 
 Plan: pages become (host, path) and counted host links in one scan; everything iterative is on host rows and host
 links only. Rules meet hosts through the hosts' domain suffixes (an equi-join), once per host and not per page.
@@ -26,8 +30,10 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
+#: Rounds between two tables in the shared folder.
+CHAINED = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.0
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -41,8 +47,8 @@ def path_of(url: Column) -> Column:
 
 def host_rules(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(host, fits): for every host the rules of its domain suffixes, longest first. ``rules`` is the caller's list."""
-    spark = hosts.sparkSession
-    listed = spark.createDataFrame([(h, p, h + p, a) for h, p, a in rules], "suffix string, prefix string, rule string, action string")
+    named = lambda h, p, a: F.struct(F.lit(h).alias("suffix"), F.lit(p).alias("prefix"), F.lit(h + p).alias("rule"), F.lit(a).alias("action"))
+    listed = hosts.sparkSession.range(1).select(F.inline(F.array(*[named(*r) for r in rules])))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = hosts.select("host", F.explode(suffixes).alias("suffix")).join(listed, "suffix")
@@ -50,26 +56,31 @@ def host_rules(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     return fitting.groupBy("host").agg(F.sort_array(F.collect_list(longest)).alias("fits"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` of personalised PageRank from (host, good, bad) over (src, dst, n)."""
-    if links.isEmpty():
-        return seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
-    out, into = (links.groupBy(side).agg(F.sum("n").alias(f"{side}_n")) for side in ("src", "dst"))
-    edges = saved(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("src_n")).alias("forth"), (F.col("n") / F.col("dst_n")).alias("back")), "links")
-    zero = F.lit(0.0)
-    start = seeds.select("host", (F.col("good") * (1 - damping)).alias("good"), (F.col("bad") * (1 - damping)).alias("bad"))
-    state = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for turn in range(rounds):
-        forth = edges.join(state, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth") * damping).alias("trust"), zero.alias("distrust"))
-        back = edges.join(state, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("back") * damping).alias("distrust"))
-        base = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-        state = forth.unionByName(back).unionByName(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if turn % 3 == 2 or turn == rounds - 1:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust), each adding up to one, by personalised PageRank from (host, good, bad) over (src, dst, n)."""
+    start = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
+    state = saved(start, "trust")
+    if not links.isEmpty():
+        out, into = (links.groupBy(side).agg(F.sum("n").alias(f"{side}_n")) for side in ("src", "dst"))
+        edges = saved(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("src_n")).alias("forth"), (F.col("n") / F.col("dst_n")).alias("back")), "links")
+        zero = F.lit(0.0)
+        placed, moved = sum(_mass(state)), None
+        while moved is None or moved * damping / (1 - damping) >= tolerance:
+            for _ in range(CHAINED):
+                forth = edges.join(state, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth") * damping).alias("trust"), zero.alias("distrust"))
+                back = edges.join(state, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("back") * damping).alias("distrust"))
+                state = forth.unionByName(back).unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
             state = saved(state, "trust")
-    return state
+            placed, moved = (now := sum(_mass(state))), now - placed
+    trust, distrust = (x or 1.0 for x in _mass(state))
+    return state.select("host", (F.col("trust") / F.lit(trust)).alias("trust"), (F.col("distrust") / F.lit(distrust)).alias("distrust"))
+
+
+def _mass(state: DataFrame) -> tuple[float, float]:
+    return tuple(x or 0.0 for x in state.agg(F.sum("trust"), F.sum("distrust")).first())
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every page."""
     url = F.col("url").cast("string")
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(LINK), 1), lambda h: F.translate(h, UPPER, LOWER)))
@@ -84,7 +95,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping:
     counts = saved(counts, "seeds")
     all_good, all_bad = (float(x or 0) or 1.0 for x in counts.agg(F.sum("good"), F.sum("bad")).first())
     seeds = counts.select("host", (F.col("good") / F.lit(all_good)).alias("good"), (F.col("bad") / F.lit(all_bad)).alias("bad"))
-    scores = propagate(seeds, links, damping, rounds)
+    scores = propagate(seeds, links, damping, tolerance)
     zero = F.lit(0.0)
     both = judged.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", zero)).withColumn("distrust", F.coalesce("distrust", zero))
     own = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
@@ -121,11 +132,12 @@ walk(turn, host, trust, distrust) AS (
   SELECT 0, host, good::DOUBLE, bad::DOUBLE FROM seeds
   UNION ALL
   SELECT turn, host, sum(trust)::DOUBLE, sum(distrust)::DOUBLE FROM (
-    SELECT turn + 1 AS turn, dst AS host, trust * forth * 0.85 AS trust, 0.0 AS distrust FROM walk JOIN edges ON src = host WHERE turn < 12
-    UNION ALL SELECT turn + 1, src, 0.0, distrust * back * 0.85 FROM walk JOIN edges ON dst = host WHERE turn < 12
-    UNION ALL SELECT t.turn + 1, s.host, s.good, s.bad FROM seeds s, (SELECT DISTINCT turn FROM walk WHERE turn < 12) t)
+    SELECT turn + 1 AS turn, dst AS host, trust * forth * 0.85 AS trust, 0.0 AS distrust FROM walk JOIN edges ON src = host WHERE turn < 130
+    UNION ALL SELECT turn + 1, src, 0.0, distrust * back * 0.85 FROM walk JOIN edges ON dst = host WHERE turn < 130
+    UNION ALL SELECT t.turn + 1, s.host, s.good, s.bad FROM seeds s, (SELECT DISTINCT turn FROM walk WHERE turn < 130) t)
   GROUP BY turn, host),
-scores AS (SELECT host, trust, distrust FROM walk WHERE turn = 12)
+scores AS (
+  SELECT host, trust / coalesce(nullif(sum(trust) OVER (), 0), 1) AS trust, distrust / coalesce(nullif(sum(distrust) OVER (), 0), 1) AS distrust FROM walk WHERE turn = 130)
 SELECT page_id, p.host, path, rule, coalesce(action, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit USING (n) LEFT JOIN scores ON p.host = scores.host
 """

@@ -11,7 +11,8 @@ Spark writes the shards: each is a binary value in a Parquet file of the shared
 so a lost executor's attempt leaves nothing behind and the files can be in any store Spark reaches.
 
 Defined results: null text is the empty text (its end id alone); documents are in ascending doc_id order, null first,
-equal doc_ids by their text; repeated rows are written once each; an empty table writes no shard; further columns are
+equal doc_ids by how their texts begin (64
+characters), then by a hash of the whole text; repeated rows are written once each; an empty table writes no shard; further columns are
 ignored.
 """
 
@@ -23,11 +24,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import partitions_for, saved, table
 from .tokens import encoder, slices
 
 MAGIC, VERSION = b"MQWM", 1
@@ -46,7 +47,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, bits: i
     parts: list[bytes] = []
     planes = []
 
-    pack = zstandard.ZstdCompressor(level=1).compress
+    from zstandard import ZstdCompressor
+
+    pack = ZstdCompressor(level=1).compress
 
     def put(raw: bytes) -> list[int]:
         parts.append(pack(raw))
@@ -89,7 +92,9 @@ class Shard:
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a wavelet shard of this version")
         self.data, self.base = data, HEAD.size + size
-        self.unpack = zstandard.ZstdDecompressor().decompress
+        from zstandard import ZstdDecompressor
+
+        self.unpack = ZstdDecompressor().decompress
         self.head = json.loads(self.unpack(data[HEAD.size : self.base]))
         self.kept: dict[tuple[int, int], np.ndarray] = {}
         self.ranks = [self._array(p["ranks"], "<u4") for p in self.head["planes"]]
@@ -197,11 +202,13 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
-    """Writes the shards to the shared folder; returns (part, seq, docs, ids, file), ascending by (part, seq)."""
+    """Writes the shards to the shared folder; returns (part, seq, at, docs, ids, file), ascending by (part, seq); ``at`` counts the
+    ids before a shard in its part. Ranges end anywhere, also between rows of one doc_id or copies of one row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(text, 1, 64).alias("begin"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = ("doc_id", "begin", "tie", "row")
+    ranged = rows.repartitionByRange(parts or partitions_for(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -210,11 +217,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int |
         names: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        total = 0
+        total = at = 0
 
         def shard() -> pa.RecordBatch:
             file = build(np.concatenate(held), names, np.concatenate(sizes))
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "docs": [len(names)], "ids": [total], "file": [file]})
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "at": [at], "docs": [len(names)], "ids": [total], "file": [file]})
 
         for batch in batches:
             for piece in slices(batch):
@@ -225,20 +232,17 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int |
                 total += len(ids)
                 if total >= SHARD_IDS:
                     yield shard()
-                    names, held, sizes, total, seq = [], [], [], 0, seq + 1
+                    names, held, sizes, at, total, seq = [], [], [], at + total, 0, seq + 1
         if names:
             yield shard()
 
-    return saved(ranged.mapInArrow(run, "part long, seq long, docs long, ids long, file binary"), "wavelet")
+    return saved(ranged.mapInArrow(run, "part long, seq long, at long, docs long, ids long, file binary"), "wavelet")
 
 
 def read_back(shards: DataFrame, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) and with ``ids`` the ids, all from the shard files."""
-    at, rows = 0, []
-    for r in sorted(shards.select("part", "seq", "ids").collect(), key=lambda r: (r.part, r.seq)):  # one row per shard
-        rows.append((r.part, r.seq, at))
-        at += r.ids
-    base = shards.sparkSession.createDataFrame(rows, "part long, seq long, base long")
+    sums = shards.groupBy("part").agg(F.sum("ids").alias("ids"))  # a row per range partition, however many shards or documents
+    base = sums.select("part", (F.sum("ids").over(W.orderBy("part")) - F.col("ids")).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -253,7 +257,7 @@ def read_back(shards: DataFrame, ids: bool = False) -> DataFrame:
                     arrays.append(pa.array([all_ids[e - n : e].astype(np.int64) for e, n in zip(ends, sizes, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    return shards.join(F.broadcast(base), ["part", "seq"]).select("base", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return shards.join(F.broadcast(base), "part").select(F.col("base") + F.col("at"), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

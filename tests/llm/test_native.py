@@ -9,12 +9,11 @@ from meshquery.llm import chat, mixing, registry, urlrank
 def same(spark, query, sql, tables, extra=()):
     con = duckdb.connect()
     for name, df in tables.items():
-        con.register(name, df.toPandas())
-    want = con.execute(sql).df()
-    got = query.toPandas()[list(want.columns)]
-    norm = lambda x: sorted(tuple(None if v is None or v != v else (float(v) if isinstance(v, float) else v) for v in row) for row in x.astype(object).values.tolist())
-    key = lambda rows: sorted(rows, key=str)
-    assert key(map(lambda r: tuple(None if v is None or v != v else v for v in r), got.astype(object).values.tolist())) == key(map(lambda r: tuple(None if v is None or v != v else v for v in r), want.astype(object).values.tolist())), norm
+        con.register(name, df.toArrow())
+    want = con.execute(sql).to_arrow_table()
+    got = query.toArrow().select(want.column_names)
+    rows = lambda t: sorted((tuple(r.values()) for r in t.to_pylist()), key=str)
+    assert rows(got) == rows(want)
 
 
 @pytest.mark.parametrize("name", ["op5_mixing", "op6_urls", "op8_chat"])
@@ -69,6 +68,18 @@ def test_curriculum_moves_from_heavy_to_light_sources(spark):
     assert (light > 0.5).mean() > 0.55
 
 
+def test_copies_of_a_row_spread_and_the_result_is_sorted(spark):
+    rows = [(7, "w w", "s0")] * 3000 + [(None, "w w", "s0")] * 300 + [(i, "w", "s1") for i in range(50)]
+    frame = docs(spark, rows)
+    sized = mixing._sized(frame)
+    assert sized.where("__id = 7").select("__bucket").distinct().count() > 1500 and sized.select("__order").distinct().count() == len(rows)
+    out = mixing.mix(frame)
+    assert re.search("rangepartitioning", out._jdf.queryExecution().executedPlan().toString())
+    places = [r.position for r in out.collect() if r.position is not None]
+    assert places == sorted(places) and len(out.collect()) == len(rows)
+    same(spark, out, mixing.SQL, {"documents": frame.select("doc_id", "text", "source")})
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed_documents(docs(spark, [])).count() == 0
     assert [tuple(r) for r in mixing.mix(docs(spark, [(1, None, None)])).select("size", "target", "taken").collect()] == [(0, 0.0, 0)]
@@ -122,6 +133,28 @@ def turns(spark, rows):
     return spark.createDataFrame([(*r, "clash", "clash") for r in rows], TURNS)
 
 
+def test_ranks_settle_on_a_long_chain(spark):
+    import numpy as np
+
+    hosts = [f"h{i}.test" for i in range(40)]
+    links = [(a, b, 1 + i % 3) for i, (a, b) in enumerate(zip(hosts, hosts[1:], strict=False))] + [("h5.test", "h2.test", 2), ("h30.test", "h1.test", 1)]
+    seeds = [("h0.test", 1.0, 0.0), ("h39.test", 0.0, 1.0)]
+    got = {r.host: r for r in urlrank.propagate(spark.createDataFrame(seeds, "host string, good double, bad double"), spark.createDataFrame(links, "src string, dst string, n long"), tolerance=1e-3).collect()}
+    step = np.zeros((40, 40))
+    for a, b, n in links:
+        step[hosts.index(b), hosts.index(a)] += n
+    for name, m, seed in (("trust", step, 0), ("distrust", step.T, 39)):
+        m = m / np.maximum(m.sum(0), 1)
+        x = np.linalg.solve(np.eye(40) - 0.85 * m, np.eye(40)[seed])
+        assert np.allclose([got[h][name] for h in hosts], x / x.sum(), atol=2e-3)
+
+
+def test_very_long_urls_and_pages(spark):
+    rows = [(1, "http://a.com/" + "x" * 500_000, "<p>" * 200_000 + '<a href="http://b.org/">'), (2, "http://" + "a." * 300 + "com/en/", "<a " * 50_000)]
+    got = {r.page_id: r for r in urlrank.judge(pages(spark, rows)).collect()}
+    assert got[1].host == "a.com" and len(got[1].path) == 500_001 and got[2].rule == "com/en/"
+
+
 def test_rotation_by_hand(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Hé <|im_end|>"), (1, 3, "ann", None), (1, 3, "ann", None)]
     got = {r.speaker: r for r in chat.rotate(turns(spark, rows)).collect()}
@@ -132,19 +165,70 @@ def test_rotation_by_hand(spark):
         assert parts == (["Hi<|im_end|>\n", "<|im_end|>\n"] if r.speaker == "ann" else ["Hé < |im_end|><|im_end|>\n"])
 
 
-def test_long_and_odd_conversations(spark):
-    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(150)] + [(2, 5, "a", f"same turn {i}") for i in range(100)] + [(None, 0, None, "x"), (3, None, "a", "y"), (3, 1, "a", "z"), (4, 0, "system", "only context"), (5, 0, "a", "long " * 20_000), (6, 0, "b c", "q")]
-    out = chat.rotate(turns(spark, rows)).collect()
-    assert {(r.part, r.n_turns) for r in out if r.conv_id == 1} == {("0", 64), ("1", 64), ("2", 22)}
-    assert sum(r.n_turns for r in out if r.conv_id == 2) == 100 and max(r.n_turns for r in out) == 64
-    assert not [r for r in out if r.conv_id == 4] and [r.speaker for r in out if r.conv_id is None] == ["unknown"]
-    assert [r.speaker for r in out if r.conv_id == 6] == ["b_c"]
-    same(spark, chat.rotate(turns(spark, rows)).selectExpr("conv_id", "part", "speaker", "n_turns", "text", "array_join(transform(spans, s -> concat_ws(':', string(s.start), string(s.end))), ',') AS spans"), chat.SQL, {"conversations": turns(spark, rows).select("conv_id", "turn", "role", "text")})
+def rendered(rows):
+    """The whole dialogue of every (conversation, speaker): text and own spans, with no parts."""
+    import hashlib
+
+    talks, out = {}, {}
+    for conv, turn, role, text in set(rows):
+        talks.setdefault(conv, set()).add((turn is not None, turn or 0, "" if role is None else "=" + role, hashlib.md5((text or "").encode()).hexdigest(), text or ""))
+    for conv, lines in talks.items():
+        for me in {x[2] for x in lines} - {"=system"}:
+            shown, spans = "", []
+            for _, _, who, _, said in sorted(lines):
+                name = who[1:]
+                for plain, coded in chat.ESCAPES.items():
+                    name = name.replace(plain, coded)
+                kind = "assistant" if who == me else "system" if who == "=system" else "user name=" + name if who else "user"
+                shown += f"<|im_start|>{kind}\n"
+                body = said.replace("<|", "< |") + "<|im_end|>\n"
+                spans += [(len(shown), len(shown) + len(body))] if who == me else []
+                shown += body
+            out[conv, me[1:] if me else None] = shown, spans
+    return out
+
+
+LONG = [(n, i, "abc"[i % 2 if i < 100 else 2], f"t{i}") for n in (63, 64, 65, 150) for i in range(n)]
+ODD = [(2, 5, "a", f"same turn {i}") for i in range(100)] + [(None, 0, None, "x"), (None, 1, "unknown", "y"), (3, None, "a", "y"), (3, 1, "a", "z"), (4, 0, "system", "only context")]
+ODD += [(5, 0, "a", "long " * 20_000), (6, 0, "b c", "q"), (6, 1, "b_c", "q"), (6, 2, "", "<|im_start|>"), (6, 3, "a<|b%\n", "r"), (7, 0, "system", "s")] + [(7, 1, f"p{i % 5}", None) for i in range(9)] + [(2, 5, "a", "same turn 1")] * 50
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_parts_put_together_are_the_whole_dialogue(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "PART_BLOCK", block)
+    out = chat.rotate(turns(spark, LONG + ODD)).collect()
+    whole = {}
+    for r in sorted(out, key=lambda r: r.part):
+        text, spans = whole.get((r.conv_id, r.speaker), ("", []))
+        assert r.start == len(text) and r.n_turns <= 64
+        whole[r.conv_id, r.speaker] = text + r.text, spans + [tuple(s) for s in r.spans]
+    assert whole == rendered(LONG + ODD)
+    assert sum(r.conv_id == 150 for r in out) == 9 and not [r for r in out if r.conv_id == 4]
+
+
+def test_rotation_against_sql(spark):
+    frame = turns(spark, LONG + ODD)
+    got = chat.rotate(frame).selectExpr("conv_id", "part", "speaker", "n_turns", "start", "text", "array_join(transform(spans, s -> concat_ws(':', string(s.start), string(s.end))), ',') AS spans")
+    same(spark, got, chat.SQL, {"conversations": frame.select("conv_id", "turn", "role", "text")})
     assert chat.rotate(turns(spark, [])).count() == 0
 
 
-def test_main_path_has_no_python(spark):
+def test_main_path_has_no_python(spark, monkeypatch):
+    """Neither in the plan nor in the lineage of anything that is computed on the way."""
+    from pyspark.sql import SparkSession
+
+    def refuse(*_, **__):
+        raise AssertionError("rows from Python")
+
+    monkeypatch.setattr(SparkSession, "createDataFrame", refuse)
+
+    def native(df):
+        run = df._jdf.queryExecution()
+        assert not re.search("Python|Pandas|Arrow", run.executedPlan().toString() + run.toRdd().toDebugString())
+
+    for module in (chat, mixing, urlrank):
+        monkeypatch.setattr(module, "saved", lambda df, name, put=module.saved: (native(df), put(df, name))[1])
     sf = "/root/testdata/sf0.001"
     for name in ("op5_mixing", "op6_urls", "op8_chat"):
-        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow", plan)
+        native(registry.queries()[name](spark, sf))
+    native(mixing.mixed_documents(spark.read.parquet(f"{sf}/documents.parquet")))
