@@ -18,7 +18,7 @@ def test_each_stage_on_its_own_input(spark):
     scores = quality.op2(spark, SF).toPandas()
     assert sorted(r.doc_id for r in one.collect()) == sorted(scores[scores.predicted == 1].doc_id)
     two = saved(dedup(spark, one, SF), "two")
-    parts = neardup.near_duplicates(one).toPandas()
+    parts = neardup.near_duplicates(one, 80).toPandas()
     assert sorted(r.doc_id for r in two.collect()) == sorted(parts[parts.kept].doc_id)
     three = saved(mix(spark, two, SF), "three")
     takes = {r.doc_id: r for r in mixing.mix(two).collect() if r.taken}
