@@ -21,3 +21,12 @@ def test_library_does_not_import_the_extra_subpackage():
 
     code = "import sys, meshquery.catalog_queries, meshquery.sources.html_data, meshquery.sources.site_files, meshquery.streaming.feeds; sys.exit(any(m.startswith('meshquery.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rpartition('/')[0]).returncode == 0
+
+
+def test_entry_works_where_an_import_of_the_extra_subpackage_fails(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("meshquery.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "pyarrow.compute", None)
+    assert "wql_join" in entry.queries() and not [q for q in entry.queries() if q.startswith("op") or q == "pipeline"]
+    monkeypatch.undo()
+    assert "op1_packing" in entry.queries() and "pipeline" in entry.queries()
