@@ -14,8 +14,9 @@ of the lists.
    of one text differ in their rare shingles: these bounds keep them from being compared all with all.
 4. A list never emits all its pairs: its most central member (fewest shingles of its own) is compared with the others;
    members that turn out to be in one component need no more comparing with each other. Lists whose members are in
-   several components go to another round with more leaders, until every pair in a list was compared, is in one
-   component, or is excluded exactly by its sizes or by 3. Nothing is capped.
+   several components go to another round with the next leaders, until every pair in a list was compared, is in one
+   component, or is excluded exactly by its sizes or by 3. Nothing is capped. A long list is never in one task: counts
+   and leaders are combined before the shuffle, and everything else is a join of two saved tables, which Spark splits.
 5. A pair whose sketches share ``least`` values and whose union-sketch estimate is near enough is decided by the exact
    Jaccard similarity of the full sets.
 6. Components over verified links; label = smallest doc_id.
@@ -45,6 +46,8 @@ from .words import Words
 K, PERCENT = 64, 85
 #: How seldom a pair at the threshold may share fewer sketch values than ``least``.
 SELDOM = 1e-5
+#: Leaders of a list in one round: so many are found without bringing the list together.
+MOST_LEADS = 512
 TOP = np.uint64(1 << 63)
 
 
@@ -75,7 +78,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, rows=1000, chars=1_000_000):
+            for part in slices(batch, rows=500, chars=500_000):
                 sets = Words(part.column(3)).shingle_sets()
                 prints = np.array([_print(s) for s in sets], dtype=np.int64).reshape(len(sets), 2)
                 firsts = [_signed(s[:K]) for s in sets]
@@ -87,37 +90,40 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, tag long, n long, f1 long, f2 long, sketch array<long>")
 
 
+def _counted(spread: DataFrame, name: str) -> DataFrame:
+    """(value, times) of the values that several classes have, saved: a join with it can be split where a value is frequent."""
+    return saved(spread.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), name)
+
+
 def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """(value, cls, n): the values of each class's sketch that may lead to a link, rarest first."""
     spread = classes.select("cls", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    shared = spread.groupBy("value").agg(F.count("*").alias("classes")).where("classes > 1")
     need = F.least(F.ceil(F.col("n") * percent / 100), F.lit(least(percent)))
     # Values of one class only are the rarest: they come first and lead nowhere.
-    own = spread.join(shared, "value").groupBy("cls", "n", "size").agg(F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("values"))
+    own = spread.join(_counted(spread, "values"), "value").groupBy("cls", "n", "size").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
     keep = F.greatest(F.lit(0), F.col("size") - need + 1 - (F.col("size") - F.size("values")))
     return own.select("cls", "n", F.explode(F.slice("values", F.lit(1), keep.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "cls", "n")
 
 
-def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, n, shingles): the full sets of the wanted classes, made again from the whole texts."""
+def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """(cls, n, shingles): the full sets of the wanted classes, made again from the whole texts, found by doc_id and hash."""
     key = lambda c: F.struct(F.coalesce(c, F.lit(0)).alias("i"), c.isNull().alias("none"))
-    texts = docs.select(key(F.col("doc_id").cast("long")).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    named = classes.join(wanted, "cls", "left_semi").select("cls", "f1", "f2", key(F.col("doc")).alias("id"))
+    texts = docs.select(key(F.col("doc_id").cast("long")).alias("id"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string").alias("text")).where("text is not null")
+    named = classes.join(wanted, "cls", "left_semi").select("cls", "f1", "f2", key(F.col("owner")).alias("id"), "tag")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, rows=1000, chars=1_000_000):
+            for part in slices(batch, rows=500, chars=500_000):
                 sets = Words(part.column(3)).shingle_sets()
-                # A doc_id may have several texts: the class's own has its fingerprint.
+                # Should two texts of a doc_id have one hash: the class's own has its fingerprint.
                 keep = [i for i, (x, f1, f2) in enumerate(zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)) if _print(x) == (f1, f2)]
                 own = [_signed(sets[i]) for i in keep]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(np.diff(ends).astype(np.int64)), lists], names=["cls", "n", "shingles"])
 
-    found = texts.join(named, "id").select("cls", "f1", "f2", "text").mapInArrow(run, "cls long, n long, shingles array<long>")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return found if repeated.isEmpty() else found.dropDuplicates(["cls"])
+    found = texts.join(named, ["id", "tag"]).select("cls", "f1", "f2", "text").mapInArrow(run, "cls long, n long, shingles array<long>")
+    return found.dropDuplicates(["cls"]) if repeats else found
 
 
 def exact_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -126,8 +132,7 @@ def exact_lists(sets: DataFrame, percent: int) -> DataFrame:
     other class of ``sets`` has. 31 bits of a hash do: a chance match makes a shingle look more frequent, which excludes
     less, or puts a pair up that is then compared."""
     spread = sets.select("cls", "n", F.explode("shingles").alias("x")).select(F.shiftright("x", 20).bitwiseAND(0x7FFFFFFF).cast("int").alias("value"), "cls", "n")
-    shared = spread.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
-    own = spread.join(shared, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
+    own = spread.join(_counted(spread, "values-exact"), "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
     own = own.withColumn("u", F.col("n") - F.size("values"))
     keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("u"))
     first = own.select("cls", "n", "u", F.posexplode(F.slice("values", F.lit(1), keep.cast("int"))).alias("at", "v"))
@@ -156,18 +161,9 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have Jaccard similarity percent / 100 or more."""
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"{x}s"))
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * 100 >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "as", "bs").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("as", "bs"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    return met.where(F.col("both") * 100 >= (F.size("as") + F.size("bs") - F.col("both")) * percent).select("a", "b")
 
 
 def _print(shingles: np.ndarray) -> tuple[int, int]:
@@ -175,38 +171,46 @@ def _print(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), dtype="<i8").tolist())
 
 
-def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def linked(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect whatever is connected."""
     lists = saved(inverted_lists(classes, percent), "lists")
-    crowded = lists.groupBy("value").count().where("count > 1").select("value")
-    lists = saved(lists.join(crowded, "value"), "lists-shared")
-    sets = saved(full_sets(classes, lists.select("cls").distinct(), docs), "sets")
+    lists = saved(lists.join(_counted(lists, "lists-crowded"), "value", "left_semi"), "lists-shared")
+    sets = saved(full_sets(classes, lists.select("cls").distinct(), docs, repeats), "sets")
     lists = saved(exact_lists(sets, percent), "lists-exact")
-    heads = lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n", "place")).alias("head")).select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.place").alias("aplace"))
+    heads = saved(lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n", "place")).alias("head")), "heads").select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.place").alias("aplace"))
     star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "aplace", "place", percent)).select("a", F.col("cls").alias("b")).distinct()
     links = saved(verified(estimated(star, classes, percent), sets, percent), "links")
-    leaders, more = 1, 16
+    led, more = 1, 16
+    used = saved(lists.groupBy("value").agg(F.min(F.struct("u", "cls")).alias("last")), "leads-used")
     while True:
         labels = components(links)
-        named = lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", "u", "place", F.coalesce("label", "cls").alias("label"))
+        named = saved(lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", "u", "place", F.coalesce("label", "cls").alias("label")), "lists-named")
         split = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-        split = split.where((F.col("low") != F.col("high")) & (F.col("members") > leaders + 1)).select("value")
-        rest = saved(named.join(split, "value").withColumn("at", F.row_number().over(W.partitionBy("value").orderBy("u", "cls"))), "lists-open")
-        if rest.isEmpty():
+        split = saved(split.where((F.col("low") != F.col("high")) & (F.col("members") > led + 1)).select("value"), "values-open")
+        lists = saved(named.join(split, "value", "left_semi"), "lists-open")
+        if lists.isEmpty():
             return links
-        lead = rest.where((F.col("at") > leaders) & (F.col("at") <= leaders + more)).select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("label").alias("alabel"), F.col("at").alias("aat"))
-        pairs = lead.join(rest, "value").where(F.col("at") > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "aplace", "place", percent))
+        place_in_list = F.struct("u", "cls")
+        next_ones = lists.join(used, "value").where(place_in_list > F.col("last"))
+        numbered = next_ones.withColumn("at", F.row_number().over(W.partitionBy("value").orderBy("u", "cls"))).where(F.col("at") <= more)
+        lead = saved(numbered.select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("label").alias("alabel"), place_in_list.alias("aat")), "leads")
+        used = saved(lead.groupBy("value").agg(F.max("aat").alias("last")), "leads-used")
+        pairs = lead.join(lists, "value").where(place_in_list > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "aplace", "place", percent))
         found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes, percent), sets, percent)
         links = saved(links.union(found), "links")
-        leaders, more = leaders + more, more * 4
+        lists = lists.drop("label")
+        led, more = led + more, min(more * 4, MOST_LEADS)
 
 
 def labelled(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, tag, n, label, component_id) for every row; tag tells texts of one doc_id apart; label is null without words."""
     rows = saved(sketches(docs), "sketches")
     full = rows.where("n > 0")
-    classes = saved(full.groupBy("f1", "f2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    labels = components(linked(classes, docs, percent))
+    first = F.min(F.struct("row", "doc_id", "tag")).alias("first")
+    classes = full.groupBy("f1", "f2").agg(first, F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = saved(classes.select(F.col("first.row").alias("cls"), F.col("first.doc_id").alias("owner"), F.col("first.tag").alias("tag"), "f1", "f2", "doc", "n", "sketch"), "classes")
+    repeats = not full.groupBy("doc_id", "tag").count().where("count > 1").isEmpty()
+    labels = components(linked(classes, docs, percent, repeats))
     member = classes.join(labels, F.col("cls") == F.col("node"), "left").select("f1", "f2", "doc", F.coalesce("label", "cls").alias("label"))
     names = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = member.join(names, "label").select("f1", "f2", "label", "component_id")
