@@ -2,20 +2,24 @@
 
 A unit vector is approximated by the sum of one codeword from each of ``BOOKS`` full-dimensional codebooks. Codebooks
 are fitted to residuals one after another and then jointly by least squares; codes are found by beam search. The index
-holds, per row, its codes and the length of its approximation. A query is scored against every row with one lookup
-table per codebook (no vector is touched), its ``SHORTLIST`` best rows are re-ranked by the exact cosine in double
-precision on the original vectors.
+holds, per row, its codes, the length of its approximation and how far that lies from the row. A query is scored against
+every row with one lookup table per codebook; then rows are re-ranked by the exact cosine in double precision on the
+original vectors: in each block of the index first the ``FIRST`` best by lookup score, then, without any cap, all whose
+lookup score lies less than ``MARGIN`` standard errors below the block's exact k-th. So a group of near copies, whose
+lookup scores can't tell them apart, is re-ranked whole, however large it is.
 
 Codebooks are fitted on ``TRAIN_ROWS`` rows at most (those with the smallest hash of their id); every row is indexed.
 Of identical vectors only the k + 1 smallest ids can be among a query's k nearest, so the others are left out before
-indexing, exactly; this also keeps a much-repeated vector from filling a shortlist.
+indexing, exactly. Vectors are compared with those of their own length: each length has an index of its own, and so
+codebooks of its own.
 
-Plan: index rows are packed in blocks, queries in blocks; a block of queries meets each block of the index (the stated
-query set against all rows), and sends back a bounded shortlist per query. Nothing that grows is broadcast.
+Plan: index rows are packed in blocks of ``BLOCK_BYTES``, queries in blocks; a block of queries meets each block of the
+index (the stated query set against all rows) and sends back k rows per query. Nothing that grows is broadcast, comes to
+the driver, or stands in the plan.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a
-null id, nor vectors of another length than most; rows repeated with one id and vector count once; a query with fewer
-candidates than k gets all; ties go to the smaller id; an empty table gives no rows; further columns are ignored.
+null id; rows repeated with one id and vector count once, of several vectors of one id the best counts; a query with
+fewer candidates than k gets all; ties go to the smaller id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .vectors import matrix, unit, usable
 
-BOOKS, WORDS, BEAM, SHORTLIST = 12, 256, 4, 384
+BOOKS, WORDS, BEAM, FIRST, MARGIN = 12, 256, 4, 32, 2.5
 TRAIN_ROWS, ROUNDS, SEED = 16_384, 6, 20_240_604
-INDEX_BLOCK, QUERY_BLOCK = 1 << 18, 256
+#: Bytes of an index block's vectors; queries in a block; pairs re-ranked at once.
+BLOCK_BYTES, QUERY_BLOCK, PAIRS = 1 << 21, 256, 1 << 14
+FOUND = "query_id long, vec_id long, score double"
 
 
 def _sums(x: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -61,10 +67,11 @@ def _means(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return words.astype(np.float32)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n x BOOKS, uint8) by beam search, and the lengths of the approximations."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (n x BOOKS, uint8) by beam search, the lengths of the approximations, and how far these, brought to length
+    one, are from the rows."""
     n, wide = x.shape
-    codes, lengths = np.zeros((n, len(books)), dtype=np.uint8), np.zeros(n, dtype=np.float32)
+    codes, lengths, gaps = np.zeros((n, len(books)), dtype=np.uint8), np.zeros(n, dtype=np.float32), np.zeros(n, dtype=np.float32)
     for a in range(0, n, 1024):
         part = x[a : a + 1024].astype(np.float32)
         m = len(part)
@@ -82,8 +89,10 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
             path = np.concatenate([path[rows, source], word[:, :, None].astype(np.uint8)], axis=2)
         first = error.argmin(1)
         codes[a : a + m] = path[np.arange(m), first]
-        lengths[a : a + m] = np.linalg.norm(part - left[np.arange(m), first], axis=1)
-    return codes, np.maximum(lengths, 1e-9)
+        near = part - left[np.arange(m), first]
+        lengths[a : a + m] = np.maximum(np.linalg.norm(near, axis=1), 1e-9)
+        gaps[a : a + m] = np.linalg.norm(part - near / lengths[a : a + m, None], axis=1)
+    return codes, lengths, gaps
 
 
 def train(x: np.ndarray) -> np.ndarray:
@@ -97,7 +106,7 @@ def train(x: np.ndarray) -> np.ndarray:
         books.append(words)
     stacked = np.stack(books)
     # Joint update: the codewords that fit the sample best under its beam-searched codes (ridge least squares).
-    codes, _ = encode(x, stacked)
+    codes, _, _ = encode(x, stacked)
     size = BOOKS * WORDS
     together, target = np.zeros((BOOKS, WORDS, BOOKS, WORDS)), np.zeros((BOOKS, WORDS, x.shape[1]))
     wide = codes.astype(np.int64)
@@ -134,93 +143,87 @@ def candidates(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """(block, n, ids, codes, lengths): packed index blocks."""
+    """(block, ids, codes, lengths, gaps, units): packed index blocks."""
+    size = max(64, BLOCK_BYTES // (8 * books.shape[2]))
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for seq, got in enumerate(_rows(batches, INDEX_BLOCK)):
-            codes, lengths = encode(unit(matrix(got.column(1))), books)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([(part << 20) + seq]), "n": pa.array([len(codes)]), "ids": pa.array([got.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "codes": pa.array([np.ascontiguousarray(codes.T).tobytes()], pa.binary()), "lengths": pa.array([lengths.astype("<f4").tobytes()], pa.binary())})
-
-    return rows.select("vec_id", "vector").mapInArrow(run, "block long, n long, ids binary, codes binary, lengths binary")
-
-
-def shortlists(queries: DataFrame, blocks: DataFrame, books: np.ndarray, size: int = SHORTLIST) -> DataFrame:
-    """(query_id, vec_id): each query's best ``size`` rows by lookup-table scores; a bounded list per block of the index."""
-    spark = queries.sparkSession
+        for seq, got in enumerate(_rows(batches, size)):
+            units = unit(matrix(got.column(1)))
+            codes, lengths, gaps = encode(units, books)
+            parts = {"ids": got.column(0).to_numpy().astype("<i8"), "codes": np.ascontiguousarray(codes.T), "lengths": lengths.astype("<f4"), "gaps": gaps.astype("<f4"), "units": units.astype("<f8")}
+            yield pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + seq])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()})
+
+    return rows.select("vec_id", "vector").mapInArrow(run, "block long, ids binary, codes binary, lengths binary, gaps binary, units binary")
+
+
+def best_of_block(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, gaps: np.ndarray, x: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): the k nearest of a block for each query, as places in ``asked`` and ``ids``."""
+    tables = np.einsum("qd,bwd->qbw", q.astype(np.float32), books)
+    got = tables[:, 0].take(codes[0], axis=1)
+    for b in range(1, len(books)):
+        got += tables[:, b].take(codes[b], axis=1)
+    got /= lengths
+    own = asked[:, None] == ids[None, :]
+    got[own] = -np.inf
+    first = np.argpartition(-got, FIRST, axis=1)[:, :FIRST] if got.shape[1] > FIRST else np.broadcast_to(np.arange(got.shape[1]), got.shape)
+    exact = np.einsum("qfd,qd->qf", x[first], q)
+    exact[np.take_along_axis(own, first, axis=1)] = -np.inf
+    edge = -np.partition(-exact, k - 1, axis=1)[:, k - 1] if exact.shape[1] >= k else np.full(len(q), -np.inf)
+    reach = got + (MARGIN / np.sqrt(x.shape[1])) * gaps + 1e-6
+    wanted = reach >= edge[:, None]
+    np.put_along_axis(wanted, first, True, axis=1)
+    at, row = np.nonzero(wanted & ~own)
+    score = np.concatenate([np.einsum("ij,ij->i", x[row[i : i + PAIRS]], q[at[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)]) if len(at) else np.zeros(0)
+    order = np.lexsort((ids[row], -score, at))
+    at, row, score = at[order], row[order], score[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[place < k], row[place < k], score[place < k]
+
+
+def nearest(queries: DataFrame, blocks: DataFrame, books: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's k nearest of every block of the index."""
 
     def pack(batches):
         for got in _rows(batches, QUERY_BLOCK):
-            yield pa.RecordBatch.from_pydict({"queries": pa.array([got.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "tables": pa.array([unit(matrix(got.column(1))).astype("<f4").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"asked": pa.array([got.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "q": pa.array([unit(matrix(got.column(1))).astype("<f8").tobytes()], pa.binary())})
 
-    names = [r.block for r in blocks.select("block").collect()]  # one number per block of the index
-    packed = saved(queries.select("vec_id", "vector").mapInArrow(pack, "queries binary, tables binary"), "queries")
-    meet = packed.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in names]))) if names else packed.withColumn("block", F.lit(0).cast("long")).limit(0)
-    pairs = meet.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).join(blocks, "block")
+    packed = saved(queries.select("vec_id", "vector").mapInArrow(pack, "asked binary, q binary"), "queries")
+    names = saved(blocks.select("block", (F.row_number().over(W.orderBy("block")) - 1).alias("at")), "blocks")  # a number per block
+    count = names.count()
+    if not count:
+        return queries.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in FOUND.split(", "))])
+    meet = packed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(names, "at")
+    pairs = meet.join(blocks, "block").select("asked", "q", "ids", "codes", "lengths", "gaps", "units")
 
     def score(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                asked = np.frombuffer(row["queries"], "<i8")
-                q = np.frombuffer(row["tables"], "<f4").reshape(len(asked), -1)
-                ids = np.frombuffer(row["ids"], "<i8")
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(books), -1)
-                lengths = np.frombuffer(row["lengths"], "<f4")
-                tables = np.einsum("qd,bwd->qbw", q, books)
-                lists, scores = [], []
-                for i in range(len(asked)):
-                    got = tables[i, 0].take(codes[0])
-                    for b in range(1, len(books)):
-                        got += tables[i, b].take(codes[b])
-                    got /= lengths
-                    best = np.argpartition(-got, size)[:size] if len(got) > size else np.arange(len(got))
-                    if len(got) > size:  # ties at the edge go to the smaller ids
-                        edge = got[best].min()
-                        tied = np.flatnonzero(got == edge)
-                        sure = best[got[best] > edge]
-                        best = np.concatenate([sure, tied[np.argsort(ids[tied], kind="stable")][: size - len(sure)]])
-                    lists.append(ids[best])
-                    scores.append(got[best])
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(scores).astype(np.float32)))], names=["query_id", "ids", "scores"])
-
-    found = pairs.select("queries", "tables", "ids", "codes", "lengths").mapInArrow(score, "query_id long, ids array<long>, scores array<float>")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, scores = np.concatenate(pdf.ids.to_list()), np.concatenate(pdf.scores.to_list())
-        best = np.lexsort((ids, -scores))[: size + 1]
-        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "vec_id": ids[best]})
-
-    return found.groupBy("query_id").applyInPandas(merge, "query_id long, vec_id long")
+            for row in range(batch.num_rows):
+                raw = [np.frombuffer(batch.column(i)[row].as_buffer(), kind) for i, kind in enumerate(("<i8", "<f8", "<i8", np.uint8, "<f4", "<f4", "<f8"))]
+                asked, ids = raw[0], raw[2]
+                at, near, exact = best_of_block(asked, raw[1].reshape(len(asked), -1), ids, raw[3].reshape(len(books), -1), raw[4], raw[5], raw[6].reshape(len(ids), -1), books, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(ids[near]), pa.array(exact)], names=["query_id", "vec_id", "score"])
+
+    return pairs.mapInArrow(score, FOUND)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for every row of ``vectors`` where ``is_query`` holds."""
     good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = good.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
-    widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "width").first()
-    if widths is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vector") == widths.width)
-    able = saved(candidates(rows.select("vec_id", "vector"), k), "candidates")
-    queries = saved(rows.where("asks").select("vec_id", "vector").distinct(), "asked")
-    sample = able.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vector").toArrow()
-    books = train(unit(matrix(sample.column(0))))
-    blocks = saved(index(able, books), "index")
-    listed = shortlists(queries, blocks, books).where("query_id <> vec_id")
-    exact = listed.join(able, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
-
-    def cosine(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = unit(matrix(batch.column(2))), unit(matrix(batch.column(3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["query_id", "vec_id", "score"])
-
-    scored = exact.select("query_id", "vec_id", "asked", "vector").mapInArrow(cosine, "query_id long, vec_id long, score double")
+    found = vectors.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in FOUND.split(", "))])
+    for width in sorted(r.width for r in rows.select(F.size("vector").alias("width")).distinct().collect()):  # one index per length
+        own = rows.where(F.size("vector") == width)
+        able = saved(candidates(own.select("vec_id", "vector"), k), "candidates")
+        queries = saved(own.where("asks").select("vec_id", "vector").distinct(), "asked")
+        sample = able.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vector").toArrow()
+        books = train(unit(matrix(sample.column(0))))
+        found = found.unionByName(nearest(queries, saved(index(able, books), "index"), books, k))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
