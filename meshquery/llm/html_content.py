@@ -10,7 +10,9 @@ labelled pages are made by ``labelled_pages``, a seeded generator of many page l
 pages can be given to ``train``.
 
 The parser is forgiving: unclosed tags, implied ends, stray quotes and cut-off pages are read like browsers read them.
-Scripts, styles, templates, form controls, the head and hidden elements never are text.
+Scripts, styles, templates, form controls, drawings, the head and hidden elements never are text; such an element ends with
+its own end tag, an implied end or the end of an element around it. It takes time in proportion to the page's length,
+however deep or broken the page is: open elements are found by tag, never by a walk over all of them.
 
 Defined results: null html is empty; a page without content text gives the empty string and 0; null url or page_id and
 repeated rows are kept; an empty table gives no rows; further columns are ignored.
@@ -31,10 +33,12 @@ from .common import table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+'|["'])[^>"']*+)*+)(?:>|\Z)""", re.S)
 MARK = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+UNSEEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("noscript template svg math canvas object audio video select datalist button head".split())
+DROPPED = frozenset("noscript template svg annotation annotation-xml canvas object audio video select datalist button head".split())
 BLOCK = frozenset(
     "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -81,15 +85,34 @@ class Tree:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, at, dropped, link, open_run = [0], 0, [], False, False
-        lower = None
+        at, link, open_run = 0, False, False
+        nodes, names = [0], ["html"]  # open elements: their node (unseen ones have their parent's) and tag
+        places: dict[str, list[int]] = {}  # where in these lists the elements of a tag are
+        unseen = 0  # place of the outermost open element without text, if any
         find = TOKEN.search
+
+        def push(node: int, tag: str) -> None:
+            places.setdefault(tag, []).append(len(names))
+            nodes.append(node)
+            names.append(tag)
+
+        def cut(place: int) -> None:
+            """Ends the open elements from a place on."""
+            nonlocal unseen
+            for tag in names[place:]:
+                places[tag].pop()
+            del nodes[place:], names[place:]
+            unseen = 0 if unseen >= place else unseen
+
+        def nearest(tags) -> int:
+            return max([x[-1] for t in tags if (x := places.get(t))], default=0)
+
         while True:
             m = find(source, at)
             end = m.start() if m else len(source)
-            if end > at and not dropped:
+            if end > at and not unseen:
                 words = html.unescape(source[at:end]) if "&" in source[at:end] else source[at:end]
-                node = stack[-1]
+                node = nodes[-1]
                 if open_run:
                     self.runs[-1][1].append(words)
                 else:
@@ -105,60 +128,62 @@ class Tree:
             if m[2] is None:
                 continue
             tag, closing = m[2].lower(), bool(m[1])
-            if dropped:  # inside an element that has no text: only its own tags count
-                if tag == dropped[-1]:
-                    dropped.pop() if closing else None if m[3].endswith("/") else dropped.append(tag)
-                    continue
-                if not (dropped[0] == "head" and (tag == "body" or tag in BLOCK) and not closing):
-                    if tag in RAW and not closing:
-                        at = self._raw_end(source, tag, at)
-                    continue
-                dropped.clear()
             if tag in RAW:
                 if not closing:
                     at = self._raw_end(source, tag, at)
-                continue
-            if tag == "br" or tag == "hr":
-                open_run = False
-            elif tag == "a":
-                link = not closing
+            elif closing:
+                if tag in DROPPED or tag in BLOCK:
+                    if place := nearest((tag,)):
+                        cut(place)
+                    if tag in BLOCK and not unseen:
+                        open_run, link = False, link and not place
+                elif tag == "a" and not unseen:
+                    link = False
             elif tag in DROPPED:
-                if not closing and not m[3].endswith("/"):
-                    dropped.append(tag)
+                if not m[3].endswith("/"):
+                    push(nodes[-1], tag)
+                    unseen = unseen or len(names) - 1
             elif tag in BLOCK:
-                open_run = False
-                if closing:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == tag:
-                            del stack[i:]
-                            link = False
-                            break
-                    continue
-                if HIDDEN.search(m[3]):
-                    dropped.append(tag)
-                    continue
-                if tag == "html":
-                    continue
-                link = False
-                if tag == "body" and len(stack) > 1 and self.tag[stack[1]] == "body":
-                    continue
-                if self.tag[stack[-1]] == "p" and tag not in ("html", "body"):
-                    stack.pop()
+                if unseen and names[unseen] == "head":
+                    cut(unseen)
+                if names[-1] == "p" and tag not in ("html", "body"):
+                    cut(len(names) - 1)
                 if tag in ENDS:
                     ends, stops = ENDS[tag]
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] in stops:
-                            break
-                        if self.tag[stack[i]] in ends:
-                            del stack[i:]
-                            break
+                    place = nearest(ends)
+                    if place > nearest(stops):
+                        cut(place)
+                if not unseen:
+                    open_run = link = False
+                if tag == "html" or tag == "body" and names[1:2] == ["body"]:
+                    continue
+                if unseen or self._is_hidden(m[3]):
+                    push(nodes[-1], tag)
+                    unseen = unseen or len(names) - 1
+                    continue
                 self.tag.append(tag)
-                self.parent.append(stack[-1])
+                self.parent.append(nodes[-1])
                 self.kinds.append(_kinds(m[3]) if m[3] else ())
                 self.label.append("data-label=\"1\"" in m[3] if "data-label" in m[3] else None)
                 self.chars.append(0)
                 self.linked.append(0)
-                stack.append(len(self.tag) - 1)
+                push(len(self.tag) - 1, tag)
+            elif not unseen:
+                if tag == "br" or tag == "hr":
+                    open_run = False
+                elif tag == "a":
+                    link = True
+
+    @staticmethod
+    def _is_hidden(attributes: str) -> bool:
+        """By the attributes hidden, aria-hidden and style; a class or a value that only contains the word doesn't count."""
+        if not UNSEEN.search(attributes):
+            return False
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+                return True
+        return False
 
     @staticmethod
     def _raw_end(source: str, tag: str, at: int) -> int:

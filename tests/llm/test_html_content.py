@@ -81,3 +81,31 @@ def test_given_pages(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         inside = r.html.split("<article>")[1].split("</article>")[0].split("<footer>")[0]
         assert out[r.page_id] == H.Tree(inside).text(lambda i: True)
+
+
+def runs(source):
+    return " ".join("".join(words).strip() for _, words in H.Tree(source).runs if "".join(words).strip())
+
+
+def test_hidden_elements_end_where_browsers_end_them():
+    assert runs('<article data-title="A hidden gem"><p>kept</p></article><div class="content hidden md:block">too</div>') == "kept too"
+    assert runs("<ul><li hidden>a<li>b</li></ul>c") == "b c" and runs("<p hidden>x<p>y</p>z") == "y z"
+    assert runs("<div><noscript>x</div>y<div><video>v<p>w</div><button>b<div>c</div></button>z") == "y z"
+    assert runs('<div style="color:red; display : none">a<div>b</div>c</div>d<div aria-hidden="TRUE">e</div><div title="display:none">f</div>') == "d f"
+    assert runs("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds<svg><title>t</title><g/></svg>.</p>") == "so x=1 holds."
+    assert runs("<head><meta><noscript>n</noscript>stray<div>a</div>") == "a"
+    tree = H.Tree('<p><a href="x">one<svg></svg>two</a>three</p>')
+    assert tree.linked[1] == 6 and tree.chars[1] == 11
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<div>{0}</p>", "<li>{0}<div>", "<td>{0}</svg></table>", "<button><ul>{0}</li>", "<div hidden>{0}</section>"):
+        times = []
+        for n in (5_000, 40_000):
+            source = page.format("x") * n
+            start = time.perf_counter()
+            H.Tree(source)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 24 * times[0] + 0.2, page
