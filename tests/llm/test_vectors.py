@@ -69,7 +69,7 @@ def test_pair_of_blocks_counts_each_pair_once():
     rng = np.random.default_rng(2)
     base = rng.standard_normal(16)
     pdf = pd.DataFrame({"table": 0, "cell": 0, "i": 0, "j": 1, "side": [0] * 30 + [1] * 20, "cls": range(50), "copies": 1, "vector": [base + 0.01 * rng.standard_normal(16) for _ in range(50)], "codes": [np.zeros(1, dtype=np.int64)] * 50})
-    out = collisions.compare(pdf, collisions.collision_count())
+    out = collisions.compare(pa.Table.from_pandas(pdf), collisions.collision_count()).to_pandas()
     counts = out[out.b.isna()].set_index("a").n
     assert counts[0] == 20 and counts[49] == 30 and out.b.notna().sum() == 49
 
