@@ -23,8 +23,9 @@ THREATS = {
 }
 # Words for ratings.
 RATING_WORDS = {
-    1.0: "excellent outstanding perfect amazing", 0.9: "very_good great", 0.8: "good", 0.7: "above_average", 0.6: "average okay ok fair",
-    0.4: "below_average mediocre", 0.3: "poor bad", 0.2: "very_poor very_bad", 0.1: "terrible awful horrible",
+    1.0: ("excellent", "outstanding", "perfect", "amazing"), 0.9: ("very good", "great"), 0.8: ("good",), 0.7: ("above average",),
+    0.6: ("average", "okay", "ok", "fair"), 0.4: ("below average", "mediocre"), 0.3: ("poor", "bad"), 0.2: ("very poor", "very bad"),
+    0.1: ("terrible", "awful", "horrible"),
 }
 # Words for availability.
 OUT_OF_STOCK = ("outofstock", "out_of_stock", "out of stock", "sold out", "soldout", "unavailable", "discontinued")
@@ -63,10 +64,16 @@ PAGE_WORDS = {
 CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 
 
+def _may_have(text: Column, kind: str) -> Column:
+    """A cheap necessary condition: addresses have an at sign, the numbers four digits in a row."""
+    return text.contains("@") if kind == "email" else text.rlike(r"\d\d\d\d")
+
+
 def pii_matches(text: Column) -> Column:
     """Array of (type, match) of all personal data in a text, by type."""
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("match")))
+        found = F.when(_may_have(text, kind), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("type"), m.alias("match")))
 
     return F.concat(*[of(k, p) for k, p in PII.items()])
 
@@ -79,15 +86,15 @@ def pii_spans(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
         between = F.split(F.col(text), pattern, -1)
         each = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s)).alias("gaps"), F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, s: a + F.length(s)).alias("before")))  # noqa: B023
-        part = df.where(F.col(text).rlike(pattern)).select(*key, F.explode(each).alias("x")).select(*key, F.lit(kind).alias("type"), (F.col("x.gaps") + F.col("x.before")).alias("start"), (F.col("x.gaps") + F.col("x.before") + F.length("x.m")).alias("end"))
+        part = df.where(_may_have(F.col(text), kind) & F.col(text).rlike(pattern)).select(*key, F.explode(each).alias("x")).select(*key, F.lit(kind).alias("type"), (F.col("x.gaps") + F.col("x.before")).alias("start"), (F.col("x.gaps") + F.col("x.before") + F.length("x.m")).alias("end"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def has_pii(text: Column) -> Column:
     found = F.lit(False)
-    for p in PII.values():
-        found = found | text.rlike(p)
+    for kind, p in PII.items():
+        found = found | (_may_have(text, kind) & text.rlike(p))
     return found
 
 
@@ -148,7 +155,7 @@ def rating_of(text: Column) -> Column:
     share = F.trim(F.regexp_replace(low, "%+$", ""))
     out = F.when(low.endswith("%") & share.rlike(numeric), clamp(share.try_cast("double") / 100))
     for value, words in RATING_WORDS.items():
-        out = out.when(low.isin([w.replace("_", " ") for w in words.split()]), F.lit(value))
+        out = out.when(low.isin(list(words)), F.lit(value))
     number = low.try_cast("double")
     scaled = F.when(number <= 5, number / 5).when(number <= 10, number / 10).otherwise(number / 100)
     return out.when(low.rlike(numeric), clamp(scaled)).otherwise(0.0)

@@ -108,20 +108,21 @@ def shortest_paths(edges: DataFrame, source: int, target: int | None = None, mod
     for flag in avoid:
         edges = edges.where(F.col("flags").bitwiseAND(EDGE_FLAGS[flag]) == 0)
     steps = written(edges.select("src", "dst", cost_of(mode).alias("step")).groupBy("src", "dst").agg(F.min("step").alias("step")), "steps")
-    best = spark.createDataFrame([(source, 0, [source])], "node int, cost long, path array<int>")
-    front = best
+    # One table: a node's best so far and the round that found it; of equal costs the earlier round's, then the smaller path.
+    best = spark.range(1).select(F.lit(source).cast("int").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("round"), F.array(F.lit(source).cast("int")).alias("path"))
+    turn, limit = 0, None
     while True:
-        reach = front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        pick = reach.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.cost", "m.path")
-        old = best.select("node", F.col("cost").alias("old"))
-        front = written(pick.join(old, "node", "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old"), "front")
+        front = best.where(F.col("round") == turn)
         if target is not None:
-            found = best.where(F.col("node") == target).agg(F.min("cost")).first()[0]
-            if found is not None:
-                front = front.where(F.col("cost") < found)
-        if front.isEmpty():
+            limit = best.where(F.col("node") == target).agg(F.min("cost")).first()[0]
+        if limit is not None:
+            front = front.where(F.col("cost") < limit)
+        if turn and front.isEmpty():
             break
-        best = written(best.unionByName(front).groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.cost", "m.path"), "best")
+        turn += 1
+        reach = front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(turn).alias("round"), F.concat("path", F.array("dst")).alias("path"))
+        best = written(best.unionByName(reach).groupBy("node").agg(F.min(F.struct("cost", "round", "path")).alias("m")).select("node", "m.*"), "best")
+    best = best.drop("round")
     return best if target is None else best.where(F.col("node") == target)
 
 
@@ -129,6 +130,17 @@ def cluster_count(n: int) -> int:
     return max(1, n // 3) if n < 30 else max(3, int((n / 10) ** 0.5))
 
 
+def _at_even_places(keys: DataFrame, n: int, k: int) -> DataFrame:
+    """The keys at places i * n // k (i < k) of their order: a range sort, and one offset per partition."""
+    rows = keys.repartitionByRange("key").sortWithinPartitions("key").withColumn("id", F.monotonically_increasing_id())
+    rows = written(rows, "ordered").withColumn("piece", F.shiftright("id", 33))
+    pieces = rows.groupBy("piece").agg(F.count("*").alias("n"))
+    bases = pieces.select("piece", (F.sum("n").over(W.orderBy("piece")) - F.col("n")).alias("base"))  # a row per partition
+    at = F.col("base") + F.col("id").bitwiseAND((1 << 33) - 1)
+    turn = F.floor((at * k + (n - 1)) / F.lit(n))
+    return rows.join(F.broadcast(bases), "piece").where((F.floor(turn * n / F.lit(k)) == at) & (turn < k)).select("key")
+
+
 def kmeans(rows: DataFrame, key: str, vector: str, k: int | None = None, rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
     """((key, cluster), centroids): Lloyd's rounds from rows at even places in key order, squared Euclidean distance,
     ties to the lower cluster; an empty cluster stays. Centroids (k x width) travel with the tasks; a task sends back
@@ -138,15 +150,7 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int | None = None, rounds:
     if not n:
         return data.select(F.col("key").alias(key), F.lit(0).alias("cluster")), np.zeros((0, 0))
     k = k or cluster_count(n)
-    ids = data.select("key").orderBy("key")
-    numbered = ids.rdd.zipWithIndex() if n > 5_000_000 else None
-    picks = sorted({i * n // k for i in range(k)})
-    if numbered is None:
-        at = ids.withColumn("at", F.row_number().over(W.orderBy("key")) - 1).where(F.col("at").isin(picks)).select("key")
-    else:
-        chosen = set(picks)
-        at = numbered.filter(lambda r: r[1] in chosen).map(lambda r: r[0]).toDF(ids.schema)
-    first = data.join(F.broadcast(at), "key").orderBy("key").toPandas()
+    first = data.join(F.broadcast(_at_even_places(data.select("key"), n, k)), "key").orderBy("key").toPandas()  # k rows
     centres = np.stack(first.v)
 
     def near(pdf: pd.DataFrame, c: np.ndarray) -> np.ndarray:
@@ -218,6 +222,13 @@ def updated(nodes: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("doma
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in new else F.col(c) for c in nodes.columns])
 
 
+def with_flags(nodes: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("domain", "node_id")) -> DataFrame:
+    """Nodes whose flags have those of ``changes`` (keys, flags) added, bit by bit; unknown keys change nothing."""
+    more = changes.groupBy(*keys).agg(F.bit_or("flags").alias("_more"))
+    joined = nodes.join(more, list(keys), "left")
+    return joined.withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("_more", F.lit(0)))).drop("_more").select(*nodes.columns)
+
+
 def link_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of (domain, src, url) links to known pages, self-links dropped: forward of cost 1 and back of cost 2."""
     met = links.join(nodes.select("domain", "url", F.col("node_id").alias("dst")), ["domain", "url"]).where("src <> dst").select("domain", "src", "dst").distinct()
@@ -279,11 +290,11 @@ def relationships(nodes: DataFrame, edges: DataFrame, model: str = "model") -> D
     side = lambda a: nodes.where(F.col(model).isNotNull()).select("domain", F.col("node_id").alias(a), F.col(model).alias(f"{a}_model"))
     met = edges.join(side("src"), ["domain", "src"]).join(side("dst"), ["domain", "dst"])
     met = met.where((F.col("src_model") != F.col("dst_model")) | (F.col("edge_type") == EDGE_TYPE["related"]))
-    per_node = met.groupBy("src_model", "dst_model", "domain", "src").count()
-    out = per_node.groupBy("src_model", "dst_model").agg(F.avg("count").alias("mean"), F.max("count").alias("most"), F.sum("count").alias("edge_count"))
-    related = met.groupBy("src_model", "dst_model").agg((F.count_if(F.col("edge_type") == EDGE_TYPE["related"]) > 0).alias("related"))
+    links = F.count_if(F.col("edge_type") == EDGE_TYPE["related"])
+    per_node = met.groupBy("src_model", "dst_model", "domain", "src").agg(F.count("*").alias("count"), links.alias("links"))
+    out = written(per_node.groupBy("src_model", "dst_model").agg(F.avg("count").alias("mean"), F.max("count").alias("most"), F.sum("count").alias("edge_count"), (F.sum("links") > 0).alias("related")), "relations")
     back = out.select(F.col("dst_model").alias("src_model"), F.col("src_model").alias("dst_model"), F.col("edge_count").alias("back"))
-    joined = out.join(related, ["src_model", "dst_model"]).join(back, ["src_model", "dst_model"], "left")
+    joined = out.join(back, ["src_model", "dst_model"], "left")
     kind = (
         F.when(F.col("src_model") == F.col("dst_model"), "many_to_many")
         .when((F.col("mean") <= 1.2) & (F.col("most") <= 2), "belongs_to")

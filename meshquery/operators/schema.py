@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import PAGE_TYPE, SCHEMA_TYPE, SHORT_NAME, lookup, name_of, PAGE_TYPES
 from ..functions.text import canonical_field
+from .graph import written
 
 LEAST_CONFIDENCE = 0.3
 # Fixed values: (field, type, dimension, page types it belongs to; none: all).
@@ -75,14 +76,24 @@ def observations_of_fields(nodes: DataFrame) -> DataFrame:
 def fields(nodes: DataFrame) -> DataFrame:
     """(domain, model, field, type, occurrences, instances, nullable, confidence, examples): url and node_id always, the
     observed fields, and the vocabulary's fields for types with structured data."""
-    known = models(nodes)
-    found = observations_of_fields(nodes).groupBy("domain", "model", "field", "type").agg(F.count("*").alias("occurrences"), F.avg(F.col("confidence") / 255.0).alias("confidence"), F.slice(F.array_sort(F.collect_set("example")), 1, 5).alias("examples"))
+    # One pass: a row per page and field, and one per page (of no field), counted by example first, so that no group gathers all.
+    page = typed(nodes).select("domain", "model", "schema_type", "confidence", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("example"), F.get("features", F.lit(13)).alias("data"))
+    each = observations_of_fields(nodes).select("domain", "model", "schema_type", "confidence", "field", "type", "example", F.lit(None).cast("float").alias("data"))
+    keys = ["domain", "model", "schema_type", "field", "type"]
+    counted = page.unionByName(each).groupBy(*keys, "example").agg(F.count("*").alias("n"), F.sum(F.col("confidence") / 255.0).alias("sure"), F.max("data").alias("data"))
+    counted = written(counted, "fields")
+    pages = counted.where("field is null")
+    known = pages.select("domain", "model", "schema_type", F.col("n").alias("instances")).where((F.col("instances") >= 2) | F.col("schema_type").isin(*SINGLE))
+    rest = counted.where("field is not null")
+    first = rest.withColumn("at", F.row_number().over(W.partitionBy("domain", "model", "field", "type").orderBy("example"))).where("at <= 5")
+    some = first.groupBy("domain", "model", "field", "type").agg(F.sort_array(F.collect_list("example")).alias("examples"))
+    found = rest.groupBy("domain", "model", "field", "type").agg(F.sum("n").alias("occurrences"), (F.sum("sure") / F.sum("n")).alias("confidence")).join(some, ["domain", "model", "field", "type"])
     observed = known.join(found, ["domain", "model"]).withColumn("nullable", F.col("occurrences") < F.col("instances"))
     cols = ["domain", "model", "field", "type", "occurrences", "instances", "nullable", "confidence", "examples"]
     none = F.array().cast("array<string>")
     always = known.select("domain", "model", F.explode(F.array(F.struct(F.lit("url").alias("field"), F.lit("url").alias("type")), F.struct(F.lit("node_id").alias("field"), F.lit("integer").alias("type")))).alias("f"), "instances").select("domain", "model", "f.field", "f.type", F.col("instances").alias("occurrences"), "instances", F.lit(False).alias("nullable"), F.lit(1.0).alias("confidence"), none.alias("examples"))
     by_type = F.create_map(*[x for k, v in TYPE_FIELDS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(f.split(":")[0]).alias("field"), F.lit(f.split(":")[1]).alias("type")) for f in v.split()]))])
-    structured = typed(nodes).groupBy("domain", "model").agg(F.max(F.get("features", F.lit(13))).alias("data"))
+    structured = pages.groupBy("domain", "model").agg(F.max("data").alias("data"))
     vocabulary = known.join(structured.where("data > 0"), ["domain", "model"]).select("domain", "model", F.explode(F.try_element_at(by_type, F.col("schema_type"))).alias("f"), "instances").select("domain", "model", "f.field", "f.type", F.lit(0).cast("long").alias("occurrences"), "instances", F.lit(True).alias("nullable"), F.lit(0.99).alias("confidence"), none.alias("examples"))
     return always.unionByName(observed.select(*cols)).unionByName(vocabulary.join(observed.select("domain", "model", "field"), ["domain", "model", "field"], "left_anti").select(*cols))
 
@@ -101,6 +112,13 @@ def unified_fields(found: DataFrame) -> DataFrame:
     return with_field.join(all_of, "type").withColumn("coverage", F.col("domains_with_field") / F.col("domains"))
 
 
+def field_sources(found: DataFrame) -> DataFrame:
+    """From (domain, type, field): which of a type's unified fields each site has: (type, field, domain, present)."""
+    own = found.select("domain", "type", canonical_field(F.col("field")).alias("field")).distinct()
+    sites, names = own.select("domain", "type").distinct(), own.select("type", "field").distinct()
+    return names.join(sites, "type").join(own.withColumn("present", F.lit(True)), ["domain", "type", "field"], "left").select("type", "field", "domain", F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def unified_models(found: DataFrame) -> DataFrame:
     """From (domain, type, model, instances): (type, name, sources, total_instances); most common model name, then first."""
     names = found.groupBy("type", "model").agg(F.count("*").alias("n"))
@@ -111,7 +129,7 @@ def unified_models(found: DataFrame) -> DataFrame:
 def site_overlap(items: DataFrame, site: str, item: str) -> DataFrame:
     """(a, b, common, jaccard rounded to 3): pairs of sites that share an item; an equi-join on the items, so sites with
     nothing in common cost nothing."""
-    own = items.select(F.col(site).alias("site"), F.col(item).alias("item")).distinct()
+    own = written(items.select(F.col(site).alias("site"), F.col(item).alias("item")).distinct(), "items")  # a join of tables: Spark splits frequent items
     sizes = own.groupBy("site").agg(F.count("*").alias("n"))
     met = own.alias("x").join(own.alias("y"), F.col("x.item") == F.col("y.item")).where("x.site < y.site").groupBy(F.col("x.site").alias("a"), F.col("y.site").alias("b")).agg(F.count("*").alias("common"))
     joined = met.join(sizes.select(F.col("site").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("site").alias("b"), F.col("n").alias("bn")), "b")
@@ -142,5 +160,6 @@ def ddl(found: DataFrame, model: str) -> str:
 
 
 def top_models(found: DataFrame, n: int) -> DataFrame:
-    w = W.orderBy(F.desc("total_instances"), "type")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """The n models with most instances, ranked from 1."""
+    first = found.orderBy(F.desc("total_instances"), "type").limit(n)
+    return first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total_instances"), "type")))  # n rows

@@ -40,9 +40,10 @@ def compare_history(points: DataFrame, nodes: list[tuple[str, str]], field: str,
     return history(points.join(F.broadcast(asked), ["domain", "url"], "left_semi"), field=field, since=since)
 
 
-def changes(points: DataFrame, keys: list[str], since=None) -> DataFrame:
-    """Each point with the value before it: (keys, ts, old_value, new_value) where it differs."""
-    w = W.partitionBy(*keys).orderBy("ts")
+def changes(points: DataFrame, keys: list[str], since=None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with the value before it: (keys, ts, old_value, new_value) where it differs. ``ties`` order points of one
+    time; without them, they stand in the order of their values."""
+    w = W.partitionBy(*keys).orderBy("ts", *(ties or ("value",)))
     out = points.withColumn("old_value", F.lag("value").over(w)).withColumnRenamed("value", "new_value")
     out = out.where(F.col("old_value").isNull() | (F.col("old_value") != F.col("new_value")))
     return out if since is None else out.where(F.col("ts") > F.lit(since))
@@ -206,12 +207,34 @@ def fires(kind: Column, threshold: Column, now: Column, before: Column) -> Colum
     )
 
 
-def alerts(points: DataFrame, rules: DataFrame) -> DataFrame:
-    """Active rules (id, domain, field, condition, threshold, active) on every step of the series they watch."""
-    w = W.partitionBy("domain", "url", "field").orderBy("ts")
+def alerts(points: DataFrame, rules: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Active rules (id, domain, field, condition, threshold, active) on every step of the series they watch. ``ties`` order
+    points of one time and are kept."""
+    w = W.partitionBy("domain", "url", "field").orderBy("ts", *(ties or ("value",)))
     steps = points.withColumn("before", F.lag("value").over(w))
     met = steps.join(rules.where("active").drop("active"), ["domain", "field"])
-    return met.where(F.coalesce(fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "domain", "url", "field", "ts", "before", "value")
+    return met.where(F.coalesce(fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "domain", "url", "field", "ts", *ties, "before", "value")
+
+
+def with_rule(rules: DataFrame, rule: DataFrame) -> DataFrame:
+    """The rules with one or more added; those of the same id are replaced."""
+    return rules.join(rule.select("id"), "id", "left_anti").unionByName(rule)
+
+
+def without_rule(rules: DataFrame, rule_id: str) -> DataFrame:
+    return rules.where(F.col("id") != rule_id)
+
+
+def last_triggered(rules: DataFrame, raised: DataFrame) -> DataFrame:
+    """The rules with the time of their latest alert, and how many there were."""
+    seen = raised.groupBy("id").agg(F.max("ts").alias("last_triggered"), F.count("*").alias("alerts"))
+    return rules.join(seen, "id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
+
+
+def moment(text: Column) -> Column:
+    """A time argument: RFC 3339, or a date alone; null if neither."""
+    stamp = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(F.regexp_replace(F.upper(text), "Z$", "+00:00")))
+    return F.coalesce(stamp, F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(text, F.lit("T00:00:00+00:00")))))
 
 
 def recent(rows: DataFrame, n: int, ts: str = "ts") -> DataFrame:

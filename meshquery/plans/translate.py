@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import timeseries
-from .syntax import Compare, Logic, Query, WqlError, parse, temporal
+from .syntax import Compare, Logic, Null, Query, WqlError, parse, temporal
 
 CLOSE = 0.001
 IDENTITY = ("domain", "url", "node_id")
@@ -57,6 +57,8 @@ def condition(node, df: DataFrame, model: str) -> Column:
         for p in parts[1:]:
             out = out & p if node.op == "and" else out | p
         return out
+    if isinstance(node, Null):
+        return F.col(f"`{_column(df, node.name, model)}`").isNull()
     return compare(node, df, model)
 
 
@@ -64,6 +66,8 @@ def compare(node: Compare, df: DataFrame, model: str) -> Column:
     name = _column(df, node.name, model)
     kind, col = df.schema[name].dataType, F.col(f"`{name}`")
     textual = isinstance(kind, T.StringType)
+    if node.op == "like":
+        return col.cast("string").like(node.value)
     if textual != isinstance(node.value, str):
         if not textual:
             return F.lit(False)  # a number never matches a text
@@ -85,7 +89,7 @@ def compare(node: Compare, df: DataFrame, model: str) -> Column:
 def _names(node) -> list[str]:
     if node is None:
         return []
-    return [node.name] if isinstance(node, Compare) else [n for p in node.parts for n in _names(p)]
+    return [node.name] if isinstance(node, Compare | Null) else [n for p in node.parts for n in _names(p)]
 
 
 def translate(q: Query, catalog: Catalog) -> DataFrame:
