@@ -209,10 +209,20 @@ f AS (SELECT "user", count(*) AS n, var_pop(x) AS vx, var_pop(y) AS vy, regr_slo
 """
 
 
-@_query("trend", _FIT + """SELECT "user", CASE WHEN abs(slope) < 0.01 THEN 'stable' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, round(slope, 6) AS slope, round(r2, 6) AS r2
+_RISING = """
+WITH e AS (SELECT user_id AS "user", ts, value / 10 + (user_id % 5 - 2) * epoch(ts) / 86400 AS value FROM events),
+x AS (SELECT "user", (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY "user"))::DOUBLE / 86400000000 AS x, value AS y FROM e),
+f AS (SELECT "user", count(*) AS n, var_pop(x) AS vx, var_pop(y) AS vy, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM x GROUP BY "user")
+"""
+
+
+@_query("trend", _RISING + """SELECT "user", CASE WHEN abs(slope) < 0.01 THEN 'stable' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, round(slope, 5) AS slope, round(r2, 5) AS r2
 FROM f WHERE n >= 3 AND vx * n * n >= 1e-10 AND CASE WHEN vy = 0 THEN 0 ELSE r2 END >= 0.3""")
 def trend(spark: SparkSession, d: str) -> DataFrame:
-    return timeseries.trends(_points(spark, d), ["user"]).withColumn("slope", F.round("slope", 6)).withColumn("r2", F.round("r2", 6))
+    """Events of a user as a series that a drift of -2 to 2 a day carries along."""
+    drift = (F.col("user") % 5 - 2) * timeseries.seconds() / 86_400
+    points = _points(spark, d).withColumn("value", F.col("value") / 10 + drift)
+    return timeseries.trends(points, ["user"]).withColumn("slope", F.round("slope", 5)).withColumn("r2", F.round("r2", 5))
 
 
 @_query("predict", _FIT + """SELECT "user", round(CASE WHEN vx * n * n < 1e-10 THEN last_y ELSE intercept + slope * (last_x + 7) END, 5) AS predicted FROM f WHERE n >= 3""")
@@ -243,13 +253,20 @@ def patterns(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.patterns(_points(spark, d), ["event_type"])
 
 
+@_query("patterns_by_user", _RISING + """, s AS (SELECT "user", avg(value) AS mean, stddev_pop(value) AS spread, count(*) AS n FROM e GROUP BY "user")
+SELECT "user", 'trend' AS kind, 1::BIGINT AS n FROM f WHERE n >= 3 AND vx * n * n >= 1e-10 AND CASE WHEN vy = 0 THEN 0 ELSE r2 END >= 0.3
+UNION ALL SELECT "user", 'anomaly', count(*) FROM e JOIN s USING ("user") WHERE s.n >= 5 AND spread >= 1e-6 AND abs(value - mean) / spread > 2 GROUP BY "user" """)
+def patterns_by_user(spark: SparkSession, d: str) -> DataFrame:
+    drift = (F.col("user") % 5 - 2) * timeseries.seconds() / 86_400
+    points = _points(spark, d).withColumn("value", F.col("value") / 10 + drift)
+    return timeseries.patterns(points, ["user"]).where("kind <> 'periodic'").groupBy("user", "kind").agg(F.count("*").alias("n"))
+
+
 @_query("history_changes", """
 WITH l AS (SELECT user_id AS "user", ts, value AS new_value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events)
 SELECT "user", strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, old_value, new_value FROM l WHERE old_value IS NULL OR old_value <> new_value""")
 def history_changes(spark: SparkSession, d: str) -> DataFrame:
-    points = _points(spark, d)
-    w = W.partitionBy("user").orderBy("ts", "event_id")
-    out = points.withColumn("old_value", F.lag("value").over(w)).withColumnRenamed("value", "new_value").where("old_value is null or old_value <> new_value")
+    out = timeseries.changes(_points(spark, d), ["user"], ties=("event_id",))
     return out.select("user", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "old_value", "new_value")
 
 
@@ -276,11 +293,9 @@ r(id, event_type, condition, threshold) AS (VALUES ('r1', 'click', 'value_above'
 SELECT id, event_id, before, value FROM l JOIN r USING (event_type) WHERE coalesce(CASE condition WHEN 'value_above' THEN value > threshold AND before <= threshold WHEN 'value_below' THEN value < threshold AND before >= threshold
 WHEN 'change_by_percent' THEN before <> 0 AND abs((value - before) / nullif(before, 0)) > threshold WHEN 'new_instance' THEN before IS NULL END, false)""")
 def watch_crossings(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([("r1", "click", "value_above", 50.0, True), ("r2", "view", "value_below", 20.0, True), ("r3", "purchase", "change_by_percent", 0.5, True), ("r4", "click", "new_instance", 0.0, True), ("r5", "click", "value_above", 1.0, False)], "id string, event_type string, condition string, threshold double, active boolean")
-    w = W.partitionBy("user", "event_type").orderBy("ts", "event_id")
-    steps = _points(spark, d).withColumn("before", F.lag("value").over(w))
-    met = steps.join(F.broadcast(rules.where("active")), "event_type")
-    return met.where(F.coalesce(timeseries.fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "event_id", "before", "value")
+    rules = spark.createDataFrame([("r1", "click", "value", "value_above", 50.0, True), ("r2", "view", "value", "value_below", 20.0, True), ("r3", "purchase", "value", "change_by_percent", 0.5, True), ("r4", "click", "value", "new_instance", 0.0, True), ("r5", "click", "value", "value_above", 1.0, False)], "id string, domain string, field string, condition string, threshold double, active boolean")
+    points = _points(spark, d).select(F.col("event_type").alias("domain"), F.col("user").cast("string").alias("url"), F.lit("value").alias("field"), "ts", "event_id", "value")
+    return timeseries.alerts(points, rules, ("event_id",)).select("id", "event_id", "before", "value")
 
 
 # --- snapshots and deltas
@@ -342,16 +357,6 @@ def gc_keep_last_n(spark: SparkSession, d: str) -> DataFrame:
     return delta.keep_last(table(spark, d, "orders"), ["o_custkey"], 3, "o_orderdate", ("o_orderkey",)).select("o_custkey", "o_orderkey")
 
 
-@_query("registry_since", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1996-06-01'")
-def registry_since(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > F.lit(dt.datetime(1996, 6, 1)))).select("o_orderkey", "o_totalprice")
-
-
-@_query("registry_stats", "SELECT p_brand AS domain, count(*) AS nodes, count(DISTINCT p_type) AS kinds FROM part GROUP BY p_brand")
-def registry_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("domain")).agg(F.count("*").alias("nodes"), F.countDistinct("p_type").alias("kinds"))
-
-
 @_query("privacy_strip", "SELECT p_partkey::INT AS node_id, CASE WHEN (p_partkey % 128) & 16 <> 0 THEN 0 ELSE round(p_retailprice::FLOAT::DOUBLE, 3) END AS price FROM part")
 def privacy_strip(spark: SparkSession, d: str) -> DataFrame:
     return delta.stripped(_part_nodes(spark, d)).select("node_id", F.round(F.get("features", F.lit(48)).cast("double"), 3).alias("price"))
@@ -403,13 +408,13 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("shortest_path", """
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS s, o_orderkey * 2 + 1 AS t FROM orders WHERE o_orderkey % 5 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS s, o_orderkey * 2 + 1 AS t FROM orders),
 g AS (SELECT s, t FROM e UNION ALL SELECT t, s FROM e),
-w(node, cost) AS (SELECT 2 * (SELECT min(o_custkey) FROM orders WHERE o_orderkey % 5 = 0), 0 UNION SELECT t, cost + 1 FROM w JOIN g ON node = s WHERE cost < 4)
+w(node, cost) AS (SELECT 2 * (SELECT min(o_custkey) FROM orders), 0 UNION SELECT t, cost + 1 FROM w JOIN g ON node = s WHERE cost < 4)
 SELECT node::INT AS node, min(cost)::BIGINT AS cost FROM w GROUP BY node""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """Hops from the first customer through its orders (a forest of stars, so paths are short)."""
-    orders = table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    orders = table(spark, d, "orders")
     pairs = orders.select((F.col("o_custkey") * 2).cast("int").alias("src"), (F.col("o_orderkey") * 2 + 1).cast("int").alias("dst"))
     edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst", F.lit(1).alias("weight"), F.lit(0).alias("flags"))
     source = orders.agg(F.min("o_custkey")).first()[0] * 2
@@ -433,7 +438,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 @_query("shortest_path_all")
 def shortest_path_all(spark: SparkSession, d: str) -> DataFrame:
-    """Hops from the first customer over all orders, both ways; ``shortest_path`` has every fifth order, as its SQL."""
+    """Hops from the first customer over all orders, both ways."""
     orders = table(spark, d, "orders")
     pairs = orders.select((F.col("o_custkey") * 2).cast("int").alias("src"), (F.col("o_orderkey") * 2 + 1).cast("int").alias("dst"), F.lit(1).alias("weight"), F.lit(0).alias("flags"))
     source = orders.agg(F.min("o_custkey")).first()[0] * 2
@@ -501,7 +506,10 @@ def pii_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(text.pii_matches(F.col("text"))).alias("m")).select("doc_id", "m.type", "m.match")
 
 
-@_query("pii_spans")
+_GAPS = "(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT"
+
+
+@_query("pii_spans", " UNION ALL ".join(f"""SELECT doc_id, '{k}' AS type, {_GAPS} AS start, ({_GAPS} + length(m[i]))::INT AS "end" FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM documents) WHERE len(m) > 0)""" for k, p in text.PII.items()))
 def pii_spans(spark: SparkSession, d: str) -> DataFrame:
     return text.pii_spans(table(spark, d, "documents"), ["doc_id"])
 
@@ -575,14 +583,18 @@ def unify_models(spark: SparkSession, d: str) -> DataFrame:
     return schema.unified_models(found)
 
 
-@_query("common_items", "SELECT p_size FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
+@_query("common_items", "SELECT event_type FROM events GROUP BY event_type HAVING count(DISTINCT user_id % 20) = (SELECT count(DISTINCT user_id % 20) FROM events)")
 def common_items(spark: SparkSession, d: str) -> DataFrame:
-    return schema.common_items(table(spark, d, "part"), "p_brand", "p_size")
+    events = table(spark, d, "events").select("event_type", (F.col("user_id") % 20).alias("grp"))
+    return schema.common_items(events, "grp", "event_type")
 
 
-@_query("unique_items", "SELECT min(p_brand) AS p_brand, p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@_query("unique_items", "SELECT min(o_custkey) AS o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey HAVING count(DISTINCT o_custkey) = 1 UNION ALL SELECT min(c_nationkey) , c_custkey + 1000000000 FROM customer GROUP BY c_custkey")
 def unique_items(spark: SparkSession, d: str) -> DataFrame:
-    return schema.unique_items(table(spark, d, "part"), "p_brand", "p_name")
+    """Parts that one customer alone has ordered, and customers as items of their nation."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey")
+    own = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("o_custkey"), (F.col("c_custkey") + 1_000_000_000).alias("l_partkey"))
+    return schema.unique_items(lines.unionByName(own), "o_custkey", "l_partkey")
 
 
 # --- observations
@@ -637,17 +649,35 @@ def page_structure(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d).select("page_id", F.size("links").alias("links"), F.size("headings").alias("headings"), "lang", F.size("forms").alias("forms"), "has_jsonld")
 
 
-@_query("page_nodes")
+_LINKED = "len(regexp_extract_all(html, '<a href=\"'))"
+_SEEN = f"""(SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain, lower(t) AS p, starts_with(url, 'https://') AS https, contains(url, '?') AS asks, contains(url, '#') AS marks,
+len(list_filter(string_split(regexp_replace(t, '[?#].*$', ''), '/'), lambda x: x <> '')) AS depth, {_LINKED} AS links, len(regexp_extract_all(html, '<h[1-6]')) AS headings, regexp_matches(html, '<html lang="[a-z]+"') AS spoken FROM {_PATH.replace("SELECT page_id, url,", "SELECT page_id, url, html,")})"""
+
+
+@_query("page_nodes", f"""
+WITH k AS (SELECT *, ({_TYPES})::INT AS page_type, ({_SURE})::DOUBLE AS sure FROM {_SEEN})
+SELECT domain, url, page_type, round(sure * 255)::INT AS confidence, 1 AS flags, list_transform(range(128), lambda i: CASE i WHEN 0 THEN page_type / 31.0::DOUBLE WHEN 1 THEN sure WHEN 2 THEN spoken::INT WHEN 8 THEN https::INT WHEN 9 THEN depth / 10.0::DOUBLE WHEN 10 THEN asks::INT
+WHEN 11 THEN marks::INT WHEN 18 THEN least(headings / 10.0::DOUBLE, 1) WHEN 25 THEN least(links / 100.0::DOUBLE, 1) WHEN 64 THEN least(links / 100.0::DOUBLE, 1) WHEN 74 THEN (links = 0)::INT WHEN 80 THEN https::INT WHEN 93 THEN 1 ELSE 0 END::FLOAT) AS features,
+((headings > 0)::INT + (links > 0)::INT) / 10.0::DOUBLE AS completeness FROM k""")
 def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     return html_data.nodes(_read(spark, d))
 
 
-@_query("page_actions")
+@_query("page_actions", """SELECT url, label, 'a' AS element, (CASE WHEN regexp_matches(lower(label), 'add to cart|add to bag|buy now') THEN 2 WHEN regexp_matches(lower(label), 'remove.*cart|cart.*remove') THEN 2 WHEN regexp_matches(lower(label), 'checkout|check out') THEN 2 WHEN regexp_matches(lower(label), 'wishlist|save for later') THEN 2 WHEN regexp_matches(lower(label), 'apply.*coupon|coupon.*apply') THEN 2 WHEN regexp_matches(lower(label), 'submit') THEN 3 WHEN regexp_matches(lower(label), 'search') THEN 1 WHEN regexp_matches(lower(label), 'filter|sort') THEN 1 WHEN regexp_matches(lower(label), 'log in|login|sign in') THEN 4 WHEN regexp_matches(lower(label), 'sign up|register') THEN 4 WHEN regexp_matches(lower(label), 'log out|logout') THEN 4 WHEN regexp_matches(lower(label), 'play') THEN 5 WHEN regexp_matches(lower(label), 'download') THEN 5 WHEN regexp_matches(lower(label), 'share') THEN 6 WHEN regexp_matches(lower(label), 'like|upvote') THEN 6 WHEN regexp_matches(lower(label), 'comment') THEN 6 ELSE 0 END)::INT AS category,
+(CASE WHEN regexp_matches(lower(label), 'add to cart|add to bag|buy now') THEN 0 WHEN regexp_matches(lower(label), 'remove.*cart|cart.*remove') THEN 1 WHEN regexp_matches(lower(label), 'checkout|check out') THEN 3 WHEN regexp_matches(lower(label), 'wishlist|save for later') THEN 5 WHEN regexp_matches(lower(label), 'apply.*coupon|coupon.*apply') THEN 4 WHEN regexp_matches(lower(label), 'submit') THEN 5 WHEN regexp_matches(lower(label), 'search') THEN 0 WHEN regexp_matches(lower(label), 'filter|sort') THEN 1 WHEN regexp_matches(lower(label), 'log in|login|sign in') THEN 0 WHEN regexp_matches(lower(label), 'sign up|register') THEN 2 WHEN regexp_matches(lower(label), 'log out|logout') THEN 1 WHEN regexp_matches(lower(label), 'play') THEN 0 WHEN regexp_matches(lower(label), 'download') THEN 3 WHEN regexp_matches(lower(label), 'share') THEN 0 WHEN regexp_matches(lower(label), 'like|upvote') THEN 1 WHEN regexp_matches(lower(label), 'comment') THEN 2 ELSE 0 END)::INT AS action FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS label FROM pages) WHERE label <> ''""")
 def page_actions(spark: SparkSession, d: str) -> DataFrame:
     return html_data.page_actions(_read(spark, d))
 
 
-@_query("path_edges")
+@_query("path_edges", f"""
+WITH p AS (SELECT page_id::INT AS node_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS domain, regexp_replace(t, '[?#].*$', '') AS p FROM {_PATH}),
+o AS (SELECT node_id, domain, CASE WHEN regexp_full_match(p, '/+') THEN '/' ELSE regexp_replace(p, '/+$', '') END AS path FROM p),
+n AS (SELECT *, CASE WHEN path = '/' THEN NULL WHEN regexp_full_match(path, '/[^/]*') THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent FROM o),
+r AS (SELECT domain, min(node_id) AS root FROM n WHERE path = '/' GROUP BY domain),
+t AS (SELECT n.domain, root AS src, node_id AS dst FROM n JOIN r ON n.domain = r.domain WHERE path <> '/' UNION SELECT a.domain, b.node_id, a.node_id FROM n a JOIN n b ON a.domain = b.domain AND a.parent = b.path WHERE a.parent <> '/' AND a.node_id <> b.node_id),
+f AS (SELECT *, count(*) OVER w AS size, row_number() OVER v AS k, coalesce(lead(node_id) OVER v, first_value(node_id) OVER v) AS next FROM n WHERE path <> '/' WINDOW w AS (PARTITION BY domain, parent), v AS (PARTITION BY domain, parent ORDER BY node_id)),
+e AS (SELECT domain, src, dst, 2 AS weight FROM t UNION ALL SELECT domain, dst, src, 3 FROM t UNION ALL SELECT domain, node_id, next, 1 FROM f WHERE size BETWEEN 2 AND 100 AND k <= 20 AND node_id <> next)
+SELECT domain, src, dst, 0 AS edge_type, min(weight)::INT AS weight FROM e GROUP BY domain, src, dst""")
 def path_edges(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(urls.host(F.col("url")).alias("domain"), F.col("page_id").cast("int").alias("node_id"), "url")
     return graph.path_edges(pages)
@@ -667,7 +697,13 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     writer = writer.foreachBatch(put) if mode == "complete" else writer.format("parquet").option("path", f"{at}/rows")
-    writer.start().awaitTermination()
+    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, provider)  # states of our own need it
+    try:
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
@@ -688,7 +724,6 @@ def stream_bucket_day(spark: SparkSession, d: str) -> DataFrame:
 WITH l AS (SELECT event_type AS domain, user_id::VARCHAR AS url, ts, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
 SELECT CASE WHEN domain = 'click' THEN 'r1' ELSE 'r2' END AS id, domain, url, epoch_us(ts)::BIGINT AS at, before, value FROM l WHERE (domain = 'click' AND value > 50 AND before <= 50) OR (domain = 'view' AND value < 20 AND before >= 20)""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rules = spark.createDataFrame([("r1", "click", "value", "value_above", 50.0, True), ("r2", "view", "value", "value_below", 20.0, True)], "id string, domain string, field string, condition string, threshold double, active boolean")
     points = _event_stream(spark, d).select(F.col("event_type").alias("domain"), F.col("user_id").cast("string").alias("url"), F.lit("value").alias("field"), "ts", "value")
     out = _drained(spark, feeds.alert_stream(points, rules), "append")

@@ -28,6 +28,51 @@ TOOL_WORDS = {
 # Marks of pages that draw on a canvas.
 CANVAS = ("<canvas", "getContext('webgl')", 'getContext("webgl")', "getContext('2d')", 'getContext("2d")', "WebGLRenderingContext")
 
+# Address templates of sites with a public interface.
+REST_TEMPLATES = {
+    "en.wikipedia.org": "https://en.wikipedia.org/api/rest_v1/page/summary/{title}", "github.com": "https://api.github.com/repos/{owner}/{repo}",
+    "reddit.com": "{url}.json", "www.reddit.com": "{url}.json", "www.npmjs.com": "https://registry.npmjs.org/{package}",
+    "npmjs.com": "https://registry.npmjs.org/{package}", "pypi.org": "https://pypi.org/pypi/{package}/json", "crates.io": "https://crates.io/api/v1/crates/{crate_name}",
+}
+# Sites known to talk over web sockets, and sites whose pages are arranged by dragging.
+SOCKET_SITES = (
+    "slack.com discord.com teams.microsoft.com web.whatsapp.com linear.app firebase.google.com supabase.co notion.so figma.com github.com "
+    "reddit.com x.com stripe.com vercel.com gitlab.com bloomberg.com coinmarketcap.com finance.yahoo.com"
+).split()
+DRAG_SITES = "trello.com github.com asana.com notion.so monday.com jira.atlassian.com figma.com airtable.com miro.com todoist.com clickup.com".split()
+# Marks of pages that may offer tools to a model.
+TOOL_MARKS = ("modelContext", "webmcp", "model-context", "navigator.ai")
+
+
+def known_sockets(domain: Column) -> Column:
+    """Whether a site is one of SOCKET_SITES: one name is part of the other."""
+    return F.exists(F.array(*[F.lit(s) for s in SOCKET_SITES]), lambda s: F.contains(domain, s) | F.contains(s, domain))
+
+
+def known_drag(domain: Column) -> Column:
+    """Whether a site is one of DRAG_SITES: it ends with the name, or is part of it."""
+    return F.exists(F.array(*[F.lit(s) for s in DRAG_SITES]), lambda s: F.endswith(domain, s) | F.contains(s, domain))
+
+
+def known_rest(domain: Column) -> Column:
+    """Whether a site has an address template."""
+    return domain.isin(list(REST_TEMPLATES))
+
+
+def known_address(url: Column) -> Column:
+    """REST address of a page of a site with a template; null elsewhere."""
+    template = F.try_element_at(F.create_map(*[F.lit(x) for kv in REST_TEMPLATES.items() for x in kv]), urls.host(url))
+    return F.when(template.isNotNull(), rest_address(url, template))
+
+
+def offers_tools(html: Column) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in TOOL_MARKS]), lambda m: F.contains(html, m))
+
+
+def layers(state: Column) -> Column:
+    """Array of struct(name, type, visible) from a JSON state's ``layers`` list."""
+    return F.from_json(F.get_json_object(state, "$.layers"), "array<struct<name:string,type:string,visible:boolean>>")
+
 
 def third_party(url: Column) -> Column:
     low = F.lower(url)
@@ -99,7 +144,7 @@ def fnv1a(values: pd.Series) -> pd.Series:
             h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
         return h - (1 << 64) if h >> 63 else h
 
-    return values.map(one, na_action="ignore").astype("Int64")
+    return pd.Series([None if v is None or v is pd.NA else one(v) for v in values.astype(object)], dtype="Int64")  # never by way of doubles
 
 
 class PiiMatches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +99,26 @@ class Registry:
     def sites(self) -> DataFrame:
         return self.pull().groupBy("domain").agg(F.count("*").alias("nodes"))
 
+    def stats(self) -> DataFrame:
+        """(domain, nodes, bytes, deltas): pages, size of the stored snapshot and number of deltas of each site. Sizes come from
+        the listing of files; no file is opened for them."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.path}/snapshots")
+        sizes = files.groupBy("domain").agg(F.sum("length").alias("bytes"))
+        out = self.sites().join(sizes, "domain")
+        try:
+            deltas = self.spark.read.parquet(f"{self.path}/deltas").groupBy("domain").agg(F.count("*").alias("deltas"))
+        except AnalysisException:  # none pushed yet
+            return out.withColumn("deltas", F.lit(0).cast("long"))
+        return out.join(deltas, "domain", "left").withColumn("deltas", F.coalesce("deltas", F.lit(0).cast("long")))
+
+
+def maintained(rows: DataFrame, keys: list[str], keep: int, now, ttl_seconds: int, ts: str = "ts") -> DataFrame:
+    """One row: what a maintenance run finds, lets expire, collects beyond the newest ``keep`` of a key, and leaves."""
+    fresh = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp")) <= ttl_seconds
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("all"), F.count_if(fresh).alias("fresh"))
+    left = F.sum(F.least("fresh", F.lit(keep)))
+    return counts.agg(F.sum("all").alias("entries"), F.sum(F.col("all") - F.col("fresh")).alias("expired"), (F.sum("fresh") - left).alias("collected"), left.alias("left"))
+
 
 def keep_last(rows: DataFrame, keys: list[str], n: int, ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
     """The newest n rows per key (garbage collection); Spark limits groups before the shuffle."""
@@ -106,7 +127,7 @@ def keep_last(rows: DataFrame, keys: list[str], n: int, ts: str = "ts", ties: tu
 
 
 def unexpired(rows: DataFrame, now, ttl_seconds: int, ts: str = "cached_at") -> DataFrame:
-    return rows.where(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(ts)) <= ttl_seconds)
+    return rows.where(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp")) <= ttl_seconds)
 
 
 def least_recent(rows: DataFrame, keep: int, ts: str = "used_at") -> DataFrame:

@@ -255,8 +255,8 @@ def path_edges(nodes: DataFrame) -> DataFrame:
 
 
 def crumb_edges(crumbs: DataFrame) -> DataFrame:
-    """Each breadcrumb to the next: (domain, page, position, node_id) rows."""
-    w = W.partitionBy("domain", "page").orderBy("position")
+    """Each breadcrumb to the next: (domain, page, position, node_id) rows; of one position, by node_id."""
+    w = W.partitionBy("domain", "page").orderBy("position", "node_id")
     return crumbs.withColumn("src", F.lag("node_id").over(w)).where("src is not null and src <> node_id").select("domain", "src", F.col("node_id").alias("dst"), F.lit(EDGE_TYPE["breadcrumb"]).alias("edge_type"), F.lit(1).alias("weight")).distinct()
 
 

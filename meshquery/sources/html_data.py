@@ -332,6 +332,66 @@ def _with(confidence: float):
     return lambda e: F.struct(e.alias("e"), F.lit(confidence).alias("c"))
 
 
+# Ways in which scripts name an endpoint, first wins: pattern, group of the address, group of the method (or the
+# method itself), and how sure each is.
+SCRIPT_ACTIONS = (
+    (r"fetch\(\s*['\"]([^'\"]+)['\"]\s*,\s*\{[^}]*method\s*:\s*['\"](\w+)['\"]", 1, 2, 0.80),
+    (r"fetch\(\s*['\"]([^'\"]+)['\"]\s*\)", 1, "GET", 0.70),
+    (r"axios\.(get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]", 2, 1, 0.80),
+    (r"\$\.ajax\(\s*\{([^}]*)\}", None, None, 0.75),
+    (r"['\"](/api/[^'\"]+)['\"]", 1, "GET", 0.60),
+    (r"['\"]([^'\"]*(?:/graphql|/gql)[^'\"]*)['\"]", 1, "POST", 0.75),
+    (r"\.open\(\s*['\"](\w+)['\"]\s*,\s*['\"]([^'\"]+)['\"]", 2, 1, 0.70),
+    (r"['\"]([^'\"]*?/v[0-9]+/[^'\"]+)['\"]", 1, "GET", 0.55),
+)
+AJAX_URL, AJAX_METHOD = r"url\s*:\s*['\"]([^'\"]+)['\"]", r"type\s*:\s*['\"](\w+)['\"]"
+
+
+def script_actions(data: DataFrame) -> DataFrame:
+    """(url, method, endpoint, confidence) of the calls that a page's scripts can make; the first way that names one counts."""
+    def found(rank: int, pattern: str, address, method, sure: float) -> Column:
+        every = lambda group: F.regexp_extract_all("script_text", F.lit(pattern), F.lit(group))
+        one = lambda e, m: F.struct(F.upper(m).alias("method"), e.alias("endpoint"), F.lit(rank).alias("rank"), F.lit(sure).alias("confidence"))
+        if address is None:  # an options block: address and method stand inside
+            blocks = F.filter(every(1), lambda b: b.rlike(AJAX_URL))
+            return F.transform(blocks, lambda b: one(F.regexp_extract(b, AJAX_URL, 1), F.coalesce(F.nullif(F.regexp_extract(b, AJAX_METHOD, 1), F.lit("")), F.lit("GET"))))
+        if isinstance(method, str):
+            return F.transform(every(address), lambda e: one(e, F.lit(method)))
+        return F.zip_with(every(address), every(method), one)
+
+    each = F.concat(*[found(rank, *way) for rank, way in enumerate(SCRIPT_ACTIONS)])
+    rows = data.select("url", F.explode(each).alias("x")).select("url", "x.*").withColumn("endpoint", urls.resolve(F.col("url"), F.col("endpoint")))
+    return first_source(rows, ["url", "method", "endpoint"], "rank").drop("rank")
+
+
+def layered(rendered: DataFrame, static: DataFrame) -> DataFrame:
+    """Pages built from two layers: static (url, features, flags, completeness) pages, each with the rendered (url, final_url,
+    features, flags, completeness) page of its url or, without one, of its final_url. Features are merged one by one,
+    flags are united, ``source`` says what a page was built from. Both joins are on an address."""
+    from ..operators.vector import merged_features
+
+    sides = rendered.select("url", F.coalesce("final_url", "url").alias("final_url"), F.struct("features", "flags", "completeness").alias("seen"))
+    own = F.min(F.struct("final_url", "seen")).alias("m")
+    by_url = sides.groupBy("url").agg(own).select("url", F.col("m.seen").alias("own"))
+    by_final = sides.groupBy(F.col("final_url").alias("url")).agg(F.min(F.struct("url", "seen")).alias("m")).select("url", F.col("m.seen").alias("moved"))
+    met = static.join(by_url, "url", "left").join(by_final, "url", "left").withColumn("seen", F.coalesce("own", "moved"))
+    both = F.when(F.col("seen").isNull(), F.col("features")).otherwise(merged_features(F.col("seen.features"), F.col("features"), F.col("seen.completeness"), F.col("completeness")))
+    mark = F.when(F.col("seen").isNull(), F.lit(NODE_FLAGS["estimated"])).otherwise(F.lit(NODE_FLAGS["rendered"]))
+    return met.select("url", both.alias("features"), F.col("flags").bitwiseOR(F.coalesce("seen.flags", F.lit(0))).bitwiseOR(mark).alias("flags"), F.when(F.col("own").isNotNull(), "url").when(F.col("moved").isNotNull(), "final_url").otherwise("static").alias("source"))
+
+
+def with_action_ratios(nodes: DataFrame, actions: DataFrame) -> DataFrame:
+    """Nodes (.., url, features) with the shares of safe (risk 0), cautious (1) and destructive (2 and more) actions of
+    (url, risk) filled in, and their number in twentieths."""
+    share = lambda hit: F.count_if(hit) / F.count("*")
+    sums = actions.groupBy("url").agg(F.least(F.count("*") / 20.0, F.lit(1.0)).alias("n"), share(F.col("risk") == 0).alias("safe"), share(F.col("risk") == 1).alias("cautious"), share(F.col("risk") >= 2).alias("destructive"))
+    places = {DIM["action_count"]: "n", DIM["safe_action_ratio"]: "safe", DIM["cautious_action_ratio"]: "cautious", DIM["destructive_action_ratio"]: "destructive"}
+    values = F.create_map(*[x for i, c in places.items() for x in (F.lit(i), F.col(c).cast("float"))])
+    filled = F.transform("features", lambda v, i: F.coalesce(F.try_element_at(values, i), v))
+    joined = nodes.join(sums, "url", "left")
+    return joined.withColumn("features", F.when(F.col("n").isNull(), F.col("features")).otherwise(filled)).select(*nodes.columns)
+
+
 def sockets(data: DataFrame) -> DataFrame:
     """(url, endpoint, protocol) of web sockets in scripts."""
     raw = F.transform(F.regexp_extract_all("script_text", F.lit(r"['\"](wss?://[^'\"\s]+)['\"]"), F.lit(1)), lambda e: F.struct(e.alias("e"), F.lit("websocket").alias("p")))

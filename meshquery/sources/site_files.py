@@ -84,6 +84,29 @@ def ctx_site(data: bytes) -> dict:
 
 def read_ctx(spark: SparkSession, path: str, part: str = "nodes") -> DataFrame:
     """``nodes``, ``edges`` or ``actions`` of all site files under a path."""
+    return ctx_rows(spark.read.format("binaryFile").load(path), part)
+
+
+def ctx_files(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(domain, content): one site file per domain, of nodes (domain, url, page_type, confidence, flags, features, ...) numbered by
+    node_id from 0, and of edges (domain, src, dst, edge_type, weight, flags) between node_ids. A file is one site's, and so one task's."""
+    slim = nodes.select("domain", "node_id", "url", "page_type", "confidence", "flags", "features")
+    none = slim.select("domain", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).alias("edge_type"), F.lit(0).alias("weight"), "flags").limit(0)
+    links = none if edges is None else edges.select("domain", "src", "dst", "edge_type", "weight", "flags")
+
+    def one(key: tuple, pages: pd.DataFrame, between: pd.DataFrame) -> pd.DataFrame:
+        pages = pages.sort_values("node_id", kind="stable")
+        number = {n: i for i, n in enumerate(pages.node_id)}
+        rows = [tuple(int({"page_type": p.page_type, "confidence": p.confidence, "flags": p.flags}.get(name, 0)) if NODE[name].kind != "f" else float(np.linalg.norm(p.features)) for name in NODE.names[:-1]) for p in pages.itertuples()]
+        kept = [(number[e.src], number[e.dst], e.edge_type, e.weight, e.flags) for e in between.itertuples() if e.src in number and e.dst in number]
+        site = {"domain": key[0], "nodes": rows, "edges": sorted(kept), "features": np.stack(pages.features) if len(pages) else np.zeros((0, WIDTH)), "urls": pages.url.tolist(), "actions": []}
+        return pd.DataFrame({"domain": [key[0]], "content": [ctx_bytes(site)]})
+
+    return slim.groupBy("domain").cogroup(links.groupBy("domain")).applyInPandas(one, "domain string, content binary")
+
+
+def ctx_rows(files: DataFrame, part: str = "nodes") -> DataFrame:
+    """``nodes``, ``edges`` or ``actions`` of site files in a column ``content``."""
     schema = {
         "nodes": "domain string, node_id int, url string, page_type int, confidence int, freshness int, flags int, content_hash bigint, rendered_at bigint, http_status int, depth int, inbound_count int, outbound_count int, feature_norm float, cluster int, features array<float>",
         "edges": "domain string, src int, dst int, edge_type int, weight int, flags int",
@@ -104,7 +127,7 @@ def read_ctx(spark: SparkSession, path: str, part: str = "nodes") -> DataFrame:
                     r = s["actions"]
                     yield pd.DataFrame({"domain": s["domain"], "node_id": s["action_src"], "category": r["opcode"] >> 8, "action": r["opcode"] & 255, "target_node": r["target"], "cost_hint": r["cost"], "risk": r["risk"]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return files.select("content").mapInPandas(run, schema)
 
 
 def avis_bytes(observations: list[dict], width: int, sessions: int, created: int = 0, updated: int = 0) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators.timeseries import PERIODS
@@ -92,6 +92,56 @@ def alert_stream(points: DataFrame, rules: DataFrame) -> DataFrame:
     return met.where(F.coalesce(fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "domain", "url", "field", "ts", "before", "value")
 
 
+def append_rotating(stream: DataFrame, path: str, checkpoint: str, batches: int = 100):
+    """Appends a stream as JSON lines to numbered folders, a new one every ``batches`` micro-batches; a repeated batch replaces its own rows."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").json(f"{path}/part={batch // batches}/batch={batch}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def collected_every(stream: DataFrame, path: str, checkpoint: str, keys: list[str], keep: int, ticks: int = 12, every: str | None = None):
+    """Gathers a stream of rows with ``ts`` under ``path``; every ``ticks`` micro-batches what is there becomes a new version with the
+    newest ``keep`` of each key (the version before goes last, so a reader always has one)."""
+    from ..operators.delta import keep_last
+
+    def put(rows: DataFrame, batch: int) -> None:
+        version = batch // ticks
+        rows.write.mode("overwrite").parquet(f"{path}/version={version}/batch={batch}")
+        if batch and batch % ticks == 0:
+            spark = rows.sparkSession
+            older = spark.read.schema(rows.schema).parquet(f"{path}/version={version - 1}/batch=*")
+            keep_last(older, keys, keep).write.mode("overwrite").parquet(f"{path}/version={version}/batch={batch - 1}")
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+class ProgressEvents(StreamingQueryListener):
+    """Turns the progress of streaming queries into events (type, name, batch, rows) for a callback."""
+
+    def __init__(self, tell):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell({"type": "runtime_started", "name": event.name, "batch": None, "rows": None})
+
+    def onQueryProgress(self, event) -> None:
+        self.tell({"type": "progress", "name": event.progress.name, "batch": event.progress.batchId, "rows": event.progress.numInputRows})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell({"type": "runtime_stopped", "name": None, "batch": None, "rows": None})
+
+
+def changed_steps(points: DataFrame, dims: list[str], least: float) -> DataFrame:
+    """Steps of a stream of points in some fields only that move by over ``least``: the old and the new value."""
+    return steps(points.where(F.col("field").isin(dims))).where(F.abs(F.col("value") - F.col("before")) > least)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Starts writing a stream as JSON lines; a trigger interval is the maintenance tick."""
     writer = stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
