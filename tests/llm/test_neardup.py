@@ -147,3 +147,35 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and {got[i] for i in (50, 70, 100, 200)} == {50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_texts_of_one_id_or_none(spark):
+    rows = [(None, t) for t in variants(50, seed=11)] + [(7, t) for t in variants(50, seed=12)] + list(enumerate(variants(20, seed=13)))
+    rows += rows[:10] + [(7, "one text of many"), (None, "one text of many")] * 20
+    assert result(spark, rows) == brute(rows)
+
+
+def test_long_lists_are_led_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_LEADS", 16)
+    rng = random.Random(14)
+    # Halves in common: many members of one list in many components, no two of them linked but for the planted ones.
+    shared = [f"s{i}" for i in range(100)]
+    texts = [" ".join(shared + [f"o{rng.randrange(10**9)}" for _ in range(12)]) for _ in range(90)]
+    texts += variants(30, words=112, edits=(0, 3), seed=15)
+    rows = list(enumerate(texts))
+    assert result(spark, rows) == brute(rows)
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rng, rows = random.Random(16), []
+    while len(rows) < 300:
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        other, near = own[:], 1.0
+        while near >= 0.87:
+            other[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+            a, b = shingles(" ".join(own)), shingles(" ".join(other))
+            near = len(a & b) / len(a | b)
+        if near >= 0.85:
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    found = {i: c for i, _, c, _ in result(spark, rows)}
+    assert all(found[i] == i - i % 2 for i in found)

@@ -159,3 +159,16 @@ def test_whole_tables(spark):
     ids = [plain.encode(t, add_special_tokens=False).ids + [2] for t in docs.sort_values("doc_id").text]
     assert got.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
     assert got.start.tolist() == np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]).tolist()
+
+
+def test_many_rows_of_one_id_spread_over_parts(spark):
+    rows = [(5, f"text {i:04d}") for i in range(400)] + [(None, "no id")] * 300 + [(6, "copy")] * 300 + [(i, "x") for i in range(10, 20)]
+    shards = wavelet.write_shards(frame(spark, rows), BYTE, parts=8)
+    assert shards.select("part").distinct().count() >= 6 and max(r.docs for r in shards.collect()) < 400
+    got = wavelet.read_back(shards, ids=True).toPandas().sort_values("start")
+    plain, at = Tokenizer.from_file(BYTE), 0
+    for (i, t), r in zip(sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], x[1])), got.itertuples(), strict=True):
+        ids = plain.encode(t, add_special_tokens=False).ids + [2]
+        assert (pd.isna(r.doc_id) and i is None) or r.doc_id == i
+        assert (r.start, list(r.ids)) == (at, ids)
+        at += len(ids)

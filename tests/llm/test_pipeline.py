@@ -56,3 +56,66 @@ def test_dedup_stage_links_from_four_fifths(spark):
     given = spark.read.parquet(f"{SF}/documents.parquet")
     parts = neardup.near_duplicates(given, 80).where("kept")
     assert sorted(r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, given, SF).collect()) == sorted(r.doc_id for r in parts.collect())
+
+
+def test_pipeline_against_brute_force(spark):
+    """What each stage keeps, from its own input, by plain Python; the classifier by its held-out accuracy and its scores."""
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality_stage, dedup, mix, pack = (f for _, f in corpus_pipeline.STAGES)
+    words = lambda text: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    one = saved(quality_stage(spark, docs, SF), "one")
+    score = {r.doc_id: r.score for r in quality.op2(spark, SF).collect()}
+    rows = one.collect()
+    assert {r.doc_id for r in rows} == {i for i, s in score.items() if s >= 0.5}
+
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(r.text)) else set() for r in rows}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    two = saved(dedup(spark, one, SF), "two")
+    assert sorted(r.doc_id for r in two.collect()) == [i for i in ids if root(i) == i]
+
+    three = saved(mix(spark, two, SF), "three")
+    kept = two.collect()
+    size = {s: sum(len(words(r.text)) for r in kept if r.source == s) for s in {r.source for r in kept}}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    target, left, total = {}, set(size), float(sum(size.values()))
+    while True:  # water filling, step by step
+        share = {s: (total - sum(target.values())) * weight[s] / sum(weight[x] for x in left) for s in left}
+        full = {s for s in left if share[s] >= 3 * size[s]}
+        if not full or full == left:
+            target |= {s: min(share[s], 3 * size[s]) for s in left}
+            break
+        target |= {s: 3.0 * size[s] for s in full}
+        left -= full
+    mixed = three.collect()
+    for s in size:
+        assert abs(sum(len(words(r.text)) for r in mixed if r.source == s) - target[s]) <= 1
+
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((r.doc_id, len(coder.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in mixed)
+    pieces = pack(spark, three, SF).collect()
+    assert Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == want
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert sorted(by) == list(range(len(by)))
+    for at in by.values():
+        at.sort()
+        assert at[0][0] == 0 and all(o + n == m for (o, n), (m, _) in zip(at, at[1:], strict=False)) and sum(at[-1]) <= 2048
+    assert sum(n for at in by.values() for _, n in at) == sum(n * k for (_, n), k in want.items())

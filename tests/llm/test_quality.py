@@ -72,3 +72,44 @@ def test_statistics_see_the_whole_text():
     head = "plain words here and there. " * 400
     a, b = quality.statistics(pa.array([head, head + "SHOUT!! " * 4000]))
     assert not np.allclose(a, b) and len(a) == len(quality.NAMES)
+
+
+def test_scores_against_dense_ridge_and_isotonic_fits(spark):
+    """The same features, folds and labels, solved as one dense least-squares problem and by a plain isotonic fit."""
+    texts, labels = made(600)
+    flips = np.random.default_rng(8).random(600) < 0.15  # so that calibration has something to do
+    labels = [(i, y ^ int(f), 0) for (i, y, _), f in zip(labels, flips, strict=True)]
+    frame, known = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(frame, known).toPandas().set_index("doc_id").sort_index()
+    rows = quality.described(frame).toPandas().set_index("doc_id").sort_index()
+    x = np.stack(rows.x)
+    fold = frame.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) AS fold").toPandas().set_index("doc_id").sort_index().fold.to_numpy()
+    y = np.array([l[1] for l in sorted(labels)], dtype=float)
+    train = ~rows.held_out.to_numpy()
+    assert (rows.held_out.to_numpy() == np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.index])).all()
+    model = quality.Model(x[train].mean(0), x[train].std(0))
+    lifted = model.lift(x)
+
+    def solve(keep, ridge):
+        n = keep.sum()
+        root = np.sqrt(np.append(np.full(quality.FEATURES, ridge * max(n, 1) / quality.FEATURES), 1e-9 * max(train.sum(), 1)))
+        return np.linalg.lstsq(np.vstack([lifted[keep], np.diag(root)]), np.append(y[keep], np.zeros(len(root))), rcond=None)[0]
+
+    folds = [train & (fold == k) for k in range(quality.FOLDS)]
+    error = {r: sum(((lifted[f] @ solve(train & ~f, r) - y[f]) ** 2).sum() for f in folds) for r in quality.RIDGES}
+    ridge = min(error, key=error.get)
+    raw = np.zeros(len(y))
+    for f in folds:
+        raw[f] = lifted[f] @ solve(train & ~f, ridge)
+    bins = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    seen = sorted(set(bins[train]))
+    places = [raw[train & (bins == b)].mean() for b in seen]
+    # Isotonic fit at each bin: the largest over starts of the least over ends of the mean hit rate between them.
+    hits, counts = np.array([y[train & (bins == b)].sum() for b in seen]), np.array([(train & (bins == b)).sum() for b in seen])
+    h, c = np.concatenate([[0], np.cumsum(hits)]), np.concatenate([[0], np.cumsum(counts)])
+    fit = np.array([max(min((h[b] - h[a]) / (c[b] - c[a]) for b in range(i + 1, len(seen) + 1)) for a in range(i + 1)) for i in range(len(seen))])
+    blocks = [np.flatnonzero(np.isclose(fit, v)) for v in sorted(set(np.round(fit, 12)))]
+    knots = [np.average(np.array(places)[b], weights=counts[b]) for b in blocks], [np.average(fit[b], weights=counts[b]) for b in blocks]
+    final = lifted @ solve(train, ridge)
+    want = np.clip((1 - quality.BLEND) * np.interp(final, *knots) + quality.BLEND * np.clip(final, 0, 1), 0, 1)
+    assert np.allclose(got.score.to_numpy(), want, atol=1e-5)
