@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,16 @@ def _fast_cosine(target: list[float]):
     fixed = np.asarray(target, dtype=np.float64)
     size = np.linalg.norm(fixed)
 
-    @F.pandas_udf("double")
-    def score(col: pd.Series) -> pd.Series:
-        out = np.full(len(col), np.nan)
-        fit = np.flatnonzero([v is not None and len(v) == len(fixed) for v in col])
+    @F.arrow_udf("double")
+    def score(col: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+        fit = np.flatnonzero(sizes == len(fixed))
+        out = np.full(len(sizes), np.nan)
         if len(fit):
-            rows = np.stack([col.iloc[i] for i in fit]).astype(np.float64)
+            rows = col.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
             own = np.linalg.norm(rows, axis=1) * size
             out[fit] = np.divide(rows @ fixed, own, out=np.full(len(fit), -1.0), where=own > 0)
-        return pd.Series(out)
+        return pa.array(out)
 
     return score
 
@@ -81,11 +84,12 @@ def merged_features(rendered: Column, static: Column, rendered_score: Column, st
 
 
 # Fixed values of the pixel comparison.
-STEP, GRID, SHARE, LEAST_SIDE = 30, 8, 0.1, 10
+STEP, GRID, SHARE, LEAST_SIDE = 30, 8, 10, 10
 
 
 def pixel_diff(a: np.ndarray, b: np.ndarray) -> tuple[float, float, list[tuple[int, int, int, int]]]:
-    """(similarity, changed share, regions) of two grey images, cut to their common size by nearest sampling."""
+    """(similarity, changed share, regions) of two grey images, cut to their common size by nearest sampling. Regions are joined
+    cells of an eighth of each side, at least ten wide, of which over a tenth changed."""
     h, w = min(len(a), len(b)), min(a.shape[1], b.shape[1])
 
     def fit(x: np.ndarray) -> np.ndarray:
@@ -96,12 +100,11 @@ def pixel_diff(a: np.ndarray, b: np.ndarray) -> tuple[float, float, list[tuple[i
     moved = np.abs(fit(a) - fit(b)) > STEP
     share = float(moved.mean())
     boxes = []
-    rows, cols = np.linspace(0, h, GRID + 1).astype(int), np.linspace(0, w, GRID + 1).astype(int)
-    for i in range(GRID):
-        for j in range(GRID):
-            cell = moved[rows[i] : rows[i + 1], cols[j] : cols[j + 1]]
-            if cell.size and cell.mean() > SHARE and cell.shape[1] >= min(LEAST_SIDE, w):
-                boxes.append([int(cols[j]), int(rows[i]), int(cols[j + 1]), int(rows[i + 1])])
+    tall, wide = max(h // GRID, 1), max(w // GRID, 1)  # whole cells only; what is left over at the far sides has none
+    for top in range(0, h - tall + 1, tall):
+        for left in range(0, w - wide + 1, wide):
+            if wide >= LEAST_SIDE and moved[top : top + tall, left : left + wide].sum() > tall * wide // SHARE:
+                boxes.append([left, top, left + wide, top + tall])
     joined = True
     while joined:  # touching boxes grow together
         joined = False
