@@ -79,6 +79,11 @@ _cases("cleaned_texts", "VARCHAR", text.sanitized, [("<script>x", "x"), ("a onlo
 _cases("shown_counts", "VARCHAR", lambda c: schema.shown(53, F.log1p(c.cast("double")) / 10), [("0", "0"), ("1", "1"), ("128", "128"), ("4000", "4000")])
 _cases("shown_values", "VARCHAR", lambda c: F.concat_ws(" ", schema.shown(48, c.cast("double")), schema.shown(50, c.cast("double")), schema.shown(52, c.cast("double")), schema.shown(51, c.cast("double"))), [("0.25", "0.25 25% 0.3 out_of_stock"), ("1.0", "1.00 100% 1.0 in_stock"), ("0.75", "0.75 75% 0.8 in_stock")])
 
+_cases("types_in_python", "VARCHAR", lambda c: schema.type_in("python", c), [("float", "float"), ("integer", "int"), ("url", "str"), ("datetime", "datetime"), ("enum(a,b)", 'Literal["a", "b"]')])
+_cases("types_in_typescript", "VARCHAR", lambda c: schema.type_in("typescript", c), [("float", "number"), ("bool", "boolean"), ("datetime", "string"), ("enum(a, b)", '"a" | "b"')])
+_cases("types_in_openapi", "VARCHAR", lambda c: schema.type_in("openapi", c), [("float", "number"), ("integer", "integer"), ("bool", "boolean"), ("enum(a,b)", "string"), ("odd", "string")])
+_cases("types_in_graphql", "VARCHAR", lambda c: schema.type_in("graphql", c), [("float", "Float"), ("integer", "Int"), ("bool", "Boolean"), ("url", "String")])
+
 
 # --- the query language: what the first queries leave out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -152,6 +152,24 @@ def actions(found: DataFrame) -> DataFrame:
     return found.groupBy("model", "category", "action").agg(F.countDistinct("node_id").alias("nodes"), F.max("risk").alias("risk"))
 
 
+# Names of field types in other type systems; what isn't named is text.
+TYPE_NAMES = {
+    "python": {"string": "str", "float": "float", "integer": "int", "bool": "bool", "datetime": "datetime", "url": "str"},
+    "typescript": {"string": "string", "float": "number", "integer": "number", "bool": "boolean", "datetime": "string", "url": "string"},
+    "openapi": {"string": "string", "float": "number", "integer": "integer", "bool": "boolean", "datetime": "string", "url": "string"},
+    "graphql": {"string": "String", "float": "Float", "integer": "Int", "bool": "Boolean", "datetime": "String", "url": "String"},
+}
+
+
+def type_in(system: str, kind: Column) -> Column:
+    """A field type's name in another type system; ``enum(a,b)`` lists its values where the system can."""
+    names = TYPE_NAMES[system]
+    values = F.transform(F.split(F.regexp_extract(kind, r"^enum\((.*)\)$", 1), ","), lambda v: F.concat(F.lit('"'), F.trim(v), F.lit('"')))
+    plain = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), kind), F.lit(names["string"]))
+    listed = {"python": F.concat(F.lit("Literal["), F.array_join(values, ", "), F.lit("]")), "typescript": F.array_join(values, " | ")}.get(system, F.lit(names["string"]))
+    return F.when(kind.startswith("enum("), listed).otherwise(plain)
+
+
 def ddl(found: DataFrame, model: str) -> str:
     """A model's inferred fields as a Spark schema string (one model: few rows)."""
     kinds = {"float": "DOUBLE", "integer": "BIGINT", "bool": "BOOLEAN", "datetime": "TIMESTAMP"}
