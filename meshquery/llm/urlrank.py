@@ -34,7 +34,7 @@ RULES = [
 CHAINED = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.0
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -124,7 +124,7 @@ seeds AS (
   SELECT host, good / greatest((SELECT sum(good) FROM seed), 1)::DOUBLE * 0.15 AS good, bad / greatest((SELECT sum(bad) FROM seed), 1)::DOUBLE * 0.15 AS bad FROM seed),
 hrefs AS (
   SELECT DISTINCT n, host AS src, translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
-  FROM (SELECT n, host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)) AS u FROM p)),
+  FROM (SELECT n, host, unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)) AS u FROM p)),
 links AS (SELECT src, dst, count(*) AS n FROM hrefs WHERE src <> dst AND src <> '' GROUP BY src, dst),
 edges AS (
   SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM links),
