@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive, chat, collisions, html_content, mixing, neardup, packing, quality, urlrank, wavelet
+from . import additive, chat, collisions, html_content, mixing, neardup, packing, quality, urlrank, wavelet, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chat": chat.op8,
         "op9_html": html_content.op9,
         "op10_ann": additive.op10,
+        "op11_whitening": whitening.op11,
     }
 
 
