@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive, chat, collisions, html_content, mixing, neardup, packing, quality, urlrank, wavelet, whitening
+from . import additive, chat, collisions, html_content, importance, mixing, neardup, packing, quality, urlrank, warc, wavelet, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_html": html_content.op9,
         "op10_ann": additive.op10,
         "op11_whitening": whitening.op11,
+        "op12_importance": importance.op12,
+        "op13_warc": warc.op13,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.SQL,
         "op6_urls": urlrank.SQL,
         "op8_chat": chat.SQL,
+        "op13_warc": warc.SQL,
     }

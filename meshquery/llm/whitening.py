@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import saved, table
 
@@ -181,11 +183,13 @@ def with_fits(rows: DataFrame, fits: DataFrame, run: Callable, schema: str) -> D
         known = {f.width: f.asDict() for f in fits.collect()}
         return rows.mapInArrow(lambda batches: run(known, batches), schema)
     blocks = saved(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 12)), "whitening-blocks")
-    own = blocks.select("width", "block").distinct().join(fits, "width")
+    own = saved(blocks.select("width", "block").distinct().join(fits, "width"), "whitening-block-fits")
+
+    form = to_arrow_schema(StructType.fromDDL(schema))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(run({f["width"]: f for f in right.to_pylist()}, left.drop_columns(["block"]).to_batches()))
-        return pa.Table.from_batches(out) if out else pa.table({n: [] for n in [f.split()[0] for f in schema.split(", ")]})
+        out = [b.cast(form) for b in run({f["width"]: f for f in right.to_pylist()}, left.drop_columns(["block"]).to_batches())]
+        return pa.Table.from_batches(out, form)
 
     return blocks.groupBy("width", "block").cogroup(own.groupBy("width", "block")).applyInArrow(meet, schema)
 
