@@ -12,7 +12,8 @@ is skipped). Reads archives of others too: plain or gzipped files, several recor
 type, records without HTTP; digests in base 32 or hexadecimal.
 
 ``archive`` writes pages: of equal payloads (SHA-256) of at least ``least`` bytes one is a response and the others revisit it. Copies are
-counted map-side; the one row per repeated payload is dealt to 16 salts, so a payload of a third of all pages spreads.
+counted map-side; where repeated payloads are few, Spark broadcasts them and no page moves, else the one row per repeated
+payload is dealt to 16 salts, so a payload of a third of all pages spreads.
 
 Defined results: null html is an empty payload; among rows of the same id and payload one, chosen freely, is the response and the rest
 revisit it; a null id is the smallest; null or odd urls are kept (line ends and controls percent-encoded); an empty table writes
@@ -461,10 +462,11 @@ def register(spark: SparkSession) -> None:
 def page_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows that the writer takes, for pages (page_id, url, html)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = saved(rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload")).withColumn("key", F.sha2("payload", 256)), "warc-pages")
+    rows = saved(pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")), "warc-pages")
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     copies = rows.where(F.col("payload_bytes") >= least).groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row", "url")).alias("first"))
-    salted = copies.where("n > 1").select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    repeated = saved(copies.where("n > 1").select("key", "first"), "warc-copies")  # a table, so that its size is known when the join is planned
+    salted = repeated.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     name = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
     revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
     return rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left").select(
