@@ -405,7 +405,7 @@ class Reader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.schema = options["path"], schema
         self.keep, self.strict = (options.get(n, "true").lower() != "false" for n in ("payload", "strict"))
-        self.together = int(options.get("partition_bytes", 64 << 20))
+        self.together = int(options.get("partition_bytes", 16 << 20))
 
     def partitions(self):
         out, size = [], 0
