@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import _query, table
-from .sources import dom, selectors
+from .functions import multipattern
+from .sources import dom, platforms, selectors
 
 STRUCTURE = [*selectors.NAVIGATION, "article > p", "ul > li + li", "nav ~ article h1", "div.ad, footer", "html[lang|=en]", "[href^='/']", "article b br", "p p"]
 
@@ -136,3 +137,75 @@ def drag_boards(spark: SparkSession, d: str) -> DataFrame:
     pages = dom.parsed(_boards(spark, d), "order")
     found = selectors.drag_actions(pages).join(pages.select("page", "order"), "page")
     return found.select("order", "platform", "library", "drag_type", "thing_id", "place_id", "method", "endpoint", "body", F.col("things").cast("long").alias("things"), F.col("places").cast("long").alias("places"), F.round("confidence", 6).alias("confidence"))
+
+
+SOUGHT = ["the ", "example.org", "And", "é", "ß", "http", "@", "License", "licence", "0", "1", "the the", "sch", "ción", "password", "key", "\n\n", "The the", "ing", "reading", "Überraschung", "zz", "eau", "eaux", "leaux"]
+
+
+@_query("patterns_in_documents", f"""
+    SELECT doc_id, s.i AS pattern, count(*) AS n FROM documents, (SELECT unnest({SOUGHT!r}) AS word, unnest(range({len(SOUGHT)}))::INT AS i) s
+    WHERE contains(text, s.word) GROUP BY ALL""".replace("\\n\\n", "\n\n"))
+def patterns_in_documents(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select("doc_id", F.explode(multipattern.found_in(F.col("text"), SOUGHT)).alias("pattern"))
+    return found.groupBy("doc_id", "pattern").agg(F.count("*").alias("n"))
+
+
+@_query("hosts_in_pages", "SELECT page_id, contains(html, '.example.com') AS com, contains(html, '.example.org') AS org, contains(html, '.example.net') AS net FROM pages")
+def hosts_in_pages(spark: SparkSession, d: str) -> DataFrame:
+    found = multipattern.names_in(F.col("html"), [".example.com", ".example.org", ".example.net", "example.com"], ["com", "org", "net", "any"])
+    has = lambda n: F.array_contains("found", n).alias(n)
+    return table(spark, d, "pages").select("page_id", found.alias("found")).select("page_id", has("com"), has("org"), has("net"))
+
+
+def _platform_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per part with the marks of one of eleven platforms, of two, or of none."""
+    marks = [m[i % len(m)] for i, (_, m) in enumerate(platforms.MARKS)]
+    mark = _choice(F.col("p_partkey"), *marks, marks[-1] + " " + marks[3], "")
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("<p>"), F.col("p_name"), F.lit("</p><script>"), mark, F.lit("</script>")).alias("html"))
+
+
+@_query("platform_requests", """
+    WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 11 THEN 3 ELSE p_partkey % 13 END AS k FROM part),
+    r AS (SELECT * FROM (VALUES
+        (0, 'add_to_cart', 'POST', '/cart/add.js', 20, 0.9), (0, 'update_cart', 'POST', '/cart/update.js', 22, 0.85), (0, 'remove_from_cart', 'POST', '/cart/change.js', 21, 0.85), (0, 'get_cart', 'GET', '/cart.js', 26, 0.9),
+        (1, 'add_to_cart', 'POST', '/?wc-ajax=add_to_cart', 20, 0.85), (1, 'view_cart', 'GET', '/cart/', 26, 0.85), (1, 'apply_coupon', 'POST', '/?wc-ajax=apply_coupon', 23, 0.8),
+        (2, 'add_to_cart', 'POST', '/checkout/cart/add/', 20, 0.85), (2, 'add_to_wishlist', 'POST', '/wishlist/index/add/', 25, 0.8), (2, 'add_to_compare', 'POST', '/catalog/product_compare/add/', 24, 0.8),
+        (3, 'add_to_cart', 'POST', '/remote/v1/cart/add', 20, 0.85), (3, 'get_cart', 'GET', '/api/storefront/cart', 26, 0.85), (4, 'add_to_cart', 'POST', '/api/commerce/shopping-cart/entries', 20, 0.8),
+        (4, 'get_cart', 'GET', '/api/commerce/shopping-cart', 26, 0.8), (5, 'add_to_cart', 'POST', '/_api/cart-server/v1/cart/current/addToCart', 20, 0.8), (5, 'search', 'GET', '/_api/search-api/v1/search', 10, 0.75),
+        (6, 'add_to_cart', 'POST', '/cart?add=1', 20, 0.8), (7, 'add_to_cart', 'POST', '/index.php?route=checkout/cart/add', 20, 0.8), (8, 'search', 'GET', '/api/search', 10, 0.65), (9, 'search', 'GET', '/search/node', 10, 0.75),
+        (10, 'search', 'GET', '/wp-json/wp/v2/search', 10, 0.75), (10, 'comment', 'POST', '/wp-comments-post.php', 30, 0.8)) AS r(k, kind, method, endpoint, code, confidence))
+    SELECT p_partkey, ['shopify', 'woocommerce', 'magento', 'bigcommerce', 'squarespace', 'wix', 'prestashop', 'opencart', 'nextjs_commerce', 'drupal', 'wordpress'][p.k + 1] AS platform, kind, method, endpoint, code::INT AS code, confidence::DOUBLE AS confidence
+    FROM p JOIN r USING (k)""")
+def platform_requests(spark: SparkSession, d: str) -> DataFrame:
+    found = platforms.platform_requests(_platform_pages(spark, d), "p_partkey")
+    return found.select("p_partkey", "platform", "kind", "method", "endpoint", (F.col("category") * 10 + F.col("action")).alias("code"), "confidence")
+
+
+@_query("form_requests", """
+    WITH f AS (
+        SELECT s_suppkey, 'Send to ' || s_name AS label, 40 AS code, 'POST' AS method, 'https://s.test/send/' || s_suppkey AS endpoint, 2 AS fields FROM supplier WHERE s_suppkey % 5 IN (0, 2)
+        UNION ALL SELECT s_suppkey, 'Form → https://s.test/a/' || s_suppkey, 40, 'GET', 'https://s.test/a/' || s_suppkey, 2 FROM supplier WHERE s_suppkey % 5 IN (1, 2)
+    ) SELECT s_suppkey, label, code, method, endpoint, fields, 0.9::DOUBLE AS confidence FROM f""")
+def form_requests(spark: SparkSession, d: str) -> DataFrame:
+    pages = dom.parsed(_supplier_pages(spark, d), "s_suppkey", "url")
+    found = platforms.form_requests(pages).join(pages.select("page", "s_suppkey"), "page")
+    return found.select("s_suppkey", "label", (F.col("category") * 10 + F.col("action")).alias("code"), "method", "endpoint", F.size("fields").alias("fields"), "confidence")
+
+
+@_query("socket_endpoints", """
+    WITH s AS (SELECT s_suppkey, ['slack.com', 'app.discord.com', 'yahoo', 'shop.test', 'notion.so', ''][s_suppkey % 6 + 1] AS domain FROM supplier),
+    k AS (SELECT * FROM (VALUES ('slack.com', 'wss://wss-primary.slack.com/', 'raw', 'query_param', 'slack.com'), ('app.discord.com', 'wss://gateway.discord.gg/?v=10&encoding=json', 'raw', 'first_message', 'discord.com'),
+        ('yahoo', 'wss://streamer.finance.yahoo.com/', 'raw', 'none', 'finance.yahoo.com'), ('notion.so', 'wss://msgstore.www.notion.so/primus/', 'sockjs', 'cookie', 'notion.so')) k(domain, endpoint, protocol, auth, site))
+    SELECT s_suppkey, endpoint, protocol, auth, 'platform:' || site AS source, 0.95::DOUBLE AS confidence FROM s JOIN k USING (domain)
+    UNION ALL SELECT s_suppkey, 'wss://feed.test/' || s_suppkey, 'raw', 'none', 'html', 0.9 FROM supplier
+    UNION ALL SELECT s_suppkey, 'wss://io.test/', 'socketio', 'cookie', 'html', 0.85 FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT s_suppkey, '/hub', 'signalr', 'cookie', 'html', 0.85 FROM supplier WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT s_suppkey, '/sj', 'sockjs', 'cookie', 'html', 0.85 FROM supplier WHERE s_suppkey % 3 = 0""")
+def socket_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    code = F.concat(
+        F.lit("<p>"), F.col("s_name"), F.lit("</p><script>a = new WebSocket('wss://feed.test/"), key, F.lit("'); b = new WebSocket('wss://feed.test/"), key, F.lit("');"),
+        _choice(F.col("s_suppkey"), "io.connect('https://io.test/');", ""), _choice(F.col("s_suppkey"), "new HubConnectionBuilder().withUrl('/hub')", ".withUrl('/no')", "", ""), _choice(F.col("s_suppkey"), "new SockJS('/sj')", "", ""), F.lit("</script>"),
+    )
+    sites = table(spark, d, "supplier").select("s_suppkey", _choice(F.col("s_suppkey"), "slack.com", "app.discord.com", "yahoo", "shop.test", "notion.so", "").alias("domain"), code.alias("html"))
+    return platforms.socket_endpoints(sites, "s_suppkey")
