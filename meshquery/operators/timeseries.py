@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
+from .ranks import ranked
+
 # Period widths in seconds (a month is thirty days), and the thresholds of the detectors.
 PERIODS = {"day": 86_400, "week": 604_800, "month": 2_592_000}
 LEAST_FIT, STABLE = 0.3, 0.01
 LEAST_REPEAT, LEAST_POINTS, DEVIATIONS = 0.5, 7, 2.0
+#: Points of a series that one task transforms, and frequencies that one task multiplies.
+BLOCK, SLICE = 1 << 16, 1 << 12
 
 
 def seconds(ts: str = "ts") -> Column:
@@ -120,23 +125,80 @@ def _strongest(values: np.ndarray) -> tuple[int, float] | None:
     return (int(lags[best]), float(r[best])) if r[best] >= LEAST_REPEAT else None
 
 
-def periodicity(points: DataFrame, keys: list[str]) -> DataFrame:
+def periodicity(points: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, lag, strength, period_seconds, phase): the lag of the strongest autocorrelation of 0.5 or more, the smaller
-    on ties. A series is one task's input (sixteen bytes a point)."""
-    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        got = _strongest(pdf.v.to_numpy(dtype=np.float64))
-        names = [*keys, "lag", "strength", "period_seconds", "phase"]
-        if got is None:
-            return pd.DataFrame(columns=names)
-        t = pdf.t.to_numpy()
-        period = (t[-1] - t[0]) / len(t) * got[0]
-        return pd.DataFrame([[*key, got[0], got[1], period, (t[-1] % period) / period if period > 0 else 0.0]], columns=names)
-
+    on ties. Series of up to ``block`` points are transformed in one task each, longer ones by blocks of points (``_by_blocks``)."""
     slim = points.select(*keys, seconds().alias("t"), F.col("value").cast("double").alias("v"))
-    return slim.groupBy(*keys).applyInPandas(one, f"{kinds}, lag int, strength double, period_seconds double, phase double")
+    stats = slim.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    series = written(stats.where((F.col("n") >= LEAST_POINTS) & (F.col("var") >= 1e-6)).withColumn("series", F.monotonically_increasing_id()), "series")
+    told = series.select("series", "n", "mean", "var", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    rows = slim.join(told, same).select("series", "n", "var", "t", (F.col("v") - F.col("mean")).alias("c"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _strongest(pdf.sort_values("t", kind="stable").c.to_numpy(dtype=np.float64))
+        return pd.DataFrame([[int(pdf["series"].iloc[0]), *got]] if got else [], columns=["series", "lag", "strength"])
+
+    short = rows.where(F.col("n") <= block).groupBy("series").applyInPandas(one, "series long, lag long, strength double")
+    found = short
+    if not series.where(F.col("n") > block).isEmpty():
+        found = short.unionByName(_by_blocks(rows.where(F.col("n") > block), block))
+    period = (F.col("t1") - F.col("t0")) / F.col("n") * F.col("lag")
+    phase = F.when(F.col("period_seconds") > 0, F.pmod("t1", "period_seconds") / F.col("period_seconds")).otherwise(0.0)
+    return found.join(series, "series").withColumn("period_seconds", period).select(*keys, F.col("lag").cast("int").alias("lag"), "strength", "period_seconds", phase.alias("phase"))
+
+
+def _by_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(series, lag, strength) of rows (series, n, var, t, c) of long series, by a transform in two steps. Points are ranked by a
+    range sort and cut into at most 256 blocks of m. Each block is transformed apart, at twice its length; for each frequency the
+    products of blocks d apart are added (themselves by a transform along the blocks); transformed back, difference d holds the
+    lag sums from (d - 1) * m to (d + 1) * m. Points move three times, however many lags there are, and no task holds more than
+    a block or a slice of frequencies of all blocks."""
+    m = F.greatest(F.lit(block).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / F.lit(256.0)))).cast("long"))
+    placed = ranked(rows, ["series"], [F.asc("t")], "i").withColumn("m", m).withColumn("block", F.floor(F.col("i") / F.col("m")))
+
+    def transformed(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, n = int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0])
+        wave = np.zeros(2 * size)
+        wave[(pdf["i"] % size).to_numpy()] = pdf["c"].to_numpy()
+        spectrum = np.fft.rfft(wave)
+        cuts = range(0, len(spectrum), SLICE)
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "slice": np.arange(len(cuts)), "block": pdf["block"].iloc[0], "n": n, "m": size, "var": pdf["var"].iloc[0], "data": [spectrum[c : c + SLICE].tobytes() for c in cuts]})
+
+    def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, size = int(pdf["n"].iloc[0]), int(pdf["m"].iloc[0])
+        blocks, most = -(-n // size), (n // 2 - 1) // size + 1
+        spectra = np.zeros((blocks, len(pdf["data"].iloc[0]) // 16), dtype=complex)
+        for at, data in zip(pdf["block"], pdf["data"], strict=True):
+            spectra[at] = np.frombuffer(data, dtype=complex)
+        along = np.fft.fft(spectra, 1 << (blocks + most).bit_length(), axis=0)
+        products = np.fft.ifft(along * along.conj(), axis=0)[: most + 1]
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "apart": np.arange(most + 1), "slice": pdf["slice"].iloc[0], "n": n, "m": size, "var": pdf["var"].iloc[0], "data": [p.tobytes() for p in products]})
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, apart = int(pdf["m"].iloc[0]), int(pdf["apart"].iloc[0])
+        sums = np.fft.irfft(np.frombuffer(b"".join(pdf.sort_values("slice")["data"]), dtype=complex), 2 * size)
+        halves = [(apart, sums[:size]), (apart - 1, sums[size:])]
+        kept = [(at, half.tobytes()) for at, half in halves if at >= 0]
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "at": [a for a, _ in kept], "n": pdf["n"].iloc[0], "m": size, "var": pdf["var"].iloc[0], "data": [d for _, d in kept]})
+
+    def strongest(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, size, at = int(pdf["n"].iloc[0]), int(pdf["m"].iloc[0]), int(pdf["at"].iloc[0])
+        lags = at * size + np.arange(size)
+        inside = (lags >= 2) & (lags <= n // 2 - 1)
+        if not inside.any():
+            return pd.DataFrame(columns=["series", "lag", "strength"])
+        r = np.round(sum(np.frombuffer(d) for d in pdf["data"])[inside] / ((n - lags[inside]) * pdf["var"].iloc[0]), 12)
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "lag": [int(lags[inside][r.argmax()])], "strength": [float(r.max())]})
+
+    form = "series long, {} long, {}n long, m long, var double, data binary"
+    spectra = placed.groupBy("series", "block").applyInPandas(transformed, form.format("slice", "block long, "))
+    products = spectra.groupBy("series", "slice").applyInPandas(multiplied, form.format("apart", "slice long, "))
+    sums = products.groupBy("series", "apart").applyInPandas(summed, form.format("at", ""))
+    best = sums.groupBy("series", "at").applyInPandas(strongest, "series long, lag long, strength double")
+    return best.groupBy("series").agg(F.max(F.struct("strength", (-F.col("lag")).alias("back"))).alias("b")).select("series", (-F.col("b.back")).alias("lag"), F.col("b.strength").alias("strength")).where(F.col("strength") >= LEAST_REPEAT)
 
 
 def patterns(points: DataFrame, keys: list[str]) -> DataFrame:
