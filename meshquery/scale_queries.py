@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import _query, table
-from .operators import ranks, timeseries
+from . import catalog_queries, operator_queries  # noqa: F401
+from .catalog_queries import _query, _sql, table
+from .operators import paths, ranks, timeseries
 
 _LAGS = """
     s AS (SELECT k, i, t, v - avg(v) OVER (PARTITION BY k) AS c, var_pop(v) OVER (PARTITION BY k) AS var, count(*) OVER (PARTITION BY k) AS n, min(t) OVER (PARTITION BY k) AS t0, max(t) OVER (PARTITION BY k) AS t1 FROM p),
@@ -44,3 +45,51 @@ def patterns_found(spark: SparkSession, d: str) -> DataFrame:
 def ranks_in_two_groups(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("side"), "o_totalprice")
     return ranks.ranked(orders, ["side"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "side", "rank")
+
+
+def _keyed(edges: str, start: str) -> str:
+    """Cheapest costs by one recursion that keeps a row per node."""
+    return f"""WITH RECURSIVE e AS (SELECT s, t, min(w) AS w FROM ({edges}) GROUP BY s, t),
+    p(k, node, cost) USING KEY (k, node) AS ({start} UNION
+        SELECT x.k, x.node, x.cost FROM (SELECT p.k, e.t AS node, min(p.cost + e.w) AS cost FROM p JOIN e ON p.node = e.s GROUP BY p.k, e.t) x
+        LEFT JOIN recurring.p r ON r.k = x.k AND r.node = x.node WHERE r.cost IS NULL OR x.cost < r.cost)"""
+
+
+_PART_LINKS = "SELECT s, t, CASE WHEN (s + t) % 4 = 0 THEN 10 ELSE 1 END AS w FROM (SELECT p_partkey AS s, unnest([p_partkey + 1, p_partkey + 40, p_partkey * 3]) AS t FROM part) WHERE t <= (SELECT max(p_partkey) FROM part) AND s * t % 11 <> 0"
+_TRADE = "SELECT s, t, 1 + (s * 7 + t) % 5 AS w FROM (SELECT a AS s, b AS t FROM l UNION ALL SELECT b, a FROM l)"
+_TRADE_LINKS = _TRADE.replace("FROM l", "FROM (SELECT o_orderkey * 4 AS a, o_custkey * 4 + 1 AS b FROM orders UNION ALL SELECT l_orderkey * 4, l_partkey * 4 + 2 FROM lineitem UNION ALL SELECT l_partkey * 4 + 2, l_suppkey * 4 + 3 FROM lineitem)")
+_sql["shortest_state_changes"] = _keyed(_PART_LINKS, "SELECT 0, 1::BIGINT, 0") + " SELECT node::INT AS node, cost::BIGINT AS cost FROM p"
+_sql["shortest_path_all"] = _keyed("SELECT o_custkey * 2 AS s, o_orderkey * 2 + 1 AS t, 1 AS w FROM orders UNION ALL SELECT o_orderkey * 2 + 1, o_custkey * 2, 1 FROM orders", "SELECT 0, (SELECT min(o_custkey) * 2 FROM orders), 0") + " SELECT node::INT AS node, cost::BIGINT AS cost FROM p"
+_sql["shortest_path_weighted_all"] = _keyed(_TRADE_LINKS, "SELECT 0, (SELECT min(o_orderkey) * 4 FROM orders), 0") + " SELECT node::INT AS node, cost::BIGINT AS cost FROM p"
+
+
+def _sited_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of orders, customers, parts and suppliers, both ways, on two sites; on the second one they cost twice as much."""
+    links = catalog_queries._both_ways(catalog_queries._trade_graph(spark, d)[1].select("src", "dst"))
+    both = links.withColumn("domain", F.lit("a")).unionByName(links.withColumn("domain", F.lit("b")))
+    sum_, product = F.col("src") + F.col("dst"), F.col("src") * F.col("dst")
+    flags = F.when(sum_ % 4 == 1, 4).otherwise(0) + F.when(product % 11 == 0, 1).otherwise(0)
+    return both.withColumn("weight", ((1 + (F.col("src") * 7 + F.col("dst")) % 5) * F.when(F.col("domain") == "b", 2).otherwise(1)).cast("int")).withColumn("flags", flags)
+
+
+@_query("path_costs_of_many", _keyed(_TRADE_LINKS, "SELECT x, x, 0 FROM (SELECT unnest([5, 9, 13])::BIGINT AS x)") + """
+    SELECT unnest(['a', 'b']) AS domain, k AS source, node, unnest([cost, 2 * cost])::BIGINT AS cost FROM p""")
+def path_costs_of_many(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted costs from three customers to everything, on two sites."""
+    source = F.explode(F.array(*[F.lit(n).cast("long") for n in (5, 9, 13)])).alias("source")
+    asked = spark.range(1).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("domain")).select("domain", source)
+    return paths.costs(paths.steps_of(_sited_links(spark, d), "weight"), asked).select("domain", "source", "node", "cost")
+
+
+@_query("paths_found", _keyed(_TRADE_LINKS.replace("SELECT s, t, 1 + (s * 7 + t) % 5 AS w", "SELECT s, t, CASE WHEN (s + t) % 4 = 1 THEN 10 ELSE 1 END AS w") + " WHERE s * t % 11 <> 0", "SELECT x, x, 0 FROM (SELECT unnest([5, 9, 13])::BIGINT AS x)") + """
+    SELECT 'a' AS domain, k AS source, node AS target, cost::BIGINT AS cost, true AS whole FROM p WHERE node % 4 = 3""")
+def paths_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fewest state changes without logins from three customers to all suppliers; ``whole``: the path's own steps add up to its cost."""
+    edges = _sited_links(spark, d)
+    asked = table(spark, d, "supplier").select(F.lit("a").alias("domain"), F.explode(F.array(*[F.lit(n).cast("long") for n in (5, 9, 13)])).alias("source"), (F.col("s_suppkey") * 4 + 3).alias("target"))
+    found = paths.pathfind(edges, asked, "state_changes", avoid=("requires_auth",))
+    steps = paths.steps_of(edges, "state_changes", ("requires_auth",))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.struct(F.get("nodes", i - 1).alias("src"), F.get("nodes", i).alias("dst")))
+    each = found.select("domain", "source", "target", "cost", F.explode(pairs).alias("x")).select("domain", "source", "target", "cost", "x.*")
+    sums = each.join(steps, ["domain", "src", "dst"], "left").groupBy("domain", "source", "target").agg(F.first("cost").alias("cost"), F.sum("step").alias("sum"))
+    return sums.select("domain", "source", "target", "cost", (F.col("sum") == F.col("cost")).alias("whole"))

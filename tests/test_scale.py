@@ -57,3 +57,54 @@ def test_ranks_of_huge_groups_spread_over_tasks(spark):
     same = spark.createDataFrame([(1,)] * 300, "g int")
     assert sorted(r["rank"] for r in ranks.ranked(same, ["g"], []).collect()) == list(range(300))
     assert ranks.ranked(frame.limit(0), ["g"], [F.asc("i")]).count() == 0
+
+
+def dijkstra(edges, source, mode, avoid):
+    import heapq
+
+    best, heap = {source: (0, 0)}, [((0, 0), source)]
+    while heap:
+        label, node = heapq.heappop(heap)
+        if label > best[node]:
+            continue
+        for s, t, w, f in edges:
+            if s != node or s == t or (avoid and f & 1):
+                continue
+            step = {"hops": 1, "weight": w, "state_changes": 10 if f & 4 else 1}[mode]
+            new = (label[0] + step, label[1] + 1)
+            if new < best.get(t, (1 << 60, 0)):
+                best[t] = new
+                heapq.heappush(heap, (new, t))
+    return best
+
+
+@pytest.mark.parametrize(("mode", "avoid", "delta"), [("weight", (), 2), ("weight", (), None), ("hops", ("requires_auth",), None), ("state_changes", ("requires_auth",), 5)])
+def test_paths_against_dijkstra(spark, mode, avoid, delta):
+    from meshquery.operators import paths
+
+    rng = np.random.default_rng(8)
+    sites = {"a": [(int(rng.integers(25)), int(rng.integers(25)), int(rng.integers(0, 6)), int(rng.integers(8))) for _ in range(70)], "b": [(i, i + 1, i % 3, 0) for i in range(12)]}
+    edges = spark.createDataFrame([(d, *e) for d, es in sites.items() for e in es], "domain string, src int, dst int, weight int, flags int")
+    asked = [("a", 0, 5), ("a", 0, 24), ("a", 3, 3), ("a", 7, 1), ("b", 2, 12), ("b", 12, 2), ("b", 0, 0), ("none", 1, 2), ("a", 0, 5)]
+    pairs = spark.createDataFrame(asked, "domain string, source int, target int")
+    all_costs = {(r.domain, r.source, r.node): (r.cost, r.hops) for r in paths.costs(paths.steps_of(edges, mode, avoid), pairs.drop("target"), delta).collect()}
+    want = {(d, s, n): label for d, s, _ in asked for n, label in dijkstra(sites.get(d, []), s, mode, avoid).items()}
+    assert all_costs == want
+    found = {(r.domain, r.source, r.target): r for r in paths.pathfind(edges, pairs, mode, avoid, delta).collect()}
+    assert set(found) == {p for p in asked if p in want}
+    for (d, s, t), r in found.items():
+        assert (r.cost, r.hops) == want[d, s, t] and r.nodes[0] == s and r.nodes[-1] == t and len(r.nodes) == r.hops + 1
+        steps = {}
+        for a, b, w, f in sites.get(d, []):
+            if not (avoid and f & 1):
+                c = {"hops": 1, "weight": w, "state_changes": 10 if f & 4 else 1}[mode]
+                steps[a, b] = min(c, steps.get((a, b), c))
+        assert sum(steps[a, b] for a, b in zip(r.nodes, r.nodes[1:], strict=False)) == r.cost
+
+
+def test_paths_of_nothing(spark):
+    from meshquery.operators import paths
+
+    edges = spark.createDataFrame([("a", 1, 2, 1, 0)], "domain string, src int, dst int, weight int, flags int")
+    none = spark.createDataFrame([], "domain string, source int, target int")
+    assert paths.pathfind(edges, none).count() == 0 and paths.pathfind(edges.limit(0), spark.createDataFrame([("a", 1, 2)], "domain string, source int, target int")).count() == 0
