@@ -11,8 +11,8 @@ what lies within ``REACH`` deviations of them; places on the other lines are sin
 that can no longer reach COUNT are dropped, and the few others are counted one by one.
 
 To count without meeting everyone, vectors are dealt into cells by further projections cut into steps (several
-independent tables; a cell with more than ``CELL`` vectors is cut by one more projection, to a depth of ``DEPTH``). The
-number of tables follows from the depth actually used so that a pair at the threshold shares a cell of some table with
+independent tables). How many projections cut a cell, ``DEPTH`` at most, is what needs least work in all (``best_depth``). The
+number of tables follows from that depth so that a pair at the threshold shares a cell of some table with
 probability 1 - MISS. Cells that stay large (rows that really are alike) are split into blocks, and pairs of blocks are
 tasks of bounded size. A block sends out no pairs: link counts per vector, and a spanning forest of its links. A pair
 that shares cells of several tables is counted in the first one.
@@ -68,6 +68,14 @@ def tables_for(depth: int, threshold: float = THRESHOLD, step: float = STEP, mis
     return max(1, min(TABLES, ceil(log(miss) / log(1 - same**depth))))
 
 
+def best_depth(met: dict[int, tuple[int, float, int]]) -> int:
+    """The depth of least work, from the rows, the pairs within cells and the cells of several rows at each depth. Every table meets those
+    pairs, moves every row (worth a quarter of CELL pairs) and opens every cell (24 times CELL pairs, as measured). Unlike rows part
+    at each step, so large groups of them are cut deep; alike rows hardly do, and are met in few tables."""
+    work = {d: tables_for(d) * (pairs + CELL * (rows / 4 + cells * 24)) for d, (rows, pairs, cells) in met.items()}
+    return min(work, key=lambda d: (work[d], d), default=0)
+
+
 def _random(width: int, columns: int, salt: int) -> np.ndarray:
     return np.random.default_rng([SEED, width, salt]).standard_normal((width, columns))
 
@@ -112,11 +120,11 @@ def cells(classes: DataFrame) -> DataFrame:
                 for depth in range(DEPTH + 1):
                     yield pd.DataFrame({"depth": depth, "cell": _hash(part.group.to_numpy(), steps[:, :depth])})
 
-    # The depth that the first table needs stands for all: the tables are alike but for their random lines.
+    # The first table stands for all: the tables are alike but for their random lines.
     counts = group.mapInPandas(prefixes, "depth int, cell long").groupBy("depth", "cell").agg(F.count("*").alias("rows"))
-    crowded = {r.depth: r.share for r in counts.groupBy("depth").agg((F.sum(F.when(F.col("rows") > CELL, F.col("rows")).otherwise(0)) / F.sum("rows")).alias("share")).collect()}
-    depth = min((d for d in range(DEPTH + 1) if crowded.get(d, 0) <= 0.02), default=DEPTH)
-    depth = min([depth, *(d for d in range(1, DEPTH) if crowded.get(d, 1) <= crowded.get(d + 1, 0) + 0.01)])  # what stays crowded is alike
+    sums = counts.groupBy("depth").agg(F.sum("rows").alias("rows"), F.sum(F.pow("rows", F.lit(2.0))).alias("pairs"), F.count_if(F.col("rows") > 1).alias("cells"))
+    met = {r.depth: (r.rows, r.pairs, r.cells) for r in sums.collect()}  # a row per depth
+    depth = best_depth(met)
     tables = tables_for(depth)
 
     def deal(batches):

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table
+from .common import WORD, free_name, saved, table
 from .components import components
 from .tokens import slices
 from .words import Words
@@ -229,10 +229,11 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (smallest doc_id, null last); rows without words all stay. Same columns."""
     rows = saved(labelled(docs, percent), "components")
     worded = rows.where("n > 0")
+    own_id, own_tag = free_name("id"), free_name("tag")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
-    keep = worded.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
-    keep = keep.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))).distinct()
-    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & _tag(docs["text"]).eqNullSafe(F.col("__tag"))
+    keep = worded.groupBy("label").agg(first).select(F.col("first.doc_id").alias(own_id), F.col("first.tag").alias(own_tag))
+    keep = keep.unionByName(rows.where("n = 0").select(F.col("doc_id").alias(own_id), F.col("tag").alias(own_tag))).distinct()
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & _tag(docs["text"]).eqNullSafe(F.col(own_tag))
     kept = docs.join(keep, match, "left_semi")
     if worded.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
         return kept

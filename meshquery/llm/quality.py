@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, table
 from .tokens import slices
 from .words import Words
 
@@ -209,8 +209,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; columns unchanged."""
-    bad = classify(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__tag"))
+    own_id, own_tag = free_name("id"), free_name("tag")
+    bad = classify(docs, labels).where("predicted = 0").select(F.col("doc_id").alias(own_id), F.col("tag").alias(own_tag)).distinct()
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(own_tag))
     return docs.join(bad, match, "left_anti")
 
 

@@ -34,7 +34,8 @@ RULES = [
 CHAINED = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.0
-LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+#: Blanks are taken possessively, so that a page of blanks is read once.
+LINK = r"""(?i)<a\s[^<>]*?href\s*+=\s*+["']?+\s*+(?:https?:)?//([^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -49,8 +50,9 @@ def host_rules(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     """(host, fits): for every host the rules of its domain suffixes, longest first. ``rules`` is the caller's list."""
     named = lambda h, p, a: F.struct(F.lit(h).alias("suffix"), F.lit(p).alias("prefix"), F.lit(h + p).alias("rule"), F.lit(a).alias("action"))
     listed = hosts.sparkSession.range(1).select(F.inline(F.array(*[named(*r) for r in rules])))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit("")))
+    lengths = sorted({suffix.count(".") + 1 for suffix, _, _ in rules})  # no other suffixes can be a rule's
+    suffixes = F.array_compact(F.array(*[F.when(dots >= k - 1, F.substring_index("host", ".", -k)) for k in lengths]))
     fitting = hosts.select("host", F.explode(suffixes).alias("suffix")).join(listed, "suffix")
     longest = F.struct((-F.length("rule")).alias("order"), "prefix", "rule", "action")
     return fitting.groupBy("host").agg(F.sort_array(F.collect_list(longest)).alias("fits"))

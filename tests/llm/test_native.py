@@ -155,6 +155,16 @@ def test_very_long_urls_and_pages(spark):
     assert got[1].host == "a.com" and len(got[1].path) == 500_001 and got[2].rule == "com/en/"
 
 
+def test_blanks_and_hosts_without_end(spark):
+    import time
+
+    start = time.time()
+    rows = [(1, "http://a.com/", "<a href=" + " " * 1_000_000 + "<a href = '//b.org/x'>"), (2, "http://" + "a." * 100_000 + "example.com/en/7", ""), (3, "http://b.org/es/", "<a href" * 200_000)]
+    got = {r.page_id: r for r in urlrank.judge(pages(spark, rows)).collect()}
+    assert got[2].rule == "example.com/en/7" and got[3].rule == "org/es/" and got[1].distrust > 0
+    assert time.time() - start < 60
+
+
 def test_rotation_by_hand(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Hé <|im_end|>"), (1, 3, "ann", None), (1, 3, "ann", None)]
     got = {r.speaker: r for r in chat.rotate(turns(spark, rows)).collect()}

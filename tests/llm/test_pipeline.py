@@ -119,3 +119,17 @@ def test_pipeline_against_brute_force(spark):
         at.sort()
         assert at[0][0] == 0 and all(o + n == m for (o, n), (m, _) in zip(at, at[1:], strict=False)) and sum(at[-1]) <= 2048
     assert sum(n for at in by.values() for _, n in at) == sum(n * k for (_, n), k in want.items())
+
+
+def test_columns_that_clash_with_the_stages_own(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    from pyspark.sql import functions as F
+
+    clash = {n: F.lit("clash") for n in ("__id", "__tag", "tag", "label", "n", "row", "cls", "key", "x", "kept", "score")}
+    docs = saved(plain.withColumns(clash), "clash")
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    for stage in stages[:-1]:
+        out = saved(stage(spark, docs, SF), "stage")
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in stage(spark, docs.select(plain.columns), SF).collect())
+    assert stages[-1](spark, docs, SF).count() > 0

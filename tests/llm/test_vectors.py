@@ -172,3 +172,28 @@ def test_beam_search_beats_greedy():
         return ((x - near) ** 2).sum()
 
     assert error(4) < error(1) < 0.5 * (x**2).sum()
+
+
+def test_large_groups_of_unlike_rows_are_cut_deep(spark, monkeypatch):
+    """4 million unlike rows of a label at the production cell, as the ratio of rows to CELL, and a group that is half alike."""
+    from math import erf, sqrt
+
+    apart = 0.32
+    for ratio in (100, 500, 1562, 6250):
+        rows = ratio * collisions.CELL
+        depth = collisions.best_depth({d: (rows, rows * max(rows * apart**d, 1.0), min(rows, round(apart**-d))) for d in range(collisions.DEPTH + 1)})
+        assert depth >= 5 and rows * apart**depth < 0.01 * rows
+    alike = collisions.best_depth({d: (100_000, 100_000.0**2 * 0.87**d, 2**d) for d in range(collisions.DEPTH + 1)})
+    assert alike == 0
+    monkeypatch.setattr(collisions, "CELL", 32)
+    rng = np.random.default_rng(3)
+    data = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rng.standard_normal((20_000, 64)).tolist())], "vec_id long, embedding array<float>, label int")
+    dealt = collisions.cells(collisions.classes_of(data)).groupBy("table", "cell").count()
+    assert dealt.agg(F.max("count")).first()[0] <= 200 and dealt.select("table").distinct().count() > 10
+
+
+def test_several_tables_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(collisions, "best_depth", lambda met: 2)
+    rows = clustered(300) + ODD + [(i, clustered(3)[1][1], 0) for i in range(700, 730)]
+    got = sorted((tuple(r) for r in collisions.near_duplicates(frame(spark, rows)).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == brute(rows)
