@@ -118,10 +118,16 @@ def html_pages(heads: DataFrame) -> DataFrame:
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``allowed``: of a domain's rules (domain, kind allow|disallow, pattern) the longest that fits decides, allow on
-    ties, no rule allows. ``*`` ends a prefix pattern, ``$`` makes it exact."""
-    own = path(F.col("url"))
-    keyed = urls.withColumn("_path", own)
-    by_domain = rules.where("pattern <> ''").groupBy("domain").agg(F.collect_list(F.struct(F.length("pattern").alias("size"), (F.col("kind") == "allow").alias("allow"), "pattern")).alias("_rules"))
-    joined = keyed.join(by_domain, "domain", "left")
-    hit = F.array_max(F.filter(F.coalesce("_rules", F.array().cast("array<struct<size:int,allow:boolean,pattern:string>>")), lambda r: F.when(r["pattern"].endswith("$"), F.col("_path") == F.regexp_replace(r["pattern"], r"\$$", "")).otherwise(F.startswith(F.col("_path"), F.regexp_replace(r["pattern"], r"\*+$", "")))))
-    return joined.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("_path", "_rules")
+    ties, no rule allows. ``*`` ends a prefix pattern, ``$`` makes it exact. A row carries the few lengths that its domain's rules have,
+    never the rules: its path's beginnings of those lengths meet the rules by an equi-join."""
+    exact = F.endswith("pattern", F.lit("$"))
+    bare = F.when(exact, F.regexp_replace("pattern", r"\$$", "")).otherwise(F.regexp_replace("pattern", r"\*+$", ""))
+    told = rules.where("pattern <> ''").select("domain", exact.alias("_exact"), bare.alias("_start"), F.struct(F.length("pattern").alias("size"), (F.col("kind") == "allow").alias("allow")).alias("_rule"))
+    best = told.groupBy("domain", "_exact", "_start").agg(F.max("_rule").alias("_rule"))
+    lengths = best.select("domain", F.struct(F.length("_start").alias("size"), F.col("_exact").alias("exact")).alias("x")).groupBy("domain").agg(F.collect_set("x").alias("_lengths"))
+    row = F.struct(*[F.col(c) for c in urls.columns])
+    keyed = urls.select("domain", row.alias("_row"), path(F.col("url")).alias("_path"), F.monotonically_increasing_id().alias("_id")).join(lengths, "domain", "left")
+    own = F.filter("_lengths", lambda x: F.when(x["exact"], x["size"] == F.length("_path")).otherwise(x["size"] <= F.length("_path")))
+    each = keyed.select("domain", "_row", "_id", "_path", F.explode_outer(own).alias("_x")).select("domain", "_row", "_id", F.col("_x.exact").alias("_exact"), F.expr("substring(_path, 1, _x.size)").alias("_start"))
+    met = each.join(best, ["domain", "_exact", "_start"], "left").groupBy("_id").agg(F.first("_row").alias("_row"), F.max("_rule").alias("_rule"))
+    return met.select("_row.*", F.coalesce("_rule.allow", F.lit(True)).alias("allowed"))

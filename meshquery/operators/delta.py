@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..catalog import NODE_FLAGS
 
@@ -76,6 +77,10 @@ def stripped(nodes: DataFrame, vector: str = "features") -> DataFrame:
     return nodes.withColumn(vector, clean)
 
 
+#: Files a push writes for a site at most.
+FILES = 8
+
+
 class Registry:
     """Snapshots and deltas of many sites as partitioned Parquet under one folder; partition listing is the index."""
 
@@ -83,10 +88,12 @@ class Registry:
         self.spark, self.path = spark, path.rstrip("/")
 
     def push(self, nodes: DataFrame, delta: DataFrame | None = None) -> None:
-        """Replaces the snapshots of the sites in ``nodes`` and appends their delta."""
-        nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(f"{self.path}/snapshots")
+        """Replaces the snapshots of the sites in ``nodes`` and appends their delta. A site goes to at most FILES files."""
+        told = lambda df: [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+        dealt = lambda df: df.repartition("domain", F.pmod(F.xxhash64(*told(df)), F.lit(FILES)))
+        dealt(nodes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(f"{self.path}/snapshots")
         if delta is not None:
-            delta.write.mode("append").partitionBy("domain").parquet(f"{self.path}/deltas")
+            dealt(delta).write.mode("append").partitionBy("domain").parquet(f"{self.path}/deltas")
 
     def pull(self, domain: str | None = None) -> DataFrame:
         out = self.spark.read.parquet(f"{self.path}/snapshots")

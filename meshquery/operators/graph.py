@@ -246,9 +246,9 @@ def path_edges(nodes: DataFrame) -> DataFrame:
     tree = tree.unionByName(own.where("parent <> '/'").join(parents, ["domain", "parent"]).where("src <> node_id").select("domain", "src", F.col("node_id").alias("dst"))).distinct()
     down = tree.select("domain", "src", "dst", F.lit(2).alias("weight"))
     up = tree.select("domain", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(3).alias("weight"))
-    family = W.partitionBy("domain", "parent")
-    order = family.orderBy("node_id")
-    ring = own.where("path <> '/'").withColumn("n", F.count("*").over(family)).where("n between 2 and 100").withColumn("at", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("node_id").over(order), F.first("node_id").over(order))).where("at <= 20")
+    order = W.partitionBy("domain", "parent").orderBy("node_id")
+    families = own.where("path <> '/'").groupBy("domain", "parent").agg(F.count("*").alias("n")).where("n between 2 and 100").drop("n")
+    ring = own.where("path <> '/'").join(families, ["domain", "parent"], "left_semi").withColumn("at", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("node_id").over(order), F.first("node_id").over(order))).where("at <= 20")
     side = ring.where("node_id <> next").select("domain", F.col("node_id").alias("src"), F.col("next").alias("dst"), F.lit(1).alias("weight"))
     kind = F.lit(EDGE_TYPE["navigation"]).alias("edge_type")
     return down.unionByName(up).unionByName(side).groupBy("domain", "src", "dst").agg(F.min("weight").alias("weight")).select("domain", "src", "dst", kind, "weight")
@@ -261,18 +261,24 @@ def crumb_edges(crumbs: DataFrame) -> DataFrame:
 
 
 def diverse_sample(nodes: DataFrame, n: int, by: str = "page_type") -> DataFrame:
-    """Round-robin over groups: everyone's first row, then everyone's second, up to n."""
-    w = W.partitionBy(by).orderBy("node_id")
-    return nodes.withColumn("_turn", F.row_number().over(w)).orderBy("_turn", by, "node_id").limit(n).drop("_turn")
+    """Round-robin over groups: everyone's first row, then everyone's second, up to n. Up to a thousand, Spark keeps n rows of each group
+    before they move; beyond, rows are ranked by a range sort. No group is one task's input either way."""
+    from .ranks import ranked
+
+    if n <= 1000:
+        turns = nodes.withColumn("_turn", F.row_number().over(W.partitionBy(by).orderBy("node_id"))).where(F.col("_turn") <= n)
+    else:
+        turns = ranked(nodes, [by], [F.asc("node_id")], "_turn").where(F.col("_turn") < n)
+    return turns.orderBy("_turn", by, "node_id").limit(n).drop("_turn")
 
 
 def render_order(nodes: DataFrame, n: int) -> DataFrame:
     """Unrendered pages worth rendering next: 2 x inbound + 10 / (1 + extra path depth) + 5 for types with under two rendered."""
     rendered = F.col("flags").bitwiseAND(NODE_FLAGS["rendered"]) != 0
-    seen = F.sum(rendered.cast("int")).over(W.partitionBy("domain", "page_type"))
+    seen = nodes.groupBy("domain", "page_type").agg(F.count_if(rendered).alias("_seen"))
     slashes = F.length(F.regexp_replace("url", "[^/]", ""))
     score = 2 * F.col("inbound_count") + 10.0 / (1 + F.greatest(F.lit(0), slashes - 2)) + F.when(F.col("_seen") < 2, 5).otherwise(0)
-    return nodes.withColumn("_seen", seen).where(~rendered).withColumn("priority", score).orderBy(F.desc("priority"), "domain", "node_id").limit(n).drop("_seen")
+    return nodes.where(~rendered).join(seen, ["domain", "page_type"]).withColumn("priority", score).orderBy(F.desc("priority"), "domain", "node_id").limit(n).select(*nodes.columns, "priority")
 
 
 def refresh_set(nodes: DataFrame, ids: list[int] | None = None, clusters: tuple[DataFrame, int] | None = None, below: float | None = None) -> DataFrame:

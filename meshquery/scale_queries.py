@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import catalog_queries, operator_queries  # noqa: F401
 from .catalog_queries import _query, _sql, table
-from .operators import paths, ranks, timeseries
+from .functions import urls
+from .operators import graph, hash_tree, paths, ranks, timeseries
+from .sources import html_data, json_data
 
 _LAGS = """
     s AS (SELECT k, i, t, v - avg(v) OVER (PARTITION BY k) AS c, var_pop(v) OVER (PARTITION BY k) AS var, count(*) OVER (PARTITION BY k) AS n, min(t) OVER (PARTITION BY k) AS t0, max(t) OVER (PARTITION BY k) AS t1 FROM p),
@@ -93,3 +95,61 @@ def paths_found(spark: SparkSession, d: str) -> DataFrame:
     each = found.select("domain", "source", "target", "cost", F.explode(pairs).alias("x")).select("domain", "source", "target", "cost", "x.*")
     sums = each.join(steps, ["domain", "src", "dst"], "left").groupBy("domain", "source", "target").agg(F.first("cost").alias("cost"), F.sum("step").alias("sum"))
     return sums.select("domain", "source", "target", "cost", (F.col("sum") == F.col("cost")).alias("whole"))
+
+
+@_query("registries_compared", """
+    SELECT c_custkey::VARCHAR AS domain, CASE WHEN c_custkey % 101 = 1 THEN 'removed' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 97 = 0 OR c_custkey % 101 = 1
+    UNION ALL SELECT 'new' || c_custkey, 'added' FROM customer WHERE c_custkey % 89 = 2""")
+def registries_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Two registries of a site per customer, compared through their trees of hashes."""
+    key = F.col("c_custkey")
+    old = table(spark, d, "customer").select(key.cast("string").alias("domain"), F.md5(F.concat_ws("|", "c_name", "c_acctbal")).alias("digest"), "c_custkey")
+    new = old.where(key % 101 != 1).withColumn("digest", F.when(key % 97 == 0, F.md5("digest")).otherwise(F.col("digest"))).unionByName(old.where(key % 89 == 2).withColumn("domain", F.concat(F.lit("new"), "domain")))
+    at = [graph.shared_path(spark, "registry") for _ in range(2)]
+    hash_tree.write(old, at[0], 3)
+    hash_tree.write(new, at[1], 3)
+    return hash_tree.differences(spark, *at, 3)
+
+
+def _ld_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per part with its JSON-LD in one of five shapes."""
+    key, kinds = F.col("p_partkey"), list(html_data.LD_PAGES)
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (key % len(kinds) + 1).cast("int"))
+    price = F.format_string("%.2f", "p_retailprice")
+    offer = lambda p: F.concat(F.lit('{"price":'), p, F.lit(',"priceCurrency":"EUR","availability":"https://schema.org/InStock"}'))
+    quoted = F.concat(F.lit('"'), price, F.lit('"'))
+    product = lambda o: F.concat(F.lit('{"@type":"Product","name":"'), "p_name", F.lit('","offers":'), o, F.lit(',"aggregateRating":{"ratingValue":"4.5","reviewCount":'), F.col("p_size").cast("string"), F.lit("}}"))
+    other = F.concat(F.lit('{"@type":["'), kind, F.lit('","Thing"]}'))
+    shapes = [product(offer(price)), F.concat(F.lit("["), product(offer(quoted)), F.lit(","), other, F.lit("]")), F.concat(F.lit('{"@context":"x","@graph":['), product(F.concat(F.lit("["), offer(price), F.lit("]"))), F.lit(","), other, F.lit("]}")), other, F.lit('{"@type":"Product"')]
+    data = F.element_at(F.array(*shapes), (key % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("<head><script type='application/ld+json'>\n"), data, F.lit("</script></head>")).alias("html"))
+
+
+@_query("products_in_json", """
+    SELECT p_partkey, p_name AS name, round(p_retailprice, 2) AS price, 'EUR' AS currency, 'InStock' AS availability, 4.5::DOUBLE AS rating, p_size::BIGINT AS reviews FROM part WHERE p_partkey % 5 < 3""")
+def products_in_json(spark: SparkSession, d: str) -> DataFrame:
+    return json_data.products(_ld_pages(spark, d), "p_partkey")
+
+
+@_query("page_types_in_json", """
+    WITH k AS (SELECT ['product', 'article', 'newsarticle', 'blogposting', 'faqpage', 'aboutpage', 'contactpage', 'collectionpage', 'searchresultspage', 'itemlist', 'offerlist', 'checkoutpage', 'profilepage', 'mediagallery', 'imageobject', 'videoobject', 'discussionforumposting', 'review'] AS kinds,
+                      [4, 5, 5, 5, 30, 28, 29, 2, 2, 3, 3, 9, 11, 14, 14, 14, 23, 16] AS codes)
+    SELECT p_partkey, kinds[p_partkey % 18 + 1] AS kind, codes[p_partkey % 18 + 1]::INT AS page_type FROM part, k WHERE p_partkey % 5 BETWEEN 1 AND 3""")
+def page_types_in_json(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("thing")
+    return json_data.things(_ld_pages(spark, d), "p_partkey").where(F.get(F.split(json_data.text_at(t, "$['@type'][1]"), ","), F.lit(0)) == "Thing").select("p_partkey", json_data.kind_of(t).alias("kind"), json_data.page_type_of(t).alias("page_type"))
+
+
+@_query("rules_of_one_site", """
+    SELECT p_partkey, CASE WHEN p_partkey % 100 = 0 THEN true WHEN p_partkey % 10 = 7 THEN false WHEN (p_partkey // 10) % 3 = 1 THEN false ELSE true END AS allowed FROM part""")
+def rules_of_one_site(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for every tenth of a site's paths and exact ones besides: as many rules as a site of parts has sections."""
+    key = F.col("p_partkey")
+    pages = table(spark, d, "part").select("p_partkey", F.lit("shop.test").alias("domain"), F.concat(F.lit("https://shop.test/s"), F.floor(key / 10).cast("string"), F.lit("/p"), key.cast("string")).alias("url"))
+    sections = table(spark, d, "part").select(F.floor(key / 10).alias("n")).distinct()
+    rule = lambda kind, pattern: F.struct(F.lit("shop.test").alias("domain"), F.lit(kind).alias("kind"), F.concat(*pattern).alias("pattern"))
+    n = F.col("n").cast("string")
+    closed = sections.where(F.col("n") % 3 == 1).select(F.inline(F.array(rule("disallow", (F.lit("/s"), n, F.lit("/*"))))))
+    sevens = sections.select(F.inline(F.array(rule("disallow", (F.lit("/s"), n, F.lit("/p"), (F.col("n") * 10 + 7).cast("string"), F.lit("$"))))))
+    opened = sections.where(F.col("n") % 10 == 0).select(F.inline(F.array(rule("allow", (F.lit("/s"), n, F.lit("/p"), (F.col("n") * 10).cast("string"))))))
+    return urls.robots_allowed(pages, closed.unionByName(sevens).unionByName(opened)).select("p_partkey", "allowed")
