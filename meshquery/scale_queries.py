@@ -9,7 +9,8 @@ from . import catalog_queries, operator_queries  # noqa: F401
 from .catalog_queries import _query, _sql, table
 from .functions import urls
 from .operators import graph, hash_tree, paths, ranks, timeseries
-from .sources import html_data, json_data
+from .sources import html_data, json_data, xml_files
+from .streaming import feeds
 
 _LAGS = """
     s AS (SELECT k, i, t, v - avg(v) OVER (PARTITION BY k) AS c, var_pop(v) OVER (PARTITION BY k) AS var, count(*) OVER (PARTITION BY k) AS n, min(t) OVER (PARTITION BY k) AS t0, max(t) OVER (PARTITION BY k) AS t1 FROM p),
@@ -153,3 +154,35 @@ def rules_of_one_site(spark: SparkSession, d: str) -> DataFrame:
     sevens = sections.select(F.inline(F.array(rule("disallow", (F.lit("/s"), n, F.lit("/p"), (F.col("n") * 10 + 7).cast("string"), F.lit("$"))))))
     opened = sections.where(F.col("n") % 10 == 0).select(F.inline(F.array(rule("allow", (F.lit("/s"), n, F.lit("/p"), (F.col("n") * 10).cast("string"))))))
     return urls.robots_allowed(pages, closed.unionByName(sevens).unionByName(opened)).select("p_partkey", "allowed")
+
+
+@_query("sitemap_files", """
+    SELECT 'https://shop.test/p?a=1&b=' || p_partkey AS url, CASE WHEN p_size % 3 = 0 THEN NULL ELSE '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') END AS lastmod, CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE p_size / 100.0 END::DOUBLE AS priority FROM part""")
+def sitemap_files(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemaps of all parts, written as XML and read back by entries."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    day = F.when(size % 3 != 0, F.concat(F.lit("<lastmod>2024-01-"), F.lpad((size % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise("")
+    share = F.when(size % 2 != 0, F.concat(F.lit("<priority>"), (size / 100.0).cast("string"), F.lit("</priority>"))).otherwise("")
+    line = F.concat(F.lit("<url>\n <loc>https://shop.test/p?a=1&amp;b="), key, F.lit("</loc>\n"), day, share, F.lit("</url>"))
+    path = graph.shared_path(spark, "sitemaps")
+    table(spark, d, "part").select(line.alias("value")).write.text(path)
+    return xml_files.sitemap_files(spark, path).select("url", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod"), "priority")
+
+
+@_query("stream_alerts_late", """
+    WITH l AS (SELECT event_type AS domain, user_id::VARCHAR AS url, ts, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, value) AS before FROM events)
+    SELECT CASE WHEN domain = 'click' THEN 'r1' ELSE 'r2' END AS id, domain, url, epoch_us(ts)::BIGINT AS at, before, value FROM l WHERE (domain = 'click' AND value > 50 AND before <= 50) OR (domain = 'view' AND value < 20 AND before >= 20)""")
+def stream_alerts_late(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts on events that arrive out of order in several batches: the same as those of the whole table."""
+    path = graph.shared_path(spark, "arriving")
+    events = table(spark, d, "events").select(F.col("event_type").alias("domain"), F.col("user_id").cast("string").alias("url"), F.lit("value").alias("field"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+    last = events.agg(F.max("ts").alias("last"), F.max("event_id").alias("top"), F.count("*").alias("n")).first()
+    rank = (F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(last.top // 10 + 1))) * 4 / F.lit(last.top * 1.11 + 1)  # late by up to a tenth
+    for batch in range(4):
+        events.where(F.floor(rank) == batch).drop("event_id").write.mode("append").parquet(path)
+    for turn in range(2):  # the feed's end, twice: time passes, then what waited for it comes out
+        spark.range(1).select(F.lit("end").alias("domain"), F.lit(str(turn)).alias("url"), F.lit("value").alias("field"), (F.lit(last.last) + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(0.0).alias("value")).write.mode("append").parquet(path)
+    rules = spark.createDataFrame([("r1", "click", "value", "value_above", 50.0, True), ("r2", "view", "value", "value_below", 20.0, True)], "id string, domain string, field string, condition string, threshold double, active boolean")
+    points = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
+    out = catalog_queries._drained(spark, feeds.alert_stream(points, rules, "200 days"), "append")
+    return out.select("id", "domain", "url", F.unix_micros("ts").alias("at"), "before", "value")

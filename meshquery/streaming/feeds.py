@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..operators.timeseries import PERIODS
 
@@ -79,16 +79,61 @@ class LastValue(StatefulProcessor):
         pass
 
 
+class OrderedValues(StatefulProcessor):
+    """Holds a series' points until the watermark has passed them, then gives each with the one before it in event time: however points
+    arrive, and in whatever batches, the steps are those of the whole series. A batch sets one timer per series."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", StructType([StructField("value", DoubleType())]))
+        self.held = handle.getListState("held", StructType([StructField("us", LongType()), StructField("value", DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        newest = None
+        for pdf in rows:
+            self.held.appendList(list(zip(pdf.us.astype("int64").tolist(), pdf.value.astype("float64").tolist(), strict=True)))
+            newest = max(int(pdf.us.max()), newest if newest is not None else int(pdf.us.max()))
+        if newest is not None:
+            self.handle.registerTimer(newest // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due, later = [], []
+        for us, value in self.held.get():
+            (due if us < limit else later).append((us, value))
+        self.held.clear()
+        if later:
+            self.held.put(later)
+        if due:
+            due.sort()
+            before = [self.last.get()[0] if self.last.exists() else None, *[v for _, v in due[:-1]]]
+            self.last.update((due[-1][1],))
+            yield pd.DataFrame({"domain": key[0], "url": key[1], "field": key[2], "us": [us for us, _ in due], "before": pd.array(before, dtype="Float64"), "value": [v for _, v in due]})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_steps(points: DataFrame, lateness: str) -> DataFrame:
+    """(domain, url, field, ts, before, value) of a stream of points in event time. A point may be late by ``lateness``; its step is given
+    when the stream's time has passed it by as much. Points of one time go by value, as in the batch query."""
+    told = timestamped(points).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness).groupBy("domain", "url", "field")
+    out = told.transformWithStateInPandas(OrderedValues(), "domain string, url string, field string, us long, before double, value double", "append", "EventTime")
+    return out.select("domain", "url", "field", F.timestamp_micros("us").alias("ts"), "before", "value")
+
+
 def steps(points: DataFrame) -> DataFrame:
     """(domain, url, field, ts, before, value) of a stream of points; needs the RocksDB state store."""
     return timestamped(points).groupBy("domain", "url", "field").transformWithStateInPandas(LastValue(), "domain string, url string, field string, ts timestamp, before double, value double", "append", "None")
 
 
-def alert_stream(points: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alerts of active rules on a stream of points: state per series, then a join with the rules."""
+def alert_stream(points: DataFrame, rules: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Alerts of active rules on a stream of points: state per series, then a join with the rules. With ``lateness`` points are taken in event
+    time (``ordered_steps``), else as they come."""
     from ..operators.timeseries import fires
 
-    met = steps(points).join(rules.where("active").drop("active"), ["domain", "field"])
+    met = (steps(points) if lateness is None else ordered_steps(points, lateness)).join(rules.where("active").drop("active"), ["domain", "field"])
     return met.where(F.coalesce(fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "domain", "url", "field", "ts", "before", "value")
 
 
@@ -103,7 +148,8 @@ def append_rotating(stream: DataFrame, path: str, checkpoint: str, batches: int
 
 def collected_every(stream: DataFrame, path: str, checkpoint: str, keys: list[str], keep: int, ticks: int = 12, every: str | None = None):
     """Gathers a stream of rows with ``ts`` under ``path``; every ``ticks`` micro-batches what is there becomes a new version with the
-    newest ``keep`` of each key (the version before goes last, so a reader always has one)."""
+    newest ``keep`` of each key. Readers take ``collected``: a version is published when it is whole, and the one before it is
+    removed at the next turn, so that nobody loses what they read."""
     from ..operators.delta import keep_last
 
     def put(rows: DataFrame, batch: int) -> None:
@@ -113,11 +159,26 @@ def collected_every(stream: DataFrame, path: str, checkpoint: str, keys: list[st
             spark = rows.sparkSession
             older = spark.read.schema(rows.schema).parquet(f"{path}/version={version - 1}/batch=*")
             keep_last(older, keys, keep).write.mode("overwrite").parquet(f"{path}/version={version}/batch={batch - 1}")
+            spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/_published")
+            _remove(spark, f"{path}/version={version - 2}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def collected(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``collected_every`` has gathered: the rows of the version published last, and of no other."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_published")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    version = (spark.read.schema("version long").parquet(f"{path}/_published").agg(F.max("version")).first()[0] if found else None) or 0
+    return spark.read.schema(schema).parquet(f"{path}/version={version}/batch=*")
+
+
 class ProgressEvents(StreamingQueryListener):
     """Turns the progress of streaming queries into events (type, name, batch, rows) for a callback."""
 

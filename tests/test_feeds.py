@@ -58,3 +58,40 @@ def test_progress_becomes_events(spark, tmp_path):
         spark.streams.removeListener(listener)
     assert [e["type"] for e in seen if e["name"] in ("told", None)][0] == "runtime_started" and seen[-1]["type"] == "runtime_stopped"
     assert sum(e["rows"] or 0 for e in seen) == 4
+
+
+POINTS = "domain string, url string, field string, ts timestamp, value double"
+
+
+def test_late_points_give_the_alerts_of_the_batch_query(spark, tmp_path):
+    import random
+
+    from meshquery.operators import timeseries
+
+    rng = random.Random(6)
+    points = [{"domain": "d", "url": f"u{i % 3}", "field": "f", "ts": f"2024-01-01T{i // 60:02d}:{i % 60:02d}:00Z", "value": float(rng.randrange(100))} for i in range(240)]
+    points += [dict(points[7], value=3.0)]  # two points of one time
+    rules = spark.createDataFrame([("r1", "d", "f", "value_above", 50.0, True), ("r2", "d", "f", "value_below", 20.0, True), ("r3", "d", "f", "change_by_percent", 0.5, True)], "id string, domain string, field string, condition string, threshold double, active boolean")
+    ended = {"domain": "end", "url": "u", "field": "f", "ts": "2024-01-03T00:00:00Z", "value": 0.0}
+    frame = spark.read.schema(POINTS).json(spark.sparkContext.parallelize([json.dumps(p) for p in points]))
+    want = sorted(map(str, timeseries.alerts(frame, rules).select("id", "url", "ts", "before", "value").collect()))
+    for split, size in (("a", 300), ("b", 60)):
+        mixed = sorted(points, key=lambda p: (int(p["ts"][11:13]) * 60 + int(p["ts"][14:16])) + rng.uniform(0, 55))  # late by less than an hour
+        files(tmp_path / split, [mixed[i : i + size] for i in range(0, len(mixed), size)] + [[ended], [dict(ended, url="v")]])
+        source = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / split))
+        out = str(tmp_path / f"out-{split}")
+        feeds.alert_stream(source, rules, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"at-{split}")).trigger(availableNow=True).start().awaitTermination()
+        got = sorted(map(str, spark.read.parquet(out).where("domain = 'd'").select("id", "url", "ts", "before", "value").collect()))
+        assert got == want and len(want) > 50
+
+
+def test_readers_see_one_version(spark, tmp_path):
+    files(tmp_path / "in", [rows(k) for k in range(8)])
+    out = str(tmp_path / "out")
+    feeds.collected_every(stream(spark, tmp_path / "in"), out, str(tmp_path / "at"), ["user"], 3, ticks=3).awaitTermination()
+    # batches 0 to 5 leave the newest three of each user; batches 6 and 7 follow whole
+    assert sorted(r.n for r in feeds.collected(spark, out, EVENTS).collect()) == [42, 43, 50, 51, 52, 53, 60, 61, 62, 63, 70, 71, 72, 73]
+    assert not (tmp_path / "out" / "version=0").exists()
+    files(tmp_path / "in2", [rows(0)])
+    feeds.collected_every(stream(spark, tmp_path / "in2"), out + "2", str(tmp_path / "at2"), ["user"], 3, ticks=3).awaitTermination()
+    assert feeds.collected(spark, out + "2", EVENTS).count() == 4
