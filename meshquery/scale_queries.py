@@ -9,7 +9,7 @@ from . import catalog_queries, operator_queries  # noqa: F401
 from .catalog_queries import _query, _sql, table
 from .functions import urls
 from .operators import graph, hash_tree, paths, ranks, timeseries
-from .sources import html_data, json_data, xml_files
+from .sources import html_data, json_data, site_source, xml_files
 from .streaming import feeds
 
 _LAGS = """
@@ -186,3 +186,36 @@ def stream_alerts_late(spark: SparkSession, d: str) -> DataFrame:
     points = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
     out = catalog_queries._drained(spark, feeds.alert_stream(points, rules, "200 days"), "append")
     return out.select("id", "domain", "url", F.unix_micros("ts").alias("at"), "before", "value")
+
+
+def _written_sites(spark: SparkSession, d: str) -> str:
+    """A site file per brand: its parts as pages, links to the next part of the brand by number, and one action per page."""
+    part = table(spark, d, "part")
+    key = F.col("p_partkey").cast("int")
+    pages = part.select(F.col("p_brand").alias("domain"), key.alias("node_id"), F.concat(F.lit("/p/"), key.cast("string")).alias("url"), F.lit(4).alias("page_type"), (key % 256).alias("confidence"), (key % 7).alias("flags"), F.array_repeat((key % 10).cast("float"), 128).alias("features"), (key % 1000).alias("http_status"), (key % 5).alias("cluster"))
+    links = pages.select("domain", F.col("node_id").alias("src")).join(pages.select("domain", F.col("node_id").alias("dst")), "domain").where("dst > src AND dst <= src + 60").withColumns({"edge_type": F.lit(1), "weight": F.col("dst") - F.col("src"), "flags": F.lit(0)})
+    acts = pages.select("domain", "node_id", F.lit(2).alias("category"), (F.col("node_id") % 3).alias("action"), F.lit(-1).alias("target_node"), F.lit(9).alias("cost_hint"), (F.col("node_id") % 2).alias("risk"))
+    site_source.register(spark)
+    path = graph.shared_path(spark, "sites")
+    site_source.sites(pages, links, acts).write.format("sitefile").mode("append").save(path)
+    return path
+
+
+_PLACES = "n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)"
+
+
+@_query("site_source_nodes", f"WITH {_PLACES} SELECT p_brand AS domain, i::INT AS node_id, '/p/' || p_partkey AS url, (p_partkey % 256)::INT AS confidence, (p_partkey % 7)::INT AS flags, (p_partkey % 1000)::INT AS http_status, (p_partkey % 5)::INT AS cluster, (p_partkey % 10)::DOUBLE AS first FROM n")
+def site_source_nodes(spark: SparkSession, d: str) -> DataFrame:
+    read = spark.read.format("sitefile").load(_written_sites(spark, d))
+    return read.select("domain", "node_id", "url", "confidence", "flags", "http_status", "cluster", F.get("features", F.lit(0)).cast("double").alias("first"))
+
+
+@_query("site_source_edges", f"WITH {_PLACES} SELECT a.p_brand AS domain, a.i::INT AS src, b.i::INT AS dst, (b.p_partkey - a.p_partkey)::INT AS weight FROM n a JOIN n b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey AND b.p_partkey <= a.p_partkey + 60")
+def site_source_edges(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.format("sitefile").option("part", "edges").load(_written_sites(spark, d)).select("domain", "src", "dst", "weight")
+
+
+@_query("site_source_actions", f"WITH {_PLACES} SELECT p_brand AS domain, i::INT AS node_id, 2 AS category, (p_partkey % 3)::INT AS action, -1 AS target_node, 9 AS cost_hint, (p_partkey % 2)::INT AS risk FROM n WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')")
+def site_source_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Actions of three sites: the filter is the reader's."""
+    return spark.read.format("sitefile").option("part", "actions").load(_written_sites(spark, d)).where(F.col("domain").isin("Brand#1", "Brand#2", "Brand#3"))

@@ -105,29 +105,35 @@ def ctx_files(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     return slim.groupBy("domain").cogroup(links.groupBy("domain")).applyInPandas(one, "domain string, content binary")
 
 
+# Columns of the parts of a site file.
+PARTS = {
+    "nodes": "domain string, node_id int, url string, page_type int, confidence int, freshness int, flags int, content_hash bigint, rendered_at bigint, http_status int, depth int, inbound_count int, outbound_count int, feature_norm float, cluster int, features array<float>",
+    "edges": "domain string, src int, dst int, edge_type int, weight int, flags int",
+    "actions": "domain string, node_id int, category int, action int, target_node int, cost_hint int, risk int",
+}
+
+
+def site_rows(s: dict, part: str) -> pd.DataFrame:
+    """A part of a site, as PARTS has it."""
+    if part == "nodes":
+        r = s["nodes"]
+        return pd.DataFrame({"domain": s["domain"], "node_id": np.arange(len(r)), "url": s["urls"], "page_type": r["page_type"], "confidence": r["confidence"], "freshness": r["freshness"], "flags": r["flags"], "content_hash": r["content_hash"].astype(np.int64), "rendered_at": r["rendered_at"].astype(np.int64), "http_status": r["http_status"], "depth": r["depth"], "inbound_count": r["inbound"], "outbound_count": r["outbound"], "feature_norm": r["norm"], "cluster": s["clusters"], "features": list(s["features"])})
+    if part == "edges":
+        r = s["edges"]
+        return pd.DataFrame({"domain": s["domain"], "src": s["edge_src"], "dst": r["dst"].astype(np.int64), "edge_type": r["edge_type"], "weight": r["weight"], "flags": r["flags"]})
+    r = s["actions"]
+    return pd.DataFrame({"domain": s["domain"], "node_id": s["action_src"], "category": r["opcode"] >> 8, "action": r["opcode"] & 255, "target_node": r["target"], "cost_hint": r["cost"], "risk": r["risk"]})
+
+
 def ctx_rows(files: DataFrame, part: str = "nodes") -> DataFrame:
     """``nodes``, ``edges`` or ``actions`` of site files in a column ``content``."""
-    schema = {
-        "nodes": "domain string, node_id int, url string, page_type int, confidence int, freshness int, flags int, content_hash bigint, rendered_at bigint, http_status int, depth int, inbound_count int, outbound_count int, feature_norm float, cluster int, features array<float>",
-        "edges": "domain string, src int, dst int, edge_type int, weight int, flags int",
-        "actions": "domain string, node_id int, category int, action int, target_node int, cost_hint int, risk int",
-    }[part]
 
     def run(batches):
         for pdf in batches:
             for data in pdf.content:
-                s = ctx_site(bytes(data))
-                if part == "nodes":
-                    r = s["nodes"]
-                    yield pd.DataFrame({"domain": s["domain"], "node_id": np.arange(len(r)), "url": s["urls"], "page_type": r["page_type"], "confidence": r["confidence"], "freshness": r["freshness"], "flags": r["flags"], "content_hash": r["content_hash"].astype(np.int64), "rendered_at": r["rendered_at"].astype(np.int64), "http_status": r["http_status"], "depth": r["depth"], "inbound_count": r["inbound"], "outbound_count": r["outbound"], "feature_norm": r["norm"], "cluster": s["clusters"], "features": list(s["features"])})
-                elif part == "edges":
-                    r = s["edges"]
-                    yield pd.DataFrame({"domain": s["domain"], "src": s["edge_src"], "dst": r["dst"].astype(np.int64), "edge_type": r["edge_type"], "weight": r["weight"], "flags": r["flags"]})
-                else:
-                    r = s["actions"]
-                    yield pd.DataFrame({"domain": s["domain"], "node_id": s["action_src"], "category": r["opcode"] >> 8, "action": r["opcode"] & 255, "target_node": r["target"], "cost_hint": r["cost"], "risk": r["risk"]})
-
-    return files.select("content").mapInPandas(run, schema)
+                yield site_rows(ctx_site(bytes(data)), part)
+
+    return files.select("content").mapInPandas(run, PARTS[part])
 
 
 def avis_bytes(observations: list[dict], width: int, sessions: int, created: int = 0, updated: int = 0) -> bytes:
