@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog_queries, operator_queries  # noqa: F401
+from .catalog import PAGE_TYPE
 from .catalog_queries import _query, _sql, table
 from .functions import urls
-from .operators import graph, hash_tree, paths, ranks, timeseries
-from .sources import html_data, json_data, site_source, xml_files
+from .operators import compiled, graph, hash_tree, paths, ranks, timeseries
+from .sources import html_data, json_data, site_files, site_source, xml_files
 from .streaming import feeds
 
 _LAGS = """
@@ -219,3 +220,37 @@ def site_source_edges(spark: SparkSession, d: str) -> DataFrame:
 def site_source_actions(spark: SparkSession, d: str) -> DataFrame:
     """Actions of three sites: the filter is the reader's."""
     return spark.read.format("sitefile").option("part", "actions").load(_written_sites(spark, d)).where(F.col("domain").isin("Brand#1", "Brand#2", "Brand#3"))
+
+
+@_query("actions_compiled", """
+    WITH a(category, action, name, model, own) AS (VALUES (0, 0, 'click', 'Site', false), (0, 1, 'navigate', 'Site', false), (0, 2, 'scroll', 'Site', false), (0, 3, 'navigate', 'Site', false), (0, 4, 'navigate', 'Site', false),
+        (1, 0, 'submit_form', 'Site', false), (1, 1, 'search', 'Site', false), (1, 2, 'filter', 'Site', false), (1, 3, 'sort', 'Site', false), (1, 4, 'submit', 'Site', false),
+        (2, 0, 'add_to_cart', NULL, true), (2, 1, 'remove_from_cart', 'Cart', true), (2, 2, 'update_quantity', 'Cart', true), (2, 3, 'apply_coupon', 'Cart', false), (2, 4, 'checkout', 'Cart', false),
+        (3, 0, 'login', 'Site', false), (3, 1, 'logout', 'Site', false), (3, 2, 'register', 'Site', false), (3, 3, 'auth_action', 'Site', false), (3, 4, 'auth_action', 'Site', false),
+        (8, 0, 'action_08_00', NULL, false), (8, 1, 'action_08_01', NULL, false), (8, 2, 'action_08_02', NULL, false), (8, 3, 'action_08_03', NULL, false), (8, 4, 'action_08_04', NULL, false)),
+    r(name, method, endpoint, params) AS (VALUES ('search', 'GET', '/search?q={query}', 'query'), ('add_to_cart', 'POST', '/cart/add', 'node_id,quantity'), ('remove_from_cart', 'POST', '/cart/remove', 'node_id'), ('apply_coupon', 'POST', '/cart/coupon', 'code'),
+        ('checkout', 'POST', '/checkout', 'payment_method'), ('login', 'POST', '/auth/login', 'email,password'), ('filter', 'GET', '/filter', 'criteria'), ('sort', 'GET', '/sort', 'criteria')),
+    p AS (SELECT p_brand AS domain, p_partkey, [0, 1, 2, 3, 8][p_size % 5 + 1] AS category, p_partkey % 5 AS action, p_partkey % 3 AS risk, p_size % 2 = 0 AS http, CASE p_partkey % 4 WHEN 0 THEN 'Product' WHEN 1 THEN 'Cart' WHEN 2 THEN 'SearchResultsPage' END AS own FROM part),
+    m AS (SELECT p.*, a.name, a.own AS is_instance, coalesce(a.model, p.own, CASE WHEN a.category = 2 THEN 'Product' ELSE 'Site' END) AS model FROM p JOIN a USING (category, action)),
+    f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY domain, model, name ORDER BY p_partkey) = 1),
+    c AS (SELECT domain, model, name, is_instance, coalesce(r.method, CASE WHEN category < 2 THEN 'GET' ELSE 'POST' END) AS method, coalesce(r.endpoint, '/' || replace(name, '_', '-')) AS endpoint, coalesce(r.params, '') AS params, risk >= 1 OR category = 3 AS requires_auth,
+        CASE WHEN http THEN 'http' ELSE 'browser' END AS path, CASE WHEN http THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM f LEFT JOIN r USING (name))
+    SELECT * FROM c
+    UNION ALL SELECT DISTINCT domain, 'Site', 'search', false, 'GET', '/search?q={query}', 'query', false, 'http', 0.8::DOUBLE FROM p WHERE own = 'SearchResultsPage' AND domain NOT IN (SELECT domain FROM c WHERE name = 'search')
+    UNION ALL SELECT DISTINCT domain, 'Cart', 'view', false, 'GET', '/cart', '', false, 'http', 0.75::DOUBLE FROM p WHERE own = 'Cart'""")
+def actions_compiled(spark: SparkSession, d: str) -> DataFrame:
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    nodes = part.select(F.col("p_brand").alias("domain"), key.alias("node_id"), pick(key, PAGE_TYPE["product_detail"], PAGE_TYPE["cart"], PAGE_TYPE["search_results"], PAGE_TYPE["forum"]).alias("page_type"))
+    found = part.select(F.col("p_brand").alias("domain"), key.alias("node_id"), F.lit(0).alias("place"), pick(F.col("p_size"), 0, 1, 2, 3, 8).alias("category"), (key % 5).cast("int").alias("action"), (key % 3).alias("risk"), (F.col("p_size") % 2 == 0).alias("http"))
+    return compiled.compiled(found, nodes).withColumn("params", F.array_join("params.name", ","))
+
+
+@_query("robots_told", """
+    SELECT s_suppkey::VARCHAR AS domain, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END::DOUBLE AS delay, CASE WHEN s_suppkey % 2 = 0 THEN 'https://s.test/' || s_suppkey || '.xml,https://s.test/b.xml' ELSE '' END AS sitemaps FROM supplier""")
+def robots_told(spark: SparkSession, d: str) -> DataFrame:
+    key, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    delay = F.when(key % 3 == 0, F.concat(F.lit("Crawl-delay: "), (key % 7).cast("string"), F.lit("\n"))).otherwise("")
+    maps = F.when(key % 2 == 0, F.concat(F.lit("Sitemap: https://s.test/"), text, F.lit(".xml\nSitemap: https://s.test/b.xml\n"))).otherwise("")
+    files = table(spark, d, "supplier").select(text.alias("domain"), F.concat(F.lit("User-agent: *\nDisallow: /x\n"), delay, maps, F.lit("User-agent: bot\nCrawl-delay: 9\n")).alias("text"))
+    return site_files.robots_told(files).select("domain", "delay", F.array_join("sitemaps", ",").alias("sitemaps"))

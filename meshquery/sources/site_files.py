@@ -202,6 +202,17 @@ def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
     return files.select("domain", "text").mapInPandas(run, "domain string, kind string, pattern string")
 
 
+def robots_told(files: DataFrame, agent: str = "*") -> DataFrame:
+    """(domain, delay double, sitemaps array<string>) from (domain, text): seconds between two requests, null if not told, and the sitemaps."""
+
+    def run(batches):
+        for pdf in batches:
+            told = [robots(t, agent) for t in pdf.text]
+            yield pd.DataFrame({"domain": pdf.domain, "delay": pd.array([r["delay"] for r in told], dtype="Float64"), "sitemaps": [r["sitemaps"] for r in told]})
+
+    return files.select("domain", "text").mapInPandas(run, "domain string, delay double, sitemaps array<string>")
+
+
 def _tree(text: str | None):
     try:
         return ElementTree.fromstring((text or "").strip())
