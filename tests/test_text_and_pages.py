@@ -138,3 +138,18 @@ def test_rule_packs_and_page_urls(spark):
     assert [tuple(r)[1:] for r in html_data.drag_libraries(pages).collect()] == [("html5", 1, 1)]
     got = {r.found: r.source for r in html_data.page_urls(html_data.structured(pages)).collect()}
     assert got == {"https://x.com/a": "link", "https://x.com/c": "canonical", "https://x.com/s": "script"}
+
+
+def test_addresses_in_long_runs(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab@.-_ co") for _ in range(60)) for _ in range(400)] + ["x@y.co_z@w.com", "a@b.comc@d.org", "@a.co", "a@b.c"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(frame.select("i", F.transform(F.filter(text.pii_matches(F.col("t")), lambda m: m["type"] == "email"), lambda m: m["match"])).collect())
+    assert all(got[i] == re.findall(text.PII["email"], t) for i, t in enumerate(texts))
+    start = time.time()
+    long = spark.createDataFrame([("A" * 1_000_000 + " x@y.org",), ("a" * 500_000 + "@",)], "t string")
+    assert [r[0] for r in long.select(text.has_pii(F.col("t"))).collect()] == [True, False] and time.time() - start < 20
