@@ -254,3 +254,22 @@ def robots_told(spark: SparkSession, d: str) -> DataFrame:
     maps = F.when(key % 2 == 0, F.concat(F.lit("Sitemap: https://s.test/"), text, F.lit(".xml\nSitemap: https://s.test/b.xml\n"))).otherwise("")
     files = table(spark, d, "supplier").select(text.alias("domain"), F.concat(F.lit("User-agent: *\nDisallow: /x\n"), delay, maps, F.lit("User-agent: bot\nCrawl-delay: 9\n")).alias("text"))
     return site_files.robots_told(files).select("domain", "delay", F.array_join("sitemaps", ",").alias("sitemaps"))
+
+
+@_query("stream_fed", "SELECT event_type AS type, 'u' || user_id AS domain, (epoch_us(ts) // 1000)::BIGINT AS at, props AS payload FROM events")
+def stream_fed(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as JSON files, read as a feed in several batches."""
+    path = graph.shared_path(spark, "feed")
+    events = table(spark, d, "events").select(F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("domain"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("payload"))
+    events.repartition(6, "domain").write.json(path)
+    out = catalog_queries._drained(spark, feeds.event_feed(spark, path, files_per_trigger=2), "append")
+    return out.select("type", "domain", F.unix_millis("ts").alias("at"), "payload")
+
+
+@_query("stream_deltas", "SELECT c_mktsegment AS domain, '/c/' || c_custkey AS url, CASE WHEN c_custkey % 3 = 0 THEN 'remove' ELSE 'modify' END AS op, count(*) AS n FROM customer GROUP BY ALL")
+def stream_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """A feed of deltas, gathered."""
+    path, key = graph.shared_path(spark, "deltas"), F.col("c_custkey")
+    table(spark, d, "customer").select(F.col("c_mktsegment").alias("domain"), F.concat(F.lit("/c/"), key.cast("string")).alias("url"), F.when(key % 3 == 0, "remove").otherwise("modify").alias("op")).write.json(path)
+    out = catalog_queries._drained(spark, feeds.delta_feed(spark, path, "domain string, url string, op string"), "append")
+    return out.groupBy("domain", "url", "op").agg(F.count("*").alias("n"))
