@@ -6,8 +6,11 @@ potential that depends on both labels and on the kind of child. Sum-product mess
 give exact marginals; the text of nodes whose marginal is at least one half is the page's main text.
 
 The weights maximise the conditional likelihood of labelled pages (AdaGrad; the gradient needs the same messages). The
-labelled pages are made by ``labelled_pages``, a seeded generator of many page layouts with known labels; other labelled
-pages can be given to ``train``.
+labelled pages are made by ``labelled_pages``, a seeded generator of many page layouts with known labels, and by
+``unnamed_pages``, the same layouts without the names and tags that tell an article; other labelled pages can be given to
+``train``. On a page where nothing is named as content, features have weights of their own and tell more of a node's place:
+before or after the first heading and how far up its container is, how many siblings are built alike, and which words a
+short block begins with.
 
 The parser is forgiving: unclosed tags, implied ends, stray quotes and cut-off pages are read like browsers read them.
 Scripts, styles, templates, form controls, drawings, the head and hidden elements never are text; such an element ends with
@@ -24,6 +27,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +64,16 @@ KINDS = {
     "meta": r"byline|author|date|\bmeta|tags|caption|credit",
 }
 KIND = {k: re.compile(v, re.I) for k, v in KINDS.items()}
+#: How short blocks begin that are no content.
+CUES = {
+    "comment": r"(?:\d+ )?(?:comment|repl(?:y|ies)|discussion|responses?\b)|leave a",
+    "notice": r"(?:we|this (?:site|website)) uses? cookies|cookie|accept|subscribe|sign up|join our|newsletter",
+    "ad": r"advert|sponsored|promot",
+    "side": r"related|recommended|popular|trending|more (?:from|stories)|read (?:more|next)|you (?:may|might)",
+    "share": r"share|follow|tweet",
+    "foot": r"©|\(c\)|copyright|all rights",
+}
+CUE = re.compile(r"\s*(?:" + "|".join(f"(?P<{k}>{v})" for k, v in CUES.items()) + ")", re.I)
 BOILER = frozenset("nav header footer aside form menu search dialog fieldset".split())
 _marks: dict[str, tuple[str, ...]] = {}
 
@@ -215,7 +229,44 @@ class Tree:
             rows.append(row)
             boiler = tag in BOILER or any(k != "content" and k != "meta" for k in kinds)
             edges.append("boiler" if boiler else "content" if tag in ("article", "main") or "content" in kinds else "plain")
-        return rows, edges
+        if any(e == "content" for e in edges):
+            return rows, edges
+        return self._placed(rows, below), ["unnamed boiler" if e == "boiler" else "unnamed" for e in edges]
+
+    def _placed(self, rows: list[list[str]], below: list[int]) -> list[list[str]]:
+        """Features of a page where nothing is named as content: those given, and those of each node's place."""
+        n = len(self.tag)
+        head = next((self.tag.index(t) for t in ("h1", "h2", "h3") if t in self.tag), None)
+        levels, node = {}, head  # nodes above the first heading: how far up
+        while node is not None and node >= 0:
+            levels[node] = len(levels)
+            node = self.parent[node]
+        inside: list[list[str]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            if len(inside[self.parent[i]]) < 6:
+                inside[self.parent[i]].append(self.tag[i])
+        shape = [(self.parent[i], self.tag[i], *inside[i]) for i in range(n)]
+        alike = Counter(shape)
+        first = [""] * n
+        for i, words in self.runs:
+            if not first[i] and not (said := "".join(words)).isspace():
+                first[i] = said[:40]
+        for i in range(n - 1, 0, -1):  # a block begins with the words of its first child, if it has none before
+            first[self.parent[i]] = first[i] or first[self.parent[i]]
+        near = [0] * n
+        for i in range(n):
+            near[i] = levels[i] if i in levels else near[self.parent[i]] if i else 99
+            if head is None:
+                place = "none"
+            elif i in levels:
+                place = f"above {min(3, levels[i])}"
+            else:
+                place = f"{'before' if i < head else 'after'} {min(3, near[i])}"
+            row = [f"place {place}", f"place {place} {self.tag[i]}", f"alike {min(4, alike[shape[i]])} {self.tag[i]}", f"below {min(6, int(math.log10(below[i] + 1) * 2))}"]
+            if below[i] < 600 and (cue := CUE.match(first[i])):
+                row.append(f"cue {cue.lastgroup}")
+            rows[i] = [f"unnamed {f}" for f in rows[i] + row]
+        return rows
 
     def text(self, keep) -> str:
         out = []
@@ -226,7 +277,7 @@ class Tree:
         return " ".join(out)
 
 
-EDGES = ("plain", "boiler", "content")
+EDGES = ("plain", "boiler", "content", "unnamed", "unnamed boiler")
 
 
 def marginals(unary: list[float], parent: list[int], edges: list[str], pair: dict) -> tuple[list[float], list[list[list[float]]], float]:
@@ -430,13 +481,51 @@ def labelled_pages(count: int = 400, seed: int = 20_240_605) -> list[str]:
     return pages
 
 
+#: What a block of each kind may begin with on pages without names.
+LEADS = {
+    "comment": ("Comments", "3 comments", "Replies", "Discussion"), "notice": ("We use cookies.", "Subscribe", "Sign up", "Newsletter"), "ad": ("Advertisement", "Sponsored"),
+    "side": ("Related", "Popular", "Read next", "You may also like"), "share": ("Share", "Follow us"), "foot": ("Copyright", "&copy;"),
+}
+START = re.compile(r"<(/?)(nav|header|footer|aside|article|main|section|div|ul|ol|li|p)\b([^>]*)>")
+
+
+def unnamed_pages(count: int = 250, seed: int = 31_415) -> list[str]:
+    """Pages of the same layouts in which nothing is named as content: article and main are div, names are gone or hashed.
+    On most pages that holds for menus, headers, comments and so on too; their blocks may begin with telling words."""
+    r = random.Random(seed)
+    out = []
+    for page in labelled_pages(count, seed):
+        bare_tags, bare_names, hashed, leads = r.random() < 0.7, r.random() < 0.7, r.random() < 0.5, r.random() * 1.2
+        if r.random() < 0.3:
+            page = page.replace("<h1", "<h2").replace("</h1", "</h2")
+        if r.random() < 0.3:
+            page = re.sub(r"<(/?)p\b", r"<\1div", page)
+
+        def renamed(m: re.Match) -> str:
+            tag, kinds = m[2], _kinds(m[3]) if m[3] else ()  # noqa: B023
+            name = m[3].replace(' data-label="1"', "")
+            label = ' data-label="1"' if name != m[3] else ""
+            if tag in ("article", "main") or bare_tags and tag in ("nav", "header", "footer", "aside", "section"):  # noqa: B023
+                tag = "div"
+            if m[1]:
+                return f"</{tag}>"
+            if bare_names or "content" in kinds:  # noqa: B023
+                name = f' class="{r.choice("cxq")}{r.randrange(16**5):05x}"' if hashed and name else ""  # noqa: B023
+            kinds = (*kinds, *{"footer": ("foot",), "aside": ("side",)}.get(m[2], ()))
+            lead = next((r.choice(LEADS[k]) for k in kinds if k in LEADS), "") if not label and r.random() < leads else ""  # noqa: B023
+            return f"<{tag}{label}{name}>" + (f"<h3>{lead}</h3>" if lead and m[2] != "p" and r.random() < 0.6 else f"{lead} " if lead else "")
+
+        out.append(START.sub(renamed, page))
+    return out
+
+
 _fitted: list[Model] = []
 
 
 def fitted() -> Model:
-    """The model trained on the generator's pages; once per process."""
+    """The model trained on the generators' pages; once per process."""
     if not _fitted:
-        _fitted.append(train(labelled_pages()))
+        _fitted.append(train(labelled_pages() + unnamed_pages()))
     return _fitted[0]
 
 
