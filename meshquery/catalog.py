@@ -27,7 +27,7 @@ FEATURE_DIM = 128
 DIM = {
     "page_type": 0, "page_type_confidence": 1, "content_language": 2, "page_depth": 3, "is_auth_area": 4, "has_paywall": 5,
     "is_mobile_optimized": 6, "load_time": 7, "is_https": 8, "url_path_depth": 9, "url_has_query": 10, "url_has_fragment": 11,
-    "is_canonical": 12, "has_structured_data": 13, "text_density": 16, "text_length_log": 17, "heading_count": 18,
+    "is_canonical": 12, "has_structured_data": 13, "meta_robots_index": 14, "text_density": 16, "text_length_log": 17, "heading_count": 18,
     "paragraph_count": 19, "image_count": 20, "video_present": 21, "table_count": 22, "list_count": 23, "form_field_count": 24,
     "link_count_internal": 25, "link_count_external": 26, "reading_level": 29, "sentiment": 30, "structured_data_richness": 47,
     "price": 48, "price_original": 49, "discount_pct": 50, "availability": 51, "rating": 52, "review_count_log": 53,
@@ -35,7 +35,8 @@ DIM = {
     "category_price_percentile": 62, "deal_score": 63, "outbound_links": 64, "pagination_present": 65, "breadcrumb_depth": 67,
     "search_available": 69, "is_dead_end": 74, "tls_valid": 80, "cookie_consent_blocking": 88, "popup_count": 89,
     "content_freshness": 93, "action_count": 96, "safe_action_ratio": 97, "cautious_action_ratio": 98,
-    "destructive_action_ratio": 99, "auth_required_ratio": 100, "form_completeness": 101, "session_first": 112, "session_last": 127,
+    "destructive_action_ratio": 99, "auth_required_ratio": 100, "form_completeness": 101, "primary_cta_present": 106,
+    "session_first": 112, "session_last": 127,
 }
 
 # Query model names and the page type that each stands for.

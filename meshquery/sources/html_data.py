@@ -268,8 +268,9 @@ def with_page_type(data: DataFrame) -> DataFrame:
     return staged.withColumn("kind", kind).drop("_told", "_url", "_class")
 
 
-def features() -> Column:
-    """The 128 features of a page with its kind as array<float>; 0 where unknown."""
+def features(meta: bool = False) -> Column:
+    """The 128 features of a page with its kind as array<float>; 0 where unknown. With ``meta`` also what its meta tags tell: whether it
+    may be indexed, and that it has a picture."""
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     p = F.get("products", F.lit(0))
     kind = F.col("kind")
@@ -290,6 +291,9 @@ def features() -> Column:
         "outbound_links": clamp(F.size("links") / 100.0), "breadcrumb_depth": clamp(F.size("breadcrumbs") / 5.0), "is_dead_end": F.when(F.size("links") == 0, 1.0), "tls_valid": secure, "content_freshness": F.lit(1.0),
         "action_count": clamp(F.size("forms") / 20.0),
     }
+    if meta:
+        noindex = F.contains(F.try_element_at("meta", F.lit("robots")), F.lit("noindex"))
+        known |= {"meta_robots_index": F.when(F.coalesce(noindex, F.lit(False)), 0.0).otherwise(1.0), "image_count": F.when(F.try_element_at("og", F.lit("og:image")).isNotNull(), 0.1)}
     at = {DIM[k]: v for k, v in known.items()}
     return F.array(*[F.coalesce(at[i].cast("float"), F.lit(0.0).cast("float")) if i in at else F.lit(0.0).cast("float") for i in range(FEATURE_DIM)])
 
@@ -301,10 +305,10 @@ def flags() -> Column:
     return bit("has_form", F.size("forms") > 0).bitwiseOR(bit("has_price", priced)).bitwiseOR(bit("has_media", F.try_element_at("og", F.lit("og:image")).isNotNull())).bitwiseOR(F.lit(NODE_FLAGS["rendered"]))
 
 
-def nodes(data: DataFrame) -> DataFrame:
-    """Pages as graph nodes: (domain, url, page_type, confidence, flags, features, completeness)."""
+def nodes(data: DataFrame, meta: bool = False) -> DataFrame:
+    """Pages as graph nodes: (domain, url, page_type, confidence, flags, features, completeness); ``meta`` as for ``features``."""
     kind = F.col("kind")
-    return with_page_type(data).select(urls.site(F.col("url")).alias("domain"), "url", kind["page_type"].alias("page_type"), F.round(F.least(kind["confidence"], F.lit(1.0)) * 255).cast("int").alias("confidence"), flags().alias("flags"), features().alias("features"), completeness().alias("completeness"))
+    return with_page_type(data).select(urls.site(F.col("url")).alias("domain"), "url", kind["page_type"].alias("page_type"), F.round(F.least(kind["confidence"], F.lit(1.0)) * 255).cast("int").alias("confidence"), flags().alias("flags"), features(meta).alias("features"), completeness().alias("completeness"))
 
 
 def page_actions(data: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..operators.graph import written
 from . import dom as tree
 
 # Attributes, item properties and selectors that hold a field's value.
@@ -153,7 +154,8 @@ def patterns(dom: DataFrame, *kept: str) -> DataFrame:
     late = F.lit(1 << 20)
     by_text = body.select("page", late.alias("selector"), F.lit(0).alias("pre"), F.lit(0).alias("place"), F.lit("price").alias("field"), F.lit(SURE["text"]).alias("confidence"), money.alias("value"), text.price_either(money).alias("number"))
     stock = body.select("page", late.alias("selector"), F.lit(0).alias("pre"), F.lit(0).alias("place"), F.lit("availability").alias("field"), F.lit(SURE["stock_text"]).alias("confidence"), F.lit(None).cast("string").alias("value"), _first(STOCK_PHRASES, F.lower("said")).alias("number"))
-    numbers = given.withColumn("number", _number(F.col("field"), F.col("confidence"), F.col("value"))).select(by_text.columns).unionByName(by_text).unionByName(stock)
+    # saved: the filter below would repeat the long expressions of every number
+    numbers = written(given.withColumn("number", _number(F.col("field"), F.col("confidence"), F.col("value"))).select(by_text.columns).unionByName(by_text).unionByName(stock), "numbers")
     good = numbers.where(F.col("number").isNotNull() | F.col("field").isin("image", "description"))
     order = F.struct("selector", "pre", "place")
     best = lambda f: F.min_by(F.struct("value", "number", "confidence"), F.when(F.col("field") == f, order))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from meshquery import catalog_queries, operator_queries, page_queries, scale_queries  # noqa: F401
+from meshquery import catalog_queries, map_queries, operator_queries, page_queries, scale_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
