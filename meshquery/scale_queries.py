@@ -189,12 +189,21 @@ def stream_alerts_late(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "domain", "url", F.unix_micros("ts").alias("at"), "before", "value")
 
 
+def _next_links(pages: DataFrame, reach: int) -> DataFrame:
+    """(domain, src, dst) from each page to those of its site that follow within ``reach`` numbers: they lie in its block of numbers or the
+    one after, so no pair of a whole site is formed."""
+    block = F.floor(F.col("node_id") / reach)
+    near = pages.select("domain", F.col("node_id").alias("src"), F.explode(F.array(block, block + 1)).alias("block"))
+    met = near.join(pages.select("domain", F.col("node_id").alias("dst"), block.alias("block")), ["domain", "block"])
+    return met.where(f"dst > src AND dst <= src + {reach}").select("domain", "src", "dst")
+
+
 def _written_sites(spark: SparkSession, d: str) -> str:
     """A site file per brand: its parts as pages, links to the next part of the brand by number, and one action per page."""
     part = table(spark, d, "part")
     key = F.col("p_partkey").cast("int")
     pages = part.select(F.col("p_brand").alias("domain"), key.alias("node_id"), F.concat(F.lit("/p/"), key.cast("string")).alias("url"), F.lit(4).alias("page_type"), (key % 256).alias("confidence"), (key % 7).alias("flags"), F.array_repeat((key % 10).cast("float"), 128).alias("features"), (key % 1000).alias("http_status"), (key % 5).alias("cluster"))
-    links = pages.select("domain", F.col("node_id").alias("src")).join(pages.select("domain", F.col("node_id").alias("dst")), "domain").where("dst > src AND dst <= src + 60").withColumns({"edge_type": F.lit(1), "weight": F.col("dst") - F.col("src"), "flags": F.lit(0)})
+    links = _next_links(pages, 60).withColumns({"edge_type": F.lit(1), "weight": F.col("dst") - F.col("src"), "flags": F.lit(0)})
     acts = pages.select("domain", "node_id", F.lit(2).alias("category"), (F.col("node_id") % 3).alias("action"), F.lit(-1).alias("target_node"), F.lit(9).alias("cost_hint"), (F.col("node_id") % 2).alias("risk"))
     site_source.register(spark)
     path = graph.shared_path(spark, "sites")

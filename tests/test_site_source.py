@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from meshquery import scale_queries
 from meshquery.sources import site_source
 
 
@@ -45,3 +46,11 @@ def test_no_sites(spark, tmp_path):
     nodes, edges, actions = made(spark)
     site_source.sites(nodes.limit(0), edges, actions).write.format("sitefile").mode("append").save(str(tmp_path / "none"))
     assert spark.read.format("sitefile").load(str(tmp_path / "none")).count() == 0
+
+
+def test_links_to_the_next_pages_meet_by_blocks(spark):
+    pages = spark.range(400).select(F.lit("one").alias("domain"), F.col("id").cast("int").alias("node_id"))
+    links = scale_queries._next_links(pages, 60)
+    assert sorted((r.src, r.dst) for r in links.collect()) == [(i, j) for i in range(400) for j in range(i + 1, min(400, i + 61))]
+    joined = [line for line in links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joined and all("block#" in line for line in joined)
