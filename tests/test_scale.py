@@ -108,3 +108,19 @@ def test_paths_of_nothing(spark):
     edges = spark.createDataFrame([("a", 1, 2, 1, 0)], "domain string, src int, dst int, weight int, flags int")
     none = spark.createDataFrame([], "domain string, source int, target int")
     assert paths.pathfind(edges, none).count() == 0 and paths.pathfind(edges.limit(0), spark.createDataFrame([("a", 1, 2)], "domain string, source int, target int")).count() == 0
+
+
+def test_work_per_row_is_dealt_to_all_tasks(spark):
+    from meshquery import catalog_queries, operator_queries  # noqa: F401
+
+    for name in ("images_compared",):
+        assert catalog_queries.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_images_of_unlike_sizes(spark):
+    from meshquery.operators import vector
+
+    images = {1: ([[1] * 20] * 12, [[1] * 20] * 12), 2: ([[0] * 16] * 16, [[255] * 16] * 16), 3: ([[0] * 40] * 30, [[0] * 20 + [99] * 20] * 30)}
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in images.items()], "key int, a array<array<int>>, b array<array<int>>")
+    got = {r.key: (r.similarity, r.changed, [tuple(x) for x in r.regions]) for r in vector.image_diffs(pairs).collect()}
+    assert got == {k: (*(d := vector.pixel_diff(np.array(a), np.array(b)))[:2], [tuple(x) for x in d[2]]) for k, (a, b) in images.items()}
