@@ -113,7 +113,7 @@ def test_paths_of_nothing(spark):
 def test_work_per_row_is_dealt_to_all_tasks(spark):
     from meshquery import catalog_queries, operator_queries  # noqa: F401
 
-    for name in ("images_compared",):
+    for name in ("images_compared", "features_merged"):
         assert catalog_queries.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
 
 
