@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog_queries, operator_queries  # noqa: F401
 from .catalog import PAGE_TYPE
-from .catalog_queries import _query, _sql, table
+from .catalog_queries import _query, _sql, spread, table
 from .functions import urls
 from .operators import compiled, graph, hash_tree, paths, ranks, timeseries
 from .sources import html_data, json_data, site_files, site_source, xml_files
@@ -147,7 +147,7 @@ def page_types_in_json(spark: SparkSession, d: str) -> DataFrame:
 def rules_of_one_site(spark: SparkSession, d: str) -> DataFrame:
     """A rule for every tenth of a site's paths and exact ones besides: as many rules as a site of parts has sections."""
     key = F.col("p_partkey")
-    pages = table(spark, d, "part").select("p_partkey", F.lit("shop.test").alias("domain"), F.concat(F.lit("https://shop.test/s"), F.floor(key / 10).cast("string"), F.lit("/p"), key.cast("string")).alias("url"))
+    pages = spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", F.lit("shop.test").alias("domain"), F.concat(F.lit("https://shop.test/s"), F.floor(key / 10).cast("string"), F.lit("/p"), key.cast("string")).alias("url"))
     sections = table(spark, d, "part").select(F.floor(key / 10).alias("n")).distinct()
     rule = lambda kind, pattern: F.struct(F.lit("shop.test").alias("domain"), F.lit(kind).alias("kind"), F.concat(*pattern).alias("pattern"))
     n = F.col("n").cast("string")

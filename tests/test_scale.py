@@ -124,3 +124,10 @@ def test_images_of_unlike_sizes(spark):
     pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in images.items()], "key int, a array<array<int>>, b array<array<int>>")
     got = {r.key: (r.similarity, r.changed, [tuple(x) for x in r.regions]) for r in vector.image_diffs(pairs).collect()}
     assert got == {k: (*(d := vector.pixel_diff(np.array(a), np.array(b)))[:2], [tuple(x) for x in d[2]]) for k, (a, b) in images.items()}
+
+
+def test_pages_of_one_site_are_dealt_before_their_beginnings_are_made(spark):
+    from meshquery import scale_queries
+
+    plan = scale_queries.rules_of_one_site(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
