@@ -3,9 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshquery.catalog import EDGE_FLAGS, EDGE_TYPE, NODE_FLAGS, PAGE_TYPE
-from meshquery.operators import delta, graph, observations, schema, vector
+from meshquery.operators import delta, graph, observations, paths, schema, vector
 
 EDGES = "domain string, src int, dst int, edge_type int, weight int, flags int"
 NODES = "domain string, node_id int, url string, page_type int, confidence int, flags int, features array<float>"
@@ -251,3 +252,15 @@ def test_path_queries_over_whole_link_tables(spark, tmp_path):
     pairs = {(o * 4, c * 4 + 1) for o, c in orders} | {(o * 4, p * 4 + 2) for o, p, _ in lines} | {(p * 4 + 2, s * 4 + 3) for _, p, s in lines}
     want = cheapest([(a, b, 1 + (a * 7 + b) % 5) for a, b in both(pairs)], 4)
     assert run("shortest_path_weighted_all") == want and len(want) == 40 + 5 + 9 + 4
+
+
+def test_rounds_join_links_without_a_shuffle_or_a_sort_of_them(spark):
+    edges = spark.range(4).selectExpr("'a' AS domain", "id AS src", "id + 1 AS dst", "0 AS flags", "1 AS weight")
+    asked = spark.createDataFrame([("a", 0)], "domain string, source long")
+    steps = paths.kept(paths.steps_of(edges.unionByName(edges.withColumn("domain", F.lit("b"))), "weight"), asked)
+    assert {r.domain for r in steps.select("domain").distinct().collect()} == {"a"}
+    front = graph.written(spark.range(4).selectExpr("id AS src", "'a' AS domain"))
+    with graph.in_order(spark):
+        plan = front.hint("merge").join(steps, ["src", "domain"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
+    assert paths.costs(steps, asked).where("node = 4 AND cost = 4").count() == 1
