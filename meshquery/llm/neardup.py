@@ -172,32 +172,33 @@ def _print(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def linked(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
-    """Verified links (a, b) between classes, enough to connect whatever is connected."""
+    """(node, label) of the classes that have a verified link: label is the smallest class reachable. What a round finds joins the labels
+    so far, which are stars, never all links again."""
     lists = saved(inverted_lists(classes, percent), "lists")
     lists = saved(lists.join(_counted(lists, "lists-crowded"), "value", "left_semi"), "lists-shared")
     sets = saved(full_sets(classes, lists.select("cls").distinct(), docs, repeats), "sets")
     lists = saved(exact_lists(sets, percent), "lists-exact")
     heads = saved(lists.groupBy("value").agg(F.min(F.struct("u", "cls", "n", "place")).alias("head")), "heads").select("value", F.col("head.cls").alias("a"), F.col("head.n").alias("an"), F.col("head.place").alias("aplace"))
     star = lists.join(heads, "value").where(F.col("a") != F.col("cls")).where(_possible("an", "n", "aplace", "place", percent)).select("a", F.col("cls").alias("b")).distinct()
-    links = saved(verified(estimated(star, classes, percent), sets, percent), "links")
+    labels = components(saved(verified(estimated(star, classes, percent), sets, percent), "links"))
     led, more = 1, 16
     used = saved(lists.groupBy("value").agg(F.min(F.struct("u", "cls")).alias("last")), "leads-used")
     while True:
-        labels = components(links)
         named = saved(lists.join(labels, F.col("cls") == F.col("node"), "left").select("value", "cls", "n", "u", "place", F.coalesce("label", "cls").alias("label")), "lists-named")
         split = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
         split = saved(split.where((F.col("low") != F.col("high")) & (F.col("members") > led + 1)).select("value"), "values-open")
         lists = saved(named.join(split, "value", "left_semi"), "lists-open")
         if lists.isEmpty():
-            return links
+            return labels
         place_in_list = F.struct("u", "cls")
         next_ones = lists.join(used, "value").where(place_in_list > F.col("last"))
         numbered = next_ones.withColumn("at", F.row_number().over(W.partitionBy("value").orderBy("u", "cls"))).where(F.col("at") <= more)
         lead = saved(numbered.select("value", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("label").alias("alabel"), place_in_list.alias("aat")), "leads")
         used = saved(lead.groupBy("value").agg(F.max("aat").alias("last")), "leads-used")
         pairs = lead.join(lists, "value").where(place_in_list > F.col("aat")).where(F.col("label") != F.col("alabel")).where(_possible("an", "n", "aplace", "place", percent))
-        found = verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes, percent), sets, percent)
-        links = saved(links.union(found), "links")
+        found = saved(verified(estimated(pairs.select("a", F.col("cls").alias("b")).distinct(), classes, percent), sets, percent), "links")
+        if not found.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
         lists = lists.drop("label")
         led, more = led + more, min(more * 4, MOST_LEADS)
 
@@ -210,7 +211,7 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     classes = full.groupBy("f1", "f2").agg(first, F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(classes.select(F.col("first.row").alias("cls"), F.col("first.doc_id").alias("owner"), F.col("first.tag").alias("tag"), "f1", "f2", "doc", "n", "sketch"), "classes")
     repeats = not full.groupBy("doc_id", "tag").count().where("count > 1").isEmpty()
-    labels = components(linked(classes, docs, percent, repeats))
+    labels = linked(classes, docs, percent, repeats)
     member = classes.join(labels, F.col("cls") == F.col("node"), "left").select("f1", "f2", "doc", F.coalesce("label", "cls").alias("label"))
     names = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = member.join(names, "label").select("f1", "f2", "label", "component_id")

@@ -179,3 +179,12 @@ def test_pairs_just_above_the_threshold_are_found(spark):
             rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
     found = {i: c for i, _, c, _ in result(spark, rows)}
     assert all(found[i] == i - i % 2 for i in found)
+
+
+def test_components_are_made_of_new_links_only(spark, monkeypatch):
+    made, own = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: made.append(links.count()) or own(links))
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([*words, *[f"x{i}"] * (i > 1)])) for i in (1, 2, 3)], "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(docs).collect()} == {1}
+    assert made == [2]
