@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..operators.timeseries import PERIODS
 
@@ -61,55 +60,76 @@ def _fires(kind: str, threshold: float, now: float, before: float | None) -> boo
     return kind == "available" and before <= 0 < now
 
 
+# A state is a bucket's of series, not one series': a batch costs a call a bucket, however many series it has, and a call reads a share of them.
+BUCKETS, SERIES = 4096, ["domain", "url", "field"]
+NAMES = "domain array<string>, url array<string>, field array<string>"
+
+
+def bucketed(points: DataFrame, *kept: str):
+    return points.select(F.pmod(F.xxhash64(*SERIES), F.lit(BUCKETS)).cast("int").alias("bucket"), *SERIES, *kept, "value").groupBy("bucket")
+
+
+def _columns(pdf: pd.DataFrame, *numbers: str) -> tuple[list, ...]:
+    """The columns of points as a state holds them."""
+    return (*(pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in SERIES), *(pdf[c].tolist() for c in numbers))
+
+
+def _stepped(state, pdf: pd.DataFrame, at: str) -> pd.DataFrame:
+    """Points in their order, each with the value before it in its series; the state then has every series' last value."""
+    *names, values = _columns(pdf.astype({"value": "float64"}), "value")
+    *known, lasts = state.get() or ([], [], [], [])
+    last, before = dict(zip(zip(*known, strict=True), lasts, strict=True)), []
+    for name, value in zip(zip(*names, strict=True), values, strict=True):
+        before.append(last.get(name))
+        last[name] = value
+    state.update((*map(list, zip(*last, strict=True)), list(last.values())))
+    return pd.DataFrame(dict(zip(SERIES, names, strict=True)) | {at: pdf[at].to_numpy(), "before": pd.array(before, dtype="Float64"), "value": values})
+
+
 class LastValue(StatefulProcessor):
-    """Keeps a series' last value; gives each new value with the one before it, in time order."""
+    """Keeps the last values of a bucket's series; gives each new value with the one before it, in time order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("value", DoubleType())]))
+        self.last = handle.getValueState("last", f"{NAMES}, value array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        before = self.last.get()[0] if self.last.exists() else None
-        pdf = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        values = pdf.value.astype("float64").tolist()
-        befores = [before, *values[:-1]]
-        self.last.update((values[-1],))
-        yield pd.DataFrame({"domain": key[0], "url": key[1], "field": key[2], "ts": pdf.ts, "before": pd.array(befores, dtype="Float64"), "value": values})
+        yield _stepped(self.last, pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable"), "ts")
 
     def close(self) -> None:
         pass
 
 
 class OrderedValues(StatefulProcessor):
-    """Holds a series' points until the watermark has passed them, then gives each with the one before it in event time: however points
-    arrive, and in whatever batches, the steps are those of the whole series. A batch sets one timer per series."""
+    """Holds the points of a bucket's series until the watermark has passed them, then gives each with the one before it in event time: however
+    points arrive, and in whatever batches, the steps are those of the whole series. A batch sets one timer per bucket."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("value", DoubleType())]))
-        self.held = handle.getListState("held", StructType([StructField("us", LongType()), StructField("value", DoubleType())]))
+        self.last = handle.getValueState("last", f"{NAMES}, value array<double>")
+        self.held = handle.getListState("held", f"{NAMES}, us array<bigint>, value array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         newest = None
         for pdf in rows:
-            self.held.appendList(list(zip(pdf.us.astype("int64").tolist(), pdf.value.astype("float64").tolist(), strict=True)))
+            pdf = pdf.astype({"us": "int64", "value": "float64"})
+            self.held.appendValue(_columns(pdf, "us", "value"))
             newest = max(int(pdf.us.max()), newest if newest is not None else int(pdf.us.max()))
         if newest is not None:
             self.handle.registerTimer(newest // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due, later = [], []
-        for us, value in self.held.get():
-            (due if us < limit else later).append((us, value))
-        self.held.clear()
-        if later:
-            self.held.put(later)
-        if due:
-            due.sort()
-            before = [self.last.get()[0] if self.last.exists() else None, *[v for _, v in due[:-1]]]
-            self.last.update((due[-1][1],))
-            yield pd.DataFrame({"domain": key[0], "url": key[1], "field": key[2], "us": [us for us, _ in due], "before": pd.array(before, dtype="Float64"), "value": [v for _, v in due]})
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [pd.DataFrame(dict(zip([*SERIES, "us", "value"], chunk, strict=True))) for chunk in self.held.get()]
+        if not held:  # an earlier timer of this turn gave all
+            return
+        points = pd.concat(held, ignore_index=True)
+        due = points.us < limit
+        if due.any():
+            self.held.clear()
+            if not due.all():
+                self.held.appendValue(_columns(points[~due], "us", "value"))
+            yield _stepped(self.last, points[due].sort_values(["us", "value"], kind="stable", na_position="first"), "us")
 
     def close(self) -> None:
         pass
@@ -118,22 +138,25 @@ class OrderedValues(StatefulProcessor):
 def ordered_steps(points: DataFrame, lateness: str) -> DataFrame:
     """(domain, url, field, ts, before, value) of a stream of points in event time. A point may be late by ``lateness``; its step is given
     when the stream's time has passed it by as much. Points of one time go by value, as in the batch query."""
-    told = timestamped(points).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness).groupBy("domain", "url", "field")
+    told = bucketed(timestamped(points).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness), "ts", "us")
     out = told.transformWithStateInPandas(OrderedValues(), "domain string, url string, field string, us long, before double, value double", "append", "EventTime")
     return out.select("domain", "url", "field", F.timestamp_micros("us").alias("ts"), "before", "value")
 
 
 def steps(points: DataFrame) -> DataFrame:
     """(domain, url, field, ts, before, value) of a stream of points; needs the RocksDB state store."""
-    return timestamped(points).groupBy("domain", "url", "field").transformWithStateInPandas(LastValue(), "domain string, url string, field string, ts timestamp, before double, value double", "append", "None")
+    return bucketed(timestamped(points), "ts").transformWithStateInPandas(LastValue(), "domain string, url string, field string, ts timestamp, before double, value double", "append", "None")
 
 
 def alert_stream(points: DataFrame, rules: DataFrame, lateness: str | None = None) -> DataFrame:
     """Alerts of active rules on a stream of points: state per series, then a join with the rules. With ``lateness`` points are taken in event
-    time (``ordered_steps``), else as they come."""
+    time (``ordered_steps``), else as they come. Rules are saved first: a stream's plan is made once, by the sizes that are known then, and a few
+    rules are broadcast where rows of unknown size would be sorted by (domain, field), often a few keys."""
+    from ..operators.graph import written
     from ..operators.timeseries import fires
 
-    met = (steps(points) if lateness is None else ordered_steps(points, lateness)).join(rules.where("active").drop("active"), ["domain", "field"])
+    kept = written(rules.where("active").drop("active"), "rules")
+    met = (steps(points) if lateness is None else ordered_steps(points, lateness)).join(kept, ["domain", "field"])
     return met.where(F.coalesce(fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "domain", "url", "field", "ts", "before", "value")
 
 

@@ -95,3 +95,23 @@ def test_readers_see_one_version(spark, tmp_path):
     files(tmp_path / "in2", [rows(0)])
     feeds.collected_every(stream(spark, tmp_path / "in2"), out + "2", str(tmp_path / "at2"), ["user"], 3, ticks=3).awaitTermination()
     assert feeds.collected(spark, out + "2", EVENTS).count() == 4
+
+
+def test_state_calls_are_per_bucket_and_rules_are_broadcast(spark, tmp_path, monkeypatch):
+    # 600 series in 4 buckets: each series has its own steps, and no call or shuffle is per series or per kind of rule
+    monkeypatch.setattr(feeds, "BUCKETS", 4)
+    points = [{"domain": "d", "url": f"u{i}" if i else None, "field": "f", "ts": f"2024-01-01T0{t}:00:00Z", "value": float(i + 1000 * t)} for t in range(3) for i in range(600)]
+    files(tmp_path / "in", [points[:900], points[900:]])
+    rules = spark.createDataFrame([("up", "d", "f", "value_above", 1599.5, True)], "id string, domain string, field string, condition string, threshold double, active boolean")
+    for lateness in (None, "1 hour"):
+        source = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        out, at = str(tmp_path / f"out-{lateness}"), str(tmp_path / f"at-{lateness}")
+        query = feeds.alert_stream(source, rules, lateness).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        state = query.recentProgress[0]["stateOperators"][0]
+        assert state["numRowsTotal"] <= 4 * 4  # a few rows a bucket, not one or more a series
+        if lateness is None:
+            got = sorted((r.url or "", r.before, r.value) for r in spark.read.parquet(out).collect())
+            assert got == sorted((f"u{i}" if i else "", 1000.0 + i, 2000.0 + i) for i in range(600))
