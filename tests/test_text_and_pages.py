@@ -153,3 +153,15 @@ def test_addresses_in_long_runs(spark):
     start = time.time()
     long = spark.createDataFrame([("A" * 1_000_000 + " x@y.org",), ("a" * 500_000 + "@",)], "t string")
     assert [r[0] for r in long.select(text.has_pii(F.col("t"))).collect()] == [True, False] and time.time() - start < 20
+
+
+def test_page_nodes_take_no_price_from_free_text(spark, tmp_path):
+    from meshquery import catalog_queries
+
+    pages = [(1, "https://x.com/a", '<html lang="en"><p>onndan$$$ 1142126 and 3/5, in stock</p>'), (2, "https://x.com/b", '<html lang="en"><b class="price">$ 7</b>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.url[-1]: r for r in catalog_queries.queries()["page_nodes"](spark, str(tmp_path)).collect()}
+    assert got["a"].flags == NODE_FLAGS["rendered"] and [got["a"].features[DIM[c]] for c in ("price", "rating", "availability")] == [0, 0, 0]
+    assert got["b"].flags & NODE_FLAGS["has_price"] and got["b"].features[DIM["price"]] == 7.0
+    data = html_data.structured(spark.read.parquet(str(tmp_path / "pages.parquet")))
+    assert {r.url[-1]: r.flags & NODE_FLAGS["has_price"] > 0 for r in html_data.nodes(data).collect()} == {"a": True, "b": True}  # the operator's own reading stays
