@@ -264,3 +264,14 @@ def test_rounds_join_links_without_a_shuffle_or_a_sort_of_them(spark):
         plan = front.hint("merge").join(steps, ["src", "domain"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
     assert paths.costs(steps, asked).where("node = 4 AND cost = 4").count() == 1
+
+
+def test_rows_that_compress_well_stay_dealt(spark):
+    from meshquery import catalog_queries, operator_queries  # noqa: F401
+
+    rows = spark.range(0, 40_000, 1, 4).select(F.lit("s").alias("domain"), F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"))
+    # a grouping of numbers that rise: by compressed bytes Spark would give all to a few tasks
+    assert catalog_queries.dealt(rows, "src", "dst", each=1000).distinct().rdd.getNumPartitions() >= 40
+    sf = "/root/testdata/sf0.001"
+    for query in (catalog_queries.queries()["degrees"], catalog_queries.queries()["linked_pages"], lambda s, d: catalog_queries._trade_graph(s, d)[1]):
+        assert "REPARTITION_BY_NUM" in query(spark, sf)._jdf.queryExecution().executedPlan().toString()
