@@ -165,3 +165,18 @@ def test_page_nodes_take_no_price_from_free_text(spark, tmp_path):
     assert got["b"].flags & NODE_FLAGS["has_price"] and got["b"].features[DIM["price"]] == 7.0
     data = html_data.structured(spark.read.parquet(str(tmp_path / "pages.parquet")))
     assert {r.url[-1]: r.flags & NODE_FLAGS["has_price"] > 0 for r in html_data.nodes(data).collect()} == {"a": True, "b": True}  # the operator's own reading stays
+
+
+def test_a_large_site_is_read_in_slices(spark):
+    import numpy as np
+
+    rows, n = site_files.site_rows, 25_000
+    table = np.zeros(n, dtype=site_files.NODE)
+    table["page_type"] = np.arange(n) % 7
+    data = site_files.ctx_bytes({"domain": "x.com", "nodes": table, "features": np.zeros((n, 128)), "urls": [f"/{i}" for i in range(n)]})
+    assert data == site_files.ctx_bytes({"domain": "x.com", "nodes": [tuple(r)[:-1] for r in table.tolist()], "features": np.zeros((n, 128)), "urls": [f"/{i}" for i in range(n)]})
+    whole = rows(site_files.ctx_site(data), "nodes")
+    got = spark.createDataFrame([(data,)], "content binary")
+    counts = site_files.ctx_rows(got).select("node_id", "url", "page_type").toPandas()
+    assert counts.url.tolist() == whole.url.tolist() and counts.node_id.tolist() == list(range(n)) and counts.page_type.tolist() == whole.page_type.tolist()
+    assert len(rows(site_files.ctx_site(data), "nodes", slice(0, 10_000))) == 10_000
