@@ -160,6 +160,14 @@ def test_pages_are_neither_broadcast_nor_dealt_by_hook(spark):
     assert plan.count("SortMergeJoin") and plan.count("BroadcastExchange") <= 2 and said.count() == 50
 
 
+def test_chains_are_dealt_by_count_once_and_never_joined(spark):
+    pages = dom.parsed(spark.range(30).selectExpr("concat('<div><p>', id, '</p><p class=\"a\">x</p></div>') AS html"))
+    plan = dom.select(dom.elements(pages), ["div p", "div > p", "p + .a", "p ~ .a", "div, .a"])._jdf.queryExecution().executedPlan().toString()
+    # no part is left to be joined to others by its compressed bytes
+    assert "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    assert (dom.tasks_for(pages, 7), dom.tasks_for(pages), dom.tasks_for(pages.limit(0))) == (5, 1, 1)
+
+
 def test_boards_are_dealt_to_all_tasks(spark):
     from meshquery import page_queries
 
