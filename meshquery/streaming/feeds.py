@@ -148,15 +148,27 @@ def steps(points: DataFrame) -> DataFrame:
     return bucketed(timestamped(points), "ts").transformWithStateInPandas(LastValue(), "domain string, url string, field string, ts timestamp, before double, value double", "append", "None")
 
 
+#: So many rules are broadcast; the points of a field meet more rules in so many parts.
+RULES, PARTS = 100_000, 64
+
+
+def _watched(points: DataFrame, rules: DataFrame) -> DataFrame:
+    """Points with the rules of their field. Which side is broadcast is said here: Spark goes by what a batch reads, and a batch of one late row can
+    give all that waited for it, more than the driver holds. More rules are joined by sort, in parts, for points often have a few (domain, field)."""
+    if rules.limit(RULES + 1).count() <= RULES:
+        return points.join(F.broadcast(rules), ["domain", "field"])
+    each = rules.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return points.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(PARTS).cast("long"))).join(each.hint("merge"), ["domain", "field", "part"]).drop("part")
+
+
 def alert_stream(points: DataFrame, rules: DataFrame, lateness: str | None = None) -> DataFrame:
     """Alerts of active rules on a stream of points: state per series, then a join with the rules. With ``lateness`` points are taken in event
-    time (``ordered_steps``), else as they come. Rules are saved first: a stream's plan is made once, by the sizes that are known then, and a few
-    rules are broadcast where rows of unknown size would be sorted by (domain, field), often a few keys."""
+    time (``ordered_steps``), else as they come. Rules are saved first, so that every batch reads the same ones."""
     from ..operators.graph import written
     from ..operators.timeseries import fires
 
     kept = written(rules.where("active").drop("active"), "rules")
-    met = (steps(points) if lateness is None else ordered_steps(points, lateness)).join(kept, ["domain", "field"])
+    met = _watched(steps(points) if lateness is None else ordered_steps(points, lateness), kept)
     return met.where(F.coalesce(fires(F.col("condition"), F.col("threshold"), F.col("value"), F.col("before")), F.lit(False))).select("id", "domain", "url", "field", "ts", "before", "value")
 
 

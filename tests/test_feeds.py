@@ -115,3 +115,23 @@ def test_state_calls_are_per_bucket_and_rules_are_broadcast(spark, tmp_path, mon
         if lateness is None:
             got = sorted((r.url or "", r.before, r.value) for r in spark.read.parquet(out).collect())
             assert got == sorted((f"u{i}" if i else "", 1000.0 + i, 2000.0 + i) for i in range(600))
+
+
+def test_held_points_are_never_broadcast(spark, tmp_path, monkeypatch):
+    # a batch of one small row gives all points that waited: its input is smaller than the rules, what it gives is not
+    points = [{"domain": "d", "url": f"u{i}", "field": "f", "ts": f"2024-01-01T0{t}:00:00Z", "value": float(i + 1000 * t)} for t in range(3) for i in range(200)]
+    ended = [{"domain": "end", "url": f"{k}", "field": "f", "ts": "2024-01-09T00:00:00Z", "value": 0.0} for k in range(2)]
+    files(tmp_path / "in", [points, *[[e] for e in ended]])
+    rules = spark.range(300).selectExpr("'rule-' || id || '-' || sha2(string(id), 256) AS id", "'d' AS domain", "'f' AS field", "'value_above' AS condition", "1000.0D + id AS threshold", "true AS active")
+    got = []
+    for most in (feeds.RULES, 100):  # the second time the rules count as many, and are joined by sort
+        monkeypatch.setattr(feeds, "RULES", most)
+        out, at = str(tmp_path / f"out-{most}"), str(tmp_path / f"at-{most}")
+        source = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        query = feeds.alert_stream(source, rules, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 300)
+        got.append(sorted((r.id.split("-")[1], r.url, r.before, r.value) for r in spark.read.parquet(out).collect()))
+    want = sorted((str(r), f"u{i}", float(i + 1000 * t - 1000), float(i + 1000 * t)) for r in range(300) for t in (1, 2) for i in range(200) if i + 1000 * t > 1000 + r >= i + 1000 * t - 1000)
+    assert got[0] == got[1] == want and want
