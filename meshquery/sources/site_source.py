@@ -11,22 +11,24 @@ import json
 import posixpath
 import re
 import struct
+import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .site_files import HEAD, NODE, PARTS, BadFile, ctx_bytes, ctx_site, site_rows
-
-WIDTH = 128
+from ..operators.graph import dealt_by
+from .site_files import ACTION, COUNTS, CTX_MAGIC, CTX_VERSION, EDGE, HEAD, NODE, PARTS, WIDTH, BadFile, site_slices
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -79,19 +81,170 @@ class Reader(DataSourceReader):
         fs, _ = _fs(self.path)
         form = to_arrow_schema(self.schema)
         for file in partition.files:
-            with fs.open_input_stream(file, compression=None) as raw:
+            with fs.open_input_file(file) as raw:
                 head = raw.read(HEAD.size)
                 if len(head) < HEAD.size:
                     raise BadFile(f"{file}: truncated")
                 name = raw.read(HEAD.unpack(head)[2])
                 if self.only is not None and name.decode("utf-8", "replace") not in self.only:
                     continue
-                rest = raw.read()
-            try:
-                rows = site_rows(ctx_site(head + name + rest), self.part)
-            except (BadFile, struct.error) as e:
-                raise BadFile(f"{file}: {e}") from None
-            yield from pa.Table.from_pandas(rows, form, preserve_index=False).to_batches(20_000)
+                try:
+                    for rows in site_slices(raw, self.part, raw.size()):
+                        yield from pa.Table.from_pandas(rows, form, preserve_index=False).to_batches(20_000)
+                except (BadFile, struct.error) as e:
+                    raise BadFile(f"{file}: {e}") from None
+
+
+#: A site's rows in the order that its file needs them: the numbers of its pages, what must be counted before it is written, then the wide parts.
+IDS, EDGES, ACTIONS, NODES, FEATURES, URLS = range(6)
+#: A file is written in pieces of so many bytes.
+PIECE = 4 << 20
+
+
+def _fitting(values: np.ndarray, kind: str) -> np.ndarray:
+    told = np.iinfo(kind)
+    if len(values) and (values.min() < told.min or values.max() > told.max):
+        raise OverflowError(f"{values.min()} to {values.max()} don't fit {kind}")
+    return values.astype(kind)
+
+
+class _Site:
+    """A site's file made of its rows as they come. In memory are 22 bytes a page at most and a piece; edges and actions wait in temporary files
+    until all are counted."""
+
+    def __init__(self, domain: str | None):
+        self.domain, self.check, self.out, self.begun, self.last = domain, 0, bytearray(), False, IDS
+        self.ids, self.clusters, self.lengths, self.held = [], [], [], None
+        self.edges, self.actions = (tempfile.SpooledTemporaryFile(PIECE) for _ in range(2))
+
+    def _put(self, content: bytes) -> Iterator[tuple]:
+        self.check = zlib.crc32(content, self.check)
+        self.out += content
+        if len(self.out) >= PIECE:
+            yield self._piece()
+
+    def _piece(self) -> tuple:
+        first, self.begun = not self.begun, True
+        content, self.out = bytes(self.out), bytearray()
+        return self.domain, first, content
+
+    def _numbered(self) -> None:
+        self.ids, self.clusters, self.lengths = (np.concatenate(x) for x in (self.ids, self.clusters, self.lengths))
+        self.twice = bool((self.ids[1:] == self.ids[:-1]).any())
+        self.counts = {EDGES: np.zeros(len(self.ids), "<u4"), ACTIONS: np.zeros(len(self.ids), "<u4")}
+
+    def _places(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of page numbers, and which are there."""
+        if self.twice:
+            raise ValueError(f"{self.domain}: a page's number is there twice")
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        place = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return place, known & (self.ids[place] == ids)
+
+    def _count(self, kind: int, owners: np.ndarray) -> None:
+        own, n = np.unique(owners, return_counts=True)
+        self.counts[kind][own] += n.astype("<u4")
+
+    def _index(self, kind: int) -> bytes:
+        return np.concatenate([[0], np.cumsum(self.counts[kind], dtype=np.int64)]).astype("<u4").tobytes()
+
+    def _told(self, batch: pa.RecordBatch, names: str, known: np.ndarray) -> list[np.ndarray]:
+        return [batch.column(c).filter(pa.array(known)).to_numpy() for c in names]
+
+    def _linked(self, batch: pa.RecordBatch) -> None:
+        (src, from_), (dst, to) = (self._places(batch.column(c)) for c in "ab")
+        known = from_ & to
+        rows = np.zeros(int(known.sum()), EDGE)
+        for name, values in zip(("dst", "edge_type", "weight", "flags"), (dst[known], *self._told(batch, "cde", known)), strict=True):
+            rows[name] = _fitting(values, EDGE[name].str)
+        self.edges.write(rows.tobytes())
+        self._count(EDGES, src[known])
+
+    def _acted(self, batch: pa.RecordBatch | None) -> None:
+        """Actions go by their target's place: those of the last page and code wait until it is sure that no more come."""
+        rows = self.held
+        if batch is not None:
+            (node, known), (target, there) = (self._places(batch.column(c)) for c in "ac")
+            code, cost, risk = self._told(batch, "bde", known)
+            more = np.stack([node[known], code, np.where(there, target, -1)[known], cost, risk])
+            rows = more if rows is None else np.concatenate([rows, more], axis=1)
+        if rows is None or not rows.shape[1]:
+            return
+        rows = rows[:, np.lexsort(rows[::-1])]
+        ready = rows.shape[1] if batch is None else int(np.argmax((rows[:2] == rows[:2, -1:]).all(axis=0)))
+        self.held, rows = (None if batch is None else rows[:, ready:]), rows[:, :ready]
+        coded = np.zeros(rows.shape[1], ACTION)
+        for name, values in zip(("opcode", "target", "cost", "risk"), rows[1:], strict=True):
+            coded[name] = _fitting(values, ACTION[name].str)
+        self.actions.write(coded.tobytes())
+        self._count(ACTIONS, rows[0])
+
+    def _kept(self, file) -> Iterator[tuple]:
+        file.seek(0)
+        while content := file.read(PIECE):
+            yield from self._put(content)
+        file.close()
+
+    def _next(self, kind: int) -> Iterator[tuple]:
+        """What stands in the file before the part that rows of this kind make."""
+        if kind == NODES:
+            self._acted(None)
+            name = (self.domain or "").encode()
+            self.edge_count, self.action_count = (int(self.counts[k].sum(dtype=np.int64)) for k in (EDGES, ACTIONS))
+            yield from self._put(HEAD.pack(CTX_MAGIC, CTX_VERSION, len(name)) + name + COUNTS.pack(0, len(self.ids), self.edge_count, 0, 0))
+        elif kind == FEATURES:
+            yield from self._kept(self.edges)
+            yield from self._put(self._index(EDGES))
+        elif kind == URLS:
+            yield from self._put(struct.pack("<I", self.action_count))
+            yield from self._kept(self.actions)
+            yield from self._put(self._index(ACTIONS) + _fitting(self.clusters, "<u2").tobytes())
+            yield from self._put(struct.pack("<I", int(self.lengths.sum(dtype=np.int64))))
+
+    def taken(self, kind: int, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """The pieces that are ready after some rows of one kind."""
+        if kind == IDS:
+            self.ids.append(batch.column("a").to_numpy())
+            self.clusters.append(batch.column("c").to_numpy().astype(np.int32))
+            self.lengths.append(batch.column("d").to_numpy().astype("<u4"))
+            return
+        if not len(self.ids):  # a site without pages
+            return
+        if self.last == IDS:
+            self._numbered()
+        for k in range(max(self.last + 1, NODES), kind + 1):
+            yield from self._next(k)
+        self.last = kind
+        if kind == EDGES:
+            self._linked(batch)
+        elif kind == ACTIONS:
+            self._acted(batch)
+        else:
+            yield from self._put(b"".join(batch.column("content").to_pylist()))
+
+    def ended(self) -> Iterator[tuple]:
+        if len(self.ids):
+            offsets = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)[:-1]])
+            yield from self._put(offsets.astype("<u4").tobytes())
+            self.out += struct.pack("<I", self.check)
+            yield self._piece()
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bool, bytes]]:
+    """(domain, whether a file begins, bytes) of rows of ``sites``; rows (domain, content) are whole files."""
+    site = None
+    for batch in batches:
+        if "kind" not in batch.schema.names:
+            yield from ((d, True, c.as_buffer()) for d, c in zip(batch.column("domain").to_pylist(), batch.column("content"), strict=True))
+        elif batch.num_rows:
+            domains, kinds = np.array(batch.column("domain").to_pylist(), dtype=object), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((domains[1:] != domains[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for i, j in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if site is None or domains[i] != site.domain:
+                    yield from site.ended() if site else ()
+                    site = _Site(domains[i])
+                yield from site.taken(int(kinds[i]), batch.slice(i, j - i))
+    yield from site.ended() if site else ()
 
 
 class Written(WriterCommitMessage):
@@ -106,13 +259,19 @@ class Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, at = _fs(self.path)
         fs.create_dir(posixpath.join(at, self.folder), recursive=True)
-        files = []
-        for batch in iterator:
-            for domain, content in zip(batch.column("domain").to_pylist(), batch.column("content"), strict=True):
-                name = posixpath.join(at, self.folder, f"{quote(domain or '', safe='.')[:150]}-{uuid.uuid4().hex}.ctx")
-                with fs.open_output_stream(name, compression=None) as out:
-                    out.write(content.as_buffer())
-                files.append(posixpath.basename(name))
+        files, out = [], None
+        try:
+            for domain, first, content in pieces(iterator):
+                if first:
+                    if out is not None:
+                        out.close()
+                    name = posixpath.join(at, self.folder, f"{quote(domain or '', safe='.')[:150]}-{uuid.uuid4().hex}.ctx")
+                    out = fs.open_output_stream(name, compression=None)
+                    files.append(posixpath.basename(name))
+                out.write(content)
+        finally:
+            if out is not None:
+                out.close()
         return Written(files)
 
     def commit(self, messages) -> None:
@@ -151,47 +310,49 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SiteSource)
 
 
-def sites(nodes: DataFrame, edges: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
-    """(domain, content): a file per site, of nodes (domain, node_id, url, page_type, confidence, flags, features, and any other field of a node that
-    is there, and cluster), edges (domain, src, dst, edge_type, weight, flags) and actions (domain, node_id, category, action, target_node,
-    cost_hint, risk). Nodes are numbered in the order of node_id; edges and actions of other nodes are left out. A file, and so a site, is one
-    task's."""
-    fields = {"freshness": "freshness", "content_hash": "content_hash", "rendered_at": "rendered_at", "http_status": "http_status", "depth": "depth", "inbound_count": "inbound", "outbound_count": "outbound"}
-    more = [c for c in (*fields, "cluster") if c in nodes.columns]
-    slim = nodes.select("domain", "node_id", "url", "page_type", "confidence", "flags", "features", *more)
-    row = lambda kind, *columns: [F.lit(kind).alias("kind"), *[F.col(c).cast("long").alias(n) for n, c in zip("abcde", columns, strict=True)]]
-    parts = [slim.limit(0).select("domain", *row("edge", *["node_id"] * 5))]
-    if edges is not None:
-        parts.append(edges.select("domain", *row("edge", "src", "dst", "edge_type", "weight", "flags")))
-    if actions is not None:
-        coded = actions.withColumn("_opcode", F.col("category") * 256 + F.col("action"))
-        parts.append(coded.select("domain", *row("action", "node_id", "_opcode", "target_node", "cost_hint", "risk")))
-    between = parts[0]
-    for p in parts[1:]:
-        between = between.unionByName(p)
-
-    def one(key: tuple, pages: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        if not len(pages):
-            return pd.DataFrame(columns=["domain", "content"])
-        pages = pages.sort_values("node_id", kind="stable").reset_index(drop=True)
+_FIELDS = {"freshness": "freshness", "content_hash": "content_hash", "rendered_at": "rendered_at", "http_status": "http_status", "depth": "depth", "inbound_count": "inbound", "outbound_count": "outbound"}
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as a site file has them."""
+
+    def blocks(content: np.ndarray, width: int) -> pa.Array:
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(content), [None, pa.py_buffer(content.tobytes())]).cast(pa.binary())
+
+    for batch in batches:
+        pages = batch.select([c for c in batch.schema.names if c != "features"]).to_pandas()
+        wide = batch.column("features")
+        if not pa.compute.all(pa.compute.equal(wide.value_lengths().fill_null(0), WIDTH), min_count=0).as_py():
+            raise ValueError(f"a page's features are not {WIDTH} numbers")
+        features = wide.flatten().to_numpy(zero_copy_only=False).reshape(len(pages), WIDTH)
         table = np.zeros(len(pages), dtype=NODE)
         for name in ("page_type", "confidence", "flags"):
             table[name] = pages[name]
-        for column, name in fields.items():
+        for column, name in _FIELDS.items():
             if column in pages:
                 table[name] = pages[column].fillna(0)
-        features = np.stack(pages.features)
         table["norm"] = np.linalg.norm(features, axis=1)
-        place = pd.Series(np.arange(len(pages)), index=pages.node_id)
-        rest = rest.assign(a=rest.a.map(place)).dropna(subset=["a"])
-        links, acts = rest[rest.kind == "edge"], rest[rest.kind == "action"]
-        links = links.assign(b=links.b.map(place)).dropna(subset=["b"])
-        target = acts.assign(c=acts.c.map(place).fillna(-1))
-        site = {
-            "domain": key[0] or "", "nodes": [tuple(x)[:-1] for x in table.tolist()], "features": features, "urls": pages.url.tolist(), "clusters": pages.cluster.fillna(0).astype(int).tolist() if "cluster" in pages else [0] * len(pages),
-            "edges": sorted(map(tuple, links[list("abcde")].astype(int).values.tolist())), "actions": sorted(map(tuple, target[list("abcde")].astype(int).values.tolist())),
-        }
-        return pd.DataFrame({"domain": [key[0]], "content": [ctx_bytes(site)]})
-
-    other = between.select(F.concat("domain", F.lit("")).alias("domain"), *between.columns[1:])  # a column of its own: both sides may be of one table
-    return slim.groupBy("domain").cogroup(other.groupBy("domain")).applyInPandas(one, "domain string, content binary")
+        cluster = pages.cluster.fillna(0).astype("int64") if "cluster" in pages else np.zeros(len(pages), "int64")
+        urls = pa.array([u.encode() + b"\0" for u in pages.url], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("domain").cast(pa.string()), batch.column("node_id"), pa.array(cluster, pa.int64()), blocks(table, NODE.itemsize), blocks(features.astype("<f4"), 4 * WIDTH), urls], names=["domain", "node_id", "cluster", "node", "features", "url"])
+
+
+def sites(nodes: DataFrame, edges: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """Rows that ``format("sitefile")`` writes as a file per site, of nodes (domain, node_id, url, page_type, confidence, flags, features, and any other
+    field of a node that is there, and cluster), edges (domain, src, dst, edge_type, weight, flags) and actions (domain, node_id, category, action,
+    target_node, cost_hint, risk). Nodes are numbered in the order of node_id; edges and actions of other nodes are left out. A file, and so a site,
+    is one task's, which gets its rows sorted and never holds them all: a page is a row in each part of the file that has something of it."""
+    more = [c for c in (*_FIELDS, "cluster") if c in nodes.columns]
+    slim = nodes.select("domain", F.col("node_id").cast("long").alias("node_id"), "url", "page_type", "confidence", "flags", "features", *more)
+    pages = slim.mapInArrow(_encoded, "domain string, node_id bigint, cluster bigint, node binary, features binary, url binary")
+    empty = F.lit(None).cast("binary")
+    row = lambda kind, a, b, c, d, e, content: [F.lit(kind).alias("kind"), *[x.cast("long").alias(n) for n, x in zip("abcde", (a, b, c, d, e), strict=True)], content.alias("content")]
+    none, tie, size = F.lit(0), F.xxhash64("node", "features", "url"), F.octet_length("url")  # pages of one number stay in one order in all parts
+    part = lambda kind, content: F.struct(*row(kind, F.col("node_id"), tie, F.col("cluster") if kind == IDS else none, size if kind == IDS else none, none, content))
+    every = pages.select("domain", F.explode(F.array(part(IDS, empty), part(NODES, F.col("node")), part(FEATURES, F.col("features")), part(URLS, F.col("url")))).alias("x")).select("domain", "x.*")
+    if edges is not None:
+        every = every.unionByName(edges.select("domain", *row(EDGES, *map(F.col, ("src", "dst", "edge_type", "weight", "flags")), empty)))
+    if actions is not None:
+        opcode = F.col("category") * 256 + F.col("action")
+        every = every.unionByName(actions.select("domain", *row(ACTIONS, F.col("node_id"), opcode, F.col("target_node"), F.col("cost_hint"), F.col("risk"), empty)))
+    return dealt_by(every, "domain").sortWithinPartitions("domain", "kind", *"abcde")
