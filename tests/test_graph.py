@@ -1,5 +1,6 @@
 import heapq
 import random
+import re
 
 import numpy as np
 import pytest
@@ -266,6 +267,21 @@ def test_rounds_join_links_without_a_shuffle_or_a_sort_of_them(spark):
     assert paths.costs(steps, asked).where("node = 4 AND cost = 4").count() == 1
 
 
+def test_links_are_in_order_before_they_are_written_to_buckets(spark):
+    # the write's own sort works out a bucket's number for every comparison, so rows must come to it sorted, and links are not grouped before
+    status = spark._jsparkSession.sharedState().statusStore()
+    before = status.executionsCount()
+    links = spark.range(2000).selectExpr("'a' AS domain", "id % 50 AS src", "id % 7 AS dst", "id + 1 AS weight", "0 AS flags")
+    steps = paths.kept(paths.steps_of(links, "weight", once=False), spark.createDataFrame([("a", 3)], "domain string, source long"))
+    told = [status.executionsList(i, 1).apply(0).physicalPlanDescription() for i in range(before, status.executionsCount())]
+    (plan,) = [p for p in told if "Bucketed: true" not in p and "CreateDataSourceTableAsSelect" in p]
+    assert re.search(r"Arguments: \[src#\d+L? ASC", plan), plan
+    assert "HashAggregate" not in plan and steps.count() == sum(1 for i in range(2000) if i % 50 != i % 7)
+    got = {(r.source, r.node): r.cost for r in paths.costs(steps, spark.createDataFrame([("a", 3)], "domain string, source long")).collect()}
+    want = {(r.source, r.node): r.cost for r in paths.costs(paths.steps_of(links, "weight"), spark.createDataFrame([("a", 3)], "domain string, source long")).collect()}
+    assert got == want and len(got) > 5
+
+
 def test_rows_that_compress_well_stay_dealt(spark):
     from meshquery import catalog_queries, operator_queries  # noqa: F401
 
